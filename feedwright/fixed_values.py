@@ -10,10 +10,12 @@ WEB_FLAGS = ["C", "O", "N"]
 # Item stores taken into account.
 PRODUCT_STORES = ["1", "2", "4", "7", "8", "D", "J"]
 STORE_RECODE = {"D": "12", "J": "18"}
+PRODUCT_STORES_ANY = ["1", "2", "4", "7", "8", "D", "J", "12", "18"]
 STORES_WITH_LOCATIONS = ["1", "2", "4", "7", "8"]
 DEPARTMENT_LOCATION_STORES = ["1", "4"]
 CATALOG_STORE = "m"
 MARKETPLACE_STORE = "D"
+MARKETPLACE_WAREHOUSE = "HTOOL"
 
 # Warehouse code to store number.
 WAREHOUSE_STORE = {"HHH": "1", "HTOOL": "2", "LHAK": "7", "LHAD": "8"}

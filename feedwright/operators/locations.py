@@ -12,6 +12,7 @@ from ..fixed_values import (
     EXCLUDED_MARKETPLACE_VENDORS,
     EXCLUDED_VENDORS,
     MARKETPLACE_STORE,
+    MARKETPLACE_WAREHOUSE,
     STORE_WAREHOUSE,
 )
 from ..functions import agree, code_map, fold, none_of, not_negative, one_of
@@ -27,7 +28,7 @@ def expected_locations(
     net_committed: bool = True,
     vendor_rule: bool = False,
 ) -> DataFrame:
-    """Where each item should lie and how many are free, per store; the marketplace store gets its own '-fba' sku.
+    """Where each item should lie and how many are free, per store; the marketplace store gets its own '-FBA' sku.
 
     ``department_stores``: stores whose location reads department-code (None = all). ``vendor_rule`` leaves out the
     vendors that ship from elsewhere.
@@ -39,24 +40,25 @@ def expected_locations(
     coded = F.concat(F.coalesce("department", F.lit("")), F.lit("-"), F.coalesce("location_code", F.lit("")))
     with_department = F.lit(True) if department_stores is None else F.col("store").isin(list(department_stores))
     sku = F.trim("item_number")
-    regular = items.filter(one_of("store", stores) & ~fold(sku).startswith("zz") & (fold(sku) != "$due"))
+    regular = items.filter(one_of("store", stores) & ~fold(sku).startswith("zz"))
     market = items.filter(one_of("store", [MARKETPLACE_STORE]))
     if vendor_rule:
         regular = regular.filter(none_of("primary_vendor", EXCLUDED_VENDORS))
         market = market.filter(none_of("primary_vendor", EXCLUDED_MARKETPLACE_VENDORS))
     else:
+        regular = regular.filter(fold(sku) != "$due")
         market = market.filter(~fold(sku).startswith("zz"))
     columns = [not_negative(free).cast("decimal(18,4)").alias("free"), "store"]
     own = regular.select(
-        F.lower(sku).alias("sku"),
+        F.upper(sku).alias("sku"),
         F.when(with_department, coded).otherwise(F.col("location_code")).alias("expected_location"),
         code_map("store", STORE_WAREHOUSE).alias("warehouse_code"),
         *columns,
     )
     fba = market.select(
-        F.concat(F.lower(sku), F.lit("-fba")).alias("sku"),
+        F.concat(F.upper(sku), F.lit("-FBA")).alias("sku"),
         (coded if department_stores is None else F.col("location_code")).alias("expected_location"),
-        F.lit("HTOOL").alias("warehouse_code"),
+        F.lit(MARKETPLACE_WAREHOUSE).alias("warehouse_code"),
         *columns,
     )
     return own.union(fba)
@@ -70,14 +72,14 @@ def stocked_skus(
     kept = join_summary(products, kept_types, "product_type_code", "left_semi")
     skus = order_skus.filter(none_of("kit_code", kit_codes, keep_null=keep_null_kit))
     return join_summary(skus, distinct_keys(kept, "product_number"), "product_number", "left_semi").select(
-        F.lower(F.trim("sku")).alias("sku")
+        F.upper(F.trim("sku")).alias("sku")
     )
 
 
 def match_locations(expected: DataFrame, actual: DataFrame, stocked: DataFrame | None = None) -> DataFrame:
     """Expected rows beside the order system's location rows of the same sku and warehouse."""
     found = actual.select(
-        F.lower(F.trim("sku")).alias("sku"),
+        F.upper(F.trim("sku")).alias("sku"),
         "warehouse_code",
         F.col("location_type").alias("actual_location"),
         F.col("product_quantity").alias("actual_quantity"),
@@ -132,5 +134,5 @@ def change_log_match(mismatches: DataFrame, log: DataFrame) -> DataFrame:
     moved = mismatches.filter(fold("expected_location") != fold("actual_location")).select(
         "sku", "expected_location", "actual_location"
     )
-    logged = log.select(F.lower(F.trim("sku")).alias("sku"), "warehouse", "previouslocation", "newlocation", "changedat")
+    logged = log.select(F.upper(F.trim("sku")).alias("sku"), "warehouse", "previouslocation", "newlocation", "changedat")
     return moved.join(logged, "sku", "left")
