@@ -33,4 +33,6 @@ def join_summary(rows: DataFrame, summary: DataFrame, on: str | Sequence[str], h
         if left_types[key] != right_types[key]:
             raise TypeError(f"key {key!r} is {left_types[key]} on one side and {right_types[key]} on the other")
     spread = F.xxhash64(*on)
-    return rows.withColumn(_SPREAD, spread).join(summary.withColumn(_SPREAD, spread), [*on, _SPREAD], how).drop(_SPREAD)
+    joined = rows.withColumn(_SPREAD, spread).join(summary.withColumn(_SPREAD, spread), [*on, _SPREAD], how)
+    added = [] if how in ("left_semi", "left_anti") else [c for c in summary.columns if c not in on]
+    return joined.select(*rows.columns, *added)

@@ -165,6 +165,7 @@ def appliance_web_flag(s: Sources) -> DataFrame:
     online = F.arrays_overlap("flags", F.array(*[F.lit(f) for f in fv.WEB_FLAGS]))
     none = F.coalesce(F.size("flags"), F.lit(0)) <= 0
     on = F.col("obsoletedate").isNull() & (F.coalesce(online, F.lit(False)) | none)
-    rows = rows.select("sku", "obsoletedate", F.array_join("flags", ",").alias("web_flags"), fn.coalesce_flag(on).alias("web"))
+    text = F.when(~none, F.array_join("flags", ",")).alias("web_flags")
+    rows = rows.select("sku", "obsoletedate", text, fn.coalesce_flag(on).alias("web"))
     catalog = catalog_by_identifier(s, "web_website_hh")
     return op.reconcile(rows, catalog, "sku", [Pair("web_check", "web", fn.fold("web_website_hh"))])

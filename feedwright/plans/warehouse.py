@@ -80,7 +80,7 @@ def stock_totals_v1(s: Sources) -> DataFrame:
     own = op.only_in(rows.filter(F.col("warehouse_code").isin(HH_WAREHOUSES)), places, ["sku", "warehouse_code", "place"])
     other = op.only_in(rows.filter(F.col("warehouse_code").isin(LEH_WAREHOUSES)), places, "sku")
     totals = s["product_warehouse"].select("sku", "warehouse_code", "product_total_quantity")
-    found = own.union(other).join(totals, ["sku", "warehouse_code"])
+    found = own.unionByName(other).join(totals, ["sku", "warehouse_code"])
     return op.quantity_reconcile(found, "product_total_quantity")
 
 
