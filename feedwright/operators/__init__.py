@@ -20,6 +20,7 @@ from .inventory import (
     alias_resolved_sum,
     available_to_sell,
     collect_measures,
+    for_listed,
     kit_floor_min,
     kit_over_product,
     kit_quantities_by_store,
@@ -37,6 +38,7 @@ from .locations import (
     multi_location_skus,
     quantity_reconcile,
     stocked_skus,
+    stored_locations,
 )
 from .orders import (
     committed_sales_union,

@@ -98,20 +98,25 @@ def open_order_qty(
 
 
 def collect_measures(
-    population: DataFrame, inputs: Mapping[str, DataFrame], how: Mapping[str, str] | None = None, key: str = "sku"
+    members: Sequence[DataFrame], others: Sequence[DataFrame] = (), how: Mapping[str, str] | None = None, key: str = "sku"
 ) -> DataFrame:
-    """One row per population key with each input's total, 0 where an input has nothing.
+    """One row per key of the population with the total of every quantity, 0 where there is none.
 
-    ``inputs`` is {name: frame(key, quantity)}. Instead of one join per input, all inputs are stacked and grouped once:
-    a single shuffle of map-side partial sums, no fan-out between inputs, and no key too hot for it.
+    Every column but the key is a quantity. The keys of ``members`` are the population; ``others`` only add quantities.
+    Instead of one join per input, all inputs are stacked and grouped once: a single shuffle of map-side partial sums,
+    no fan-out between inputs, and no key too hot for it.
     """
     how = how or {}
-    names = list(inputs)
-    blank = {n: F.lit(None).cast(QTY) for n in names}
-    stacked = [population.select(key, F.lit(1).alias("_member"), *[blank[n].alias(n) for n in names])]
-    for name, df in inputs.items():
-        columns = [F.col("quantity").cast(QTY).alias(n) if n == name else blank[n].alias(n) for n in names]
-        stacked.append(df.select(key, F.lit(None).cast("int").alias("_member"), *columns))
+    frames = [(df, F.lit(1)) for df in members] + [(df, F.lit(None).cast("int")) for df in others]
+    names = list(dict.fromkeys(c for df, _ in frames for c in df.columns if c != key))
+    stacked = [
+        df.select(
+            key,
+            member.alias("_member"),
+            *[(F.col(n) if n in df.columns else F.lit(None)).cast(QTY).alias(n) for n in names],
+        )
+        for df, member in frames
+    ]
     aggs = {"sum": F.sum, "max": F.max}
     zero = F.lit(0).cast(QTY)
     totals = [F.coalesce(aggs[how.get(n, "sum")](n).cast(QTY), zero).alias(n) for n in names]
@@ -166,13 +171,24 @@ def kit_quantities_by_store(grid: DataFrame, measures: Sequence[str] = MEASURES)
 
 
 def kit_over_product(
-    products: DataFrame, kits: DataFrame, listed: DataFrame, product: str = "available", kit: str = "kit_available"
+    products: DataFrame, kits: DataFrame, product: str = "available", kit: str = "kit_available", kit_skus: bool = True
 ) -> DataFrame:
-    """One total per listed sku; a kit's own figure beats the figure of a product with the same sku."""
-    both = products.select("sku", F.col(product).alias("_p"), F.lit(None).cast("bigint").alias("_k")).union(
-        kits.select("sku", F.lit(None).cast("bigint"), F.col(kit))
+    """One total per sku; a kit's own figure beats the figure of a product with the same sku.
+
+    Both sides have one row per sku and are stacked and grouped, which takes the place of a full outer join.
+    ``kit_skus=False`` leaves out kits that are not products as well.
+    """
+    both = products.select(
+        "sku", F.col(product).alias("_p"), F.lit(None).cast("bigint").alias("_k"), F.lit(1).alias("_product")
+    ).union(kits.select("sku", F.lit(None).cast("bigint"), F.col(kit), F.lit(None).cast("int")))
+    totals = both.groupBy("sku").agg(
+        F.coalesce(F.max("_k"), F.max("_p")).alias("total_inventory"), F.max("_product").alias("_product")
     )
-    totals = both.groupBy("sku").agg(F.coalesce(F.max("_k"), F.max("_p")).alias("total_inventory"))
+    return (totals if kit_skus else totals.filter(F.col("_product").isNotNull())).drop("_product")
+
+
+def for_listed(totals: DataFrame, listed: DataFrame) -> DataFrame:
+    """Totals of the skus that are listed."""
     return join_summary(totals, distinct_keys(listed, "sku"), "sku", "left_semi")
 
 

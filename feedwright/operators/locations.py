@@ -76,26 +76,34 @@ def stocked_skus(
     )
 
 
-def match_locations(expected: DataFrame, actual: DataFrame, stocked: DataFrame | None = None) -> DataFrame:
-    """Expected rows beside the order system's location rows of the same sku and warehouse."""
+def stored_locations(actual: DataFrame, stocked: DataFrame | None = None) -> DataFrame:
+    """The order system's location rows, optionally only of the stocked skus."""
     found = actual.select(
         F.upper(F.trim("sku")).alias("sku"),
         "warehouse_code",
         F.col("location_type").alias("actual_location"),
         F.col("product_quantity").alias("actual_quantity"),
     )
-    if stocked is not None:
-        found = join_summary(found, distinct_keys(stocked, "sku"), "sku", "left_semi")
+    return found if stocked is None else join_summary(found, distinct_keys(stocked, "sku"), "sku", "left_semi")
+
+
+def match_locations(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """Expected rows beside the stored location rows of the same sku and warehouse."""
     return expected.join(found, ["sku", "warehouse_code"])
 
 
-def multi_location_skus(matched: DataFrame) -> DataFrame:
-    """(sku, store) pairs that the order system keeps in more than one place."""
-    return (
-        matched.groupBy("sku", "store")
+def multi_location_skus(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """(sku, store) pairs that the order system keeps in more than one place.
+
+    The places are counted on the location rows alone; only the few pairs with several meet the expected rows.
+    """
+    places = (
+        found.groupBy("sku", "warehouse_code")
         .agg(F.countDistinct("actual_location").alias("locations"))
         .filter(F.col("locations") > 1)
     )
+    pairs = distinct_keys(expected, ["sku", "warehouse_code", "store"])
+    return pairs.join(places, ["sku", "warehouse_code"]).select("sku", "store", "locations")
 
 
 def location_reconcile(matched: DataFrame, multiples: DataFrame | None = None) -> DataFrame:

@@ -24,46 +24,45 @@ def _store_items(s: Sources, store: str) -> DataFrame:
     return s["item_store"].filter(F.col("store") == store).withColumn("sku", F.trim("item_number"))
 
 
-def _measures(s: Sources, store: str, warehouse: str | None) -> DataFrame:
-    """Every quantity of one location, one row per sku of its population (its items and the active appliances)."""
-    items = _store_items(s, store)
-    stock = s["appliance"].filter(F.col("obsoletedate").isNull()).select("sku", "stock_pit").distinct()
-    orders = op.open_order_qty(
-        s["sales_order"], s["order_udf"], s["line_item"], ["hhcv3"], fv.CLOSED_ORDER_STATUSES, warehouse
+def _stock(s: Sources, profile: inv.ChannelProfile, store: str, warehouse: str | None) -> DataFrame:
+    """Offer of one location, one row per sku of its population (its items and the active appliances).
+
+    Only the inputs that the location's profile names are read.
+    """
+    items = _store_items(s, store).select(
+        "sku",
+        F.col("quantity_on_hand").alias("on_hand"),
+        F.col("committed_quantity").alias("committed"),
+        F.col("safety_stock").alias("safety"),
     )
-    reserve = s["product_warehouse"].filter(F.col("warehouse_code") == "HHH").select(
-        "sku", F.col("product_reserve_quantity").alias("quantity")
-    )
-    inputs = {
-        "on_hand": items.select("sku", F.col("quantity_on_hand").alias("quantity")),
-        "committed": items.select("sku", F.col("committed_quantity").alias("quantity")),
-        "safety": items.select("sku", F.col("safety_stock").alias("quantity")),
-        "reserve": reserve,
-        "pending": pending_by_sku(s),
-        "open_orders": orders,
-        "stock_pit": stock.select("sku", F.col("stock_pit").alias("quantity")),
-    }
-    population = items.select("sku").union(active_appliance_skus(s))
-    return op.collect_measures(population, inputs, {"reserve": "max"})
-
-
-def _needed(measures: DataFrame, profile: inv.ChannelProfile) -> DataFrame:
-    return op.available_to_sell(measures.select("sku", *profile.inputs), profile)
+    appliances = s["appliance"].filter(F.col("obsoletedate").isNull()).select("sku", "stock_pit").distinct()
+    others = []
+    if "reserve" in profile.inputs:
+        reserve = s["product_warehouse"].filter(F.col("warehouse_code") == "HHH")
+        others.append(reserve.select("sku", F.col("product_reserve_quantity").alias("reserve")))
+    if "pending" in profile.inputs:
+        others.append(pending_by_sku(s).withColumnRenamed("quantity", "pending"))
+    if "open_orders" in profile.inputs:
+        orders = op.open_order_qty(
+            s["sales_order"], s["order_udf"], s["line_item"], ["hhcv3"], fv.CLOSED_ORDER_STATUSES, warehouse
+        )
+        others.append(orders.withColumnRenamed("quantity", "open_orders"))
+    return op.available_to_sell(op.collect_measures([items, appliances], others, {"reserve": "max"}), profile)
 
 
 def _kitting(s: Sources) -> DataFrame:
     return s["kitting"].select("sku", "component_sku", "component_quantity")
 
 
-def _location(
-    s: Sources, profile: inv.ChannelProfile, store: str, location: str, live_too: bool, warehouse: str | None, kit_skus: bool
+def _totals(
+    s: Sources, profile: inv.ChannelProfile, store: str, kit_skus: bool, warehouse: str | None = None
 ) -> DataFrame:
-    stock = _needed(_measures(s, store, warehouse), profile)
-    kits = op.kit_floor_min(_kitting(s), stock, how=profile.kits)
-    if not kit_skus:
-        kits = op.join_summary(kits, stock.select("sku"), "sku", "left_semi")
-    listed = op.listed_variants(s["variant"], s["location_map"], location, None if live_too else NOT_LIVE)
-    return op.kit_over_product(stock, kits, listed)
+    stock = _stock(s, profile, store, warehouse)
+    return op.kit_over_product(stock, op.kit_floor_min(_kitting(s), stock, how=profile.kits), kit_skus=kit_skus)
+
+
+def _listed(s: Sources, location: str, live_too: bool) -> DataFrame:
+    return op.listed_variants(s["variant"], s["location_map"], location, None if live_too else NOT_LIVE)
 
 
 @check("listed_skus", "inventory", "IV01", "listing")
@@ -79,32 +78,29 @@ def listed_skus(s: Sources, location: str = fv.LOCATION_MF) -> DataFrame:
 @check("hh_inventory_v1", "inventory", "IV02", "listing")
 def hh_inventory_v1(s: Sources) -> DataFrame:
     """Offer at the main location: all open orders come back, kits only over components with stock."""
-    return _location(s, inv.HH_V1, "1", fv.LOCATION_HH, False, None, kit_skus=False)
+    return op.for_listed(_totals(s, inv.HH_V1, "1", kit_skus=False), _listed(s, fv.LOCATION_HH, live_too=False))
 
 
 @check("hh_inventory", "inventory", "IV03", "listing")
 def hh_inventory(s: Sources) -> DataFrame:
     """Offer at the main location: its own warehouse's open orders come back, supplier stock never negative."""
-    return _location(s, inv.HH_V2, "1", fv.LOCATION_HH, True, "HHH", kit_skus=True)
+    totals = _totals(s, inv.HH_V2, "1", kit_skus=True, warehouse="HHH")
+    return op.for_listed(totals, _listed(s, fv.LOCATION_HH, live_too=True))
 
 
 @check("mf_inventory_v1", "inventory", "IV05", "listing")
 def mf_inventory_v1(s: Sources) -> DataFrame:
     """Offer at the second location: no reserve, no open orders. Listed skus without stock give one empty row."""
-    stock = _needed(_measures(s, "4", "HHH"), inv.MF_V1)
-    kits = op.join_summary(op.kit_floor_min(_kitting(s), stock), stock.select("sku"), "sku", "left_semi")
-    listed = op.distinct_keys(op.listed_variants(s["variant"], s["location_map"], fv.LOCATION_MF, NOT_LIVE), "sku")
-    totals = op.kit_over_product(stock, kits, listed)
-    unknown = op.exclude(listed, stock, "sku").select(
-        F.lit(None).cast("string").alias("sku"), F.lit(None).cast("bigint").alias("total_inventory")
-    )
-    return totals.union(unknown.distinct())
+    listed = op.distinct_keys(_listed(s, fv.LOCATION_MF, live_too=False), "sku")
+    totals = _totals(s, inv.MF_V1, "4", kit_skus=False).withColumn("stocked_sku", F.col("sku"))
+    out = op.join_summary(listed, totals, "sku", "left")
+    return out.select(F.col("stocked_sku").alias("sku"), "total_inventory").distinct()
 
 
 @check("mf_inventory", "inventory", "IV06", "listing")
 def mf_inventory(s: Sources) -> DataFrame:
     """Offer at the second location with supplier stock never negative, kit skus included."""
-    return _location(s, inv.MF_V2, "4", fv.LOCATION_MF, True, "HHH", kit_skus=True)
+    return op.for_listed(_totals(s, inv.MF_V2, "4", kit_skus=True), _listed(s, fv.LOCATION_MF, live_too=True))
 
 
 def free_stock_by_store(s: Sources) -> DataFrame:
@@ -133,15 +129,11 @@ def reserve_by_store(s: Sources) -> DataFrame:
 
 def _shop_stock(s: Sources) -> DataFrame:
     """Per sku: each store's free stock less reserve plus open orders (never negative), summed, less pending."""
-    per_store, orders, reserve = free_stock_by_store(s), shop_open_orders(s), reserve_by_store(s)
-    inputs = {}
-    for st in ("1", "2", "8"):
-        inputs[f"free{st}"] = per_store.select("sku", F.col(f"st{st}_free").alias("quantity"))
-        inputs[f"open{st}"] = orders.select("sku", F.col(f"st{st}_open").alias("quantity"))
-        inputs[f"reserve{st}"] = reserve.select("sku", F.col(f"st{st}_reserve").alias("quantity"))
-    inputs["pending"] = pending_by_sku(s)
-    m = op.collect_measures(per_store.select("sku"), inputs)
-    stores = [fn.not_negative(F.col(f"free{st}") - F.col(f"reserve{st}") + F.col(f"open{st}")) for st in ("1", "2", "8")]
+    pending = pending_by_sku(s).withColumnRenamed("quantity", "pending")
+    m = op.collect_measures([free_stock_by_store(s)], [shop_open_orders(s), reserve_by_store(s), pending])
+    stores = [
+        fn.not_negative(F.col(f"st{st}_free") - F.col(f"st{st}_reserve") + F.col(f"st{st}_open")) for st in ("1", "2", "8")
+    ]
     total = F.floor(stores[0] + stores[1] + stores[2] - F.col("pending")).cast("bigint")
     return m.select("sku", fn.not_negative(total).cast("bigint").alias("available"))
 
@@ -151,8 +143,7 @@ def shop_inventory(s: Sources, sku: str | None = None) -> DataFrame:
     """Offer of the storefront's own location, over three stores; optionally for one sku."""
     stock = _shop_stock(s)
     kits = op.kit_floor_min(_kitting(s), stock, "available", "left")
-    listed = op.listed_variants(s["variant"], s["location_map"], fv.LOCATION_SHOP)
-    out = op.kit_over_product(stock, kits, listed)
+    out = op.for_listed(op.kit_over_product(stock, kits), _listed(s, fv.LOCATION_SHOP, live_too=True))
     return out if sku is None else out.filter(F.col("sku") == sku.upper())
 
 
@@ -169,7 +160,8 @@ def hk_inventory(s: Sources) -> DataFrame:
     # The reserve only counts where the store has the item.
     rows = items.filter(F.col("store").isin("1", "2")).withColumn("free", free).join(reserve, ["sku", "store"], "left")
     net = rows.select("sku", (F.col("free") - F.coalesce("_r", zero)).alias("quantity"))
-    inputs = {"net": net, "pending": pending_by_sku(s), "shop": s["shop_pending"]}
-    m = op.collect_measures(s["hk_item"], inputs)
+    pending = pending_by_sku(s).withColumnRenamed("quantity", "pending")
+    shop = s["shop_pending"].withColumnRenamed("quantity", "shop")
+    m = op.collect_measures([s["hk_item"]], [net.withColumnRenamed("quantity", "net"), pending, shop])
     total = fn.not_negative(F.col("net") - F.col("pending") + F.col("shop")).cast(inv.QTY)
     return op.only_in(m.select("sku", total.alias("total_inventory")), s["variant"], "sku")

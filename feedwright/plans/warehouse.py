@@ -36,14 +36,14 @@ def _stocked(s: Sources, keep_null_kit: bool) -> DataFrame:
     return op.stocked_skus(s["order_sku"], s["product"], s["product_type"], fv.PRODUCT_KIT_CODES, keep_null_kit)
 
 
-def _matched(s: Sources) -> DataFrame:
+def _sides(s: Sources) -> tuple[DataFrame, DataFrame]:
     expected = op.expected_locations(s["item_store"], fv.STORES_WITH_LOCATIONS)
-    return op.match_locations(expected, s["product_location"], _stocked(s, keep_null_kit=True))
+    return expected, op.stored_locations(s["product_location"], _stocked(s, keep_null_kit=True))
 
 
 def _mismatches(s: Sources) -> DataFrame:
-    matched = _matched(s)
-    return op.location_reconcile(matched, op.multi_location_skus(matched))
+    expected, found = _sides(s)
+    return op.location_reconcile(op.match_locations(expected, found), op.multi_location_skus(expected, found))
 
 
 @check("location_mismatches", "warehouse", "NO02")
@@ -55,7 +55,7 @@ def location_mismatches(s: Sources) -> DataFrame:
 @check("multi_location_skus", "warehouse", "NO02", "audit")
 def multi_location_skus(s: Sources) -> DataFrame:
     """Skus the order system keeps in several places for the same store."""
-    return op.multi_location_skus(_matched(s)).select("sku", "store")
+    return op.multi_location_skus(*_sides(s)).select("sku", "store")
 
 
 @check("location_changes_logged", "warehouse", "NO02", "listing")

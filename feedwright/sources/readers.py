@@ -25,6 +25,7 @@ class Sources(Mapping):
             raise KeyError(f"unknown entities: {sorted(unknown)}")
         self._loaders = dict(loaders)
         self._rename = {k: dict(v) for k, v in (rename or {}).items()}
+        self._frames: dict[str, DataFrame] = {}
 
     def __iter__(self):
         return iter(self._loaders)
@@ -33,6 +34,11 @@ class Sources(Mapping):
         return len(self._loaders)
 
     def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._frames:
+            self._frames[name] = self._load(name)
+        return self._frames[name]
+
+    def _load(self, name: str) -> DataFrame:
         loader = self._loaders[name]
         df = loader() if callable(loader) else loader
         for physical, logical in self._rename.get(name, {}).items():

@@ -140,7 +140,7 @@ kits as (
   select k.sku, min(case when s.net is not null then floor(greatest(s.net / k.component_quantity, 0)) end)::bigint as q
   from kitting k {kit_join} join stock s on s.sku = k.component_sku group by 1),
 totals as (
-  select sku, coalesce(kits.q, floor(greatest(stock.net, 0))::bigint) as total_inventory
+  select sku, coalesce(kits.q, case when stock.net is not null then floor(greatest(stock.net, 0)) end)::bigint as total_inventory
   from stock full join kits using (sku) {population}),
 listed as (
   select distinct v.sku from variant v join location_map m on m.parentid = v.id

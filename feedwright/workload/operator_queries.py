@@ -561,20 +561,20 @@ def location_unpivot(spark, sf):
 
 def _measures(spark, sf):
     lines, orders = _t(spark, sf, "lineitem"), _t(spark, sf, "orders")
-    qty = F.col("l_quantity").cast(inv.QTY).alias("quantity")
-    sku = F.col("l_partkey").alias("sku")
-    population = lines.filter("l_suppkey % 5 = 0").select(sku).distinct()
+    own = F.col("l_suppkey") % 5 == 0
     live = orders.filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    inputs = {
-        "on_hand": lines.filter("l_suppkey % 5 = 0").select(sku, qty),
-        "stock_pit": lines.filter("l_returnflag = 'N'").select(sku, (F.col("l_linenumber") - 5).cast(inv.QTY).alias("quantity")),
-        "committed": lines.filter("l_returnflag = 'R'").select(sku, F.col("l_linenumber").cast(inv.QTY).alias("quantity")),
-        "reserve": lines.select(sku, F.col("l_linenumber").cast(inv.QTY).alias("quantity")),
-        "safety": lines.select(sku, F.lit(0.5).cast(inv.QTY).alias("quantity")),
-        "pending": lines.filter("l_linestatus = 'F'").select(sku, F.lit(2).cast(inv.QTY).alias("quantity")),
-        "open_orders": lines.join(live, "l_orderkey").select(sku, F.lit(1).cast(inv.QTY).alias("quantity")),
-    }
-    return op.collect_measures(population, inputs, {"reserve": "max"})
+    number = F.col("l_linenumber")
+    every = lines.select(
+        F.col("l_partkey").alias("sku"),
+        F.when(F.col("l_returnflag") == "N", number - 5).alias("stock_pit"),
+        F.when(F.col("l_returnflag") == "R", number).alias("committed"),
+        number.alias("reserve"),
+        F.lit(0.5).alias("safety"),
+        F.when(F.col("l_linestatus") == "F", F.lit(2)).alias("pending"),
+    )
+    open_orders = lines.join(live, "l_orderkey").select(F.col("l_partkey").alias("sku"), F.lit(1).alias("open_orders"))
+    members = lines.filter(own).select(F.col("l_partkey").alias("sku"), F.col("l_quantity").alias("on_hand"))
+    return op.collect_measures([members], [every, open_orders], {"reserve": "max"})
 
 
 _MEASURES_SQL = """
@@ -661,7 +661,7 @@ def kit_over_product(spark, sf):
         F.col("l_linenumber").cast(inv.QTY).alias("component_quantity"),
     )
     listed = _t(spark, sf, "part").filter("p_type <> 'PROMO'").select(F.col("p_partkey").alias("sku"))
-    return op.kit_over_product(stock, op.kit_floor_min(kitting, stock), listed)
+    return op.for_listed(op.kit_over_product(stock, op.kit_floor_min(kitting, stock)), listed)
 
 
 @query(
@@ -696,13 +696,6 @@ def mixed_state_keys(spark, sf):
     return op.mixed_state_keys(orders, "o_custkey", "obsolete")
 
 
-def _matched(spark, sf):
-    s = standin_sources(spark, sf)
-    stocked = op.stocked_skus(s["order_sku"], s["product"], s["product_type"], fv.PRODUCT_KIT_CODES, keep_null_kit=True)
-    expected = op.expected_locations(s["item_store"], fv.STORES_WITH_LOCATIONS)
-    return op.match_locations(expected, s["product_location"], stocked)
-
-
 _MATCHED_SQL = """
 expected as (
   select trim(item_number) as sku, store,
@@ -733,8 +726,11 @@ _MATCHED_ENTITIES = "item_store order_sku product product_type product_location"
 
 
 def _mismatches(spark, sf):
-    matched = _matched(spark, sf)
-    return op.location_reconcile(matched, op.multi_location_skus(matched))
+    s = standin_sources(spark, sf)
+    stocked = op.stocked_skus(s["order_sku"], s["product"], s["product_type"], fv.PRODUCT_KIT_CODES, keep_null_kit=True)
+    expected = op.expected_locations(s["item_store"], fv.STORES_WITH_LOCATIONS)
+    found = op.stored_locations(s["product_location"], stocked)
+    return op.location_reconcile(op.match_locations(expected, found), op.multi_location_skus(expected, found))
 
 
 @query(

@@ -535,14 +535,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def entity(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    frames = {n: table(spark, sf_dir, n) if n in BASE_TABLES else entity(spark, sf_dir, n) for n in _inputs(name)}
-    return spark.sql(_SQL[name], **frames)
-
-
 def standin_sources(spark: SparkSession, sf_dir: str) -> Sources:
     """All entities over the benchmark tables; an entity is only built when a check asks for it."""
-    return Sources({n: (lambda n=n: entity(spark, sf_dir, n)) for n in ENTITIES})
+    built: dict[str, DataFrame] = {}
+
+    def build(name: str) -> DataFrame:
+        if name not in built:
+            if name in BASE_TABLES:
+                built[name] = table(spark, sf_dir, name)
+            else:
+                built[name] = spark.sql(_SQL[name], **{n: build(n) for n in _inputs(name)})
+        return built[name]
+
+    return Sources({n: (lambda n=n: build(n)) for n in ENTITIES})
 
 
 _DUCK_TYPES = {"string": "varchar", "timestamp_ntz": "timestamp"}
