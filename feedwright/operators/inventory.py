@@ -107,13 +107,13 @@ def collect_measures(
     no fan-out between inputs, and no key too hot for it.
     """
     how = how or {}
-    frames = [(df, F.lit(1)) for df in members] + [(df, F.lit(None).cast("int")) for df in others]
+    frames = [(df, "1") for df in members] + [(df, "cast(null as int)") for df in others]
     names = list(dict.fromkeys(c for df, _ in frames for c in df.columns if c != key))
     stacked = [
-        df.select(
-            key,
-            member.alias("_member"),
-            *[(F.col(n) if n in df.columns else F.lit(None)).cast(QTY).alias(n) for n in names],
+        df.selectExpr(
+            f"`{key}`",
+            f"{member} as _member",
+            *[f"cast({f'`{n}`' if n in df.columns else 'null'} as {QTY}) as `{n}`" for n in names],
         )
         for df, member in frames
     ]

@@ -31,6 +31,8 @@ def local_session(app: str = "feedwright", cores: str = "*", shuffle_partitions:
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        # Keeps the Python side from asking the JVM for the call site of every column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -6,7 +6,6 @@ from collections.abc import Callable, Mapping
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .entities import ENTITIES, SKU_COLUMNS, ddl
 
@@ -46,12 +45,12 @@ class Sources(Mapping):
         missing = set(ENTITIES[name]) - set(df.columns)
         if missing:
             raise ValueError(f"{name} lacks columns {sorted(missing)}")
-        return df.select(*[self._column(c, kind) for c, kind in ENTITIES[name].items()])
+        return df.selectExpr(*[self._column(c, kind) for c, kind in ENTITIES[name].items()])
 
     @staticmethod
-    def _column(name: str, kind: str):
-        c = F.col(name).cast(kind)
-        return (F.upper(F.rtrim(c)) if name in SKU_COLUMNS else c).alias(name)
+    def _column(name: str, kind: str) -> str:
+        value = f"cast(`{name}` as {kind})"
+        return f"upper(rtrim({value})) as `{name}`" if name in SKU_COLUMNS else f"{value} as `{name}`"
 
     def with_frames(self, **frames: DataFrame) -> Sources:
         """A copy with some tables replaced."""

@@ -21,8 +21,10 @@ def _money(x: str) -> str:
 
 
 def _pick(x: str, values: list[str | None]) -> str:
-    cases = " ".join(f"when {i} then {'null' if v is None else repr(v)}" for i, v in enumerate(values))
-    return f"case {x} % {len(values)} {cases} end"
+    """One of the values by ``x`` modulo their number, cut from a fixed-width text; blank means null."""
+    width = max(len(v or "") for v in values)
+    text = "".join((v or "").ljust(width) for v in values)
+    return f"nullif(trim(substring('{text}', cast({x} % {len(values)} as int) * {width} + 1, {width})), '')"
 
 
 def _kit(k: str) -> str:
