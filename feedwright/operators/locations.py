@@ -39,29 +39,20 @@ def expected_locations(
     # Text joined the way the source system does: a null part counts as empty.
     coded = F.concat(F.coalesce("department", F.lit("")), F.lit("-"), F.coalesce("location_code", F.lit("")))
     with_department = F.lit(True) if department_stores is None else F.col("store").isin(list(department_stores))
-    sku = F.trim("item_number")
-    regular = items.filter(one_of("store", stores) & ~fold(sku).startswith("zz"))
-    market = items.filter(one_of("store", [MARKETPLACE_STORE]))
+    sku, market = F.trim("item_number"), fold("store") == MARKETPLACE_STORE.lower()
+    regular = one_of("store", stores)
     if vendor_rule:
-        regular = regular.filter(none_of("primary_vendor", EXCLUDED_VENDORS))
-        market = market.filter(none_of("primary_vendor", EXCLUDED_MARKETPLACE_VENDORS))
+        regular = regular & ~fold(sku).startswith("zz") & none_of("primary_vendor", EXCLUDED_VENDORS)
+        kept = regular | (market & none_of("primary_vendor", EXCLUDED_MARKETPLACE_VENDORS))
     else:
-        regular = regular.filter(fold(sku) != "$due")
-        market = market.filter(~fold(sku).startswith("zz"))
-    columns = [not_negative(free).cast("decimal(18,4)").alias("free"), "store"]
-    own = regular.select(
-        F.upper(sku).alias("sku"),
+        kept = ((regular & (fold(sku) != "$due")) | market) & ~fold(sku).startswith("zz")
+    return items.filter(kept).select(
+        F.when(market, F.concat(F.upper(sku), F.lit("-FBA"))).otherwise(F.upper(sku)).alias("sku"),
         F.when(with_department, coded).otherwise(F.col("location_code")).alias("expected_location"),
-        code_map("store", STORE_WAREHOUSE).alias("warehouse_code"),
-        *columns,
-    )
-    fba = market.select(
-        F.concat(F.upper(sku), F.lit("-FBA")).alias("sku"),
-        (coded if department_stores is None else F.col("location_code")).alias("expected_location"),
-        F.lit(MARKETPLACE_WAREHOUSE).alias("warehouse_code"),
-        *columns,
+        F.when(market, F.lit(MARKETPLACE_WAREHOUSE)).otherwise(code_map("store", STORE_WAREHOUSE)).alias("warehouse_code"),
+        not_negative(free).cast("decimal(18,4)").alias("free"),
+        "store",
     )
-    return own.union(fba)
 
 
 def stocked_skus(

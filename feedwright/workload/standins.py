@@ -32,8 +32,7 @@ def _kit(k: str) -> str:
 
 
 def _kit_marked(k: str) -> str:
-    marks = f"case {k} % 7 when 1 then '-FBA' when 2 then '(b)' when 3 then '.OLD' else '' end"
-    return f"{_kit(k)} || {marks}"
+    return f"{_kit(k)} || substring('    -FBA(b) .OLD            ', cast({k} % 7 as int) * 4 + 1, 4)"
 
 
 def _order(k: str) -> str:
@@ -44,7 +43,8 @@ def _channel_order(k: str) -> str:
     return f"case when {k} % 3 = 0 then 'ebay-' else 'Shopify-' end || cast({k} as string)"
 
 
-_STORE = _pick("l_suppkey", ["1", "2", "4", "7", "8", "D", "J", "m"])
+_STORE_CODES = "12478DJm"
+_STORE = f"substring('{_STORE_CODES}', cast(l_suppkey % 8 as int) + 1, 1)"
 _WAREHOUSES = ["HHH", "HTOOL", "LHAK", "LHAD", "HHMF"]
 _PRICE = "(900 + (p % 1000) / 10.0)"
 _GID = "'gid://shopify/ProductVariant/' || "
@@ -162,13 +162,12 @@ select distinct o_orderpriority as type,
 from {orders} where o_orderpriority <> '5-LOW'
 """
 _SQL["item_store"] = f"""
-select case when p % 40 = 7 then 'ZZ' else '' end
-    || case store when 'J' then cast(p as string) || '-fba' when '7' then cast(p as string) || '(A)'
-                  when '2' then ' ' || cast(p as string) || '  ' else cast(p as string) end as item_number,
-  store, {_pick('ln', ['C', 'o', 'N', 'Y', None])} as web_flag,
-  case when first_line = 1 and store in ('1', '8') then 0 else {_PRICE} end as retail_price,
+select case when p % 40 = 7 then 'ZZ' else '' end || cast(p as string)
+    || substring('            (A)         -fba    ', st * 4 + 1, 4) as item_number,
+  substring('{_STORE_CODES}', st + 1, 1) as store, {_pick('ln', ['C', 'o', 'N', 'Y', None])} as web_flag,
+  case when first_line = 1 and st in (0, 4) then 0 else {_PRICE} end as retail_price,
   case when low_discount < 0.03 then {_PRICE} * 0.9 when low_discount < 0.05 then 0 else null end as promotion_price,
-  qty + case store when '2' then 0.5 else 0 end as quantity_on_hand,
+  qty + case st when 1 then 0.5 else 0 end as quantity_on_hand,
   case when last_line = 7 then null else ln * 3 end as committed_quantity,
   n as future_order_quantity, case when n % 5 = 0 then null else first_line end as safety_stock,
   {_pick('n', ['y', 'N', 'N'])} as discontinued, {_pick('ln', ['N', 'Y', 'N', None])} as closeout,
@@ -178,10 +177,10 @@ select case when p % 40 = 7 then 'ZZ' else '' end
   {_pick('p', ['FEST', 'stabl', 'Deere', '05112'])} as manufacturer,
   'Item ' || cast(p as string) as description
 from (
-  select l_partkey as p, store, cast(sum(l_linenumber) as bigint) as ln, count(*) as n,
+  select l_partkey as p, cast(l_suppkey % 8 as int) as st, cast(sum(l_linenumber) as bigint) as ln, count(*) as n,
     cast(sum(l_quantity) as bigint) as qty, cast(min(l_linenumber) as bigint) as first_line,
     max(l_linenumber) as last_line, min(l_discount) as low_discount
-  from (select *, {_STORE} as store from {{lineitem}}) rows_with_store group by l_partkey, store) grouped
+  from {{lineitem}} group by l_partkey, cast(l_suppkey % 8 as int)) grouped
 """
 _SQL["hk_item_store"] = "select * from {item_store} where store in ('1', '2')"
 _SQL["item_upc"] = f"""
@@ -252,9 +251,6 @@ from {{item_store}} where store in ('1', '2', '4', '7', '8', 'D')
 union all
 select trim(item_number), {_WAREHOUSE_OF_STORE}, 'second', 1 from {{item_store}}
 where store in ('1', '8') and future_order_quantity % 7 = 0
-union all
-select trim(item_number), {_WAREHOUSE_OF_STORE}, coalesce(department, '') || '-' || location_code, floor(quantity_on_hand)
-from {{item_store}} where store in ('2') and future_order_quantity % 3 = 0
 """
 _SQL["product"] = f"""
 select cast(p_partkey as string) as product_number, p_type as product_type_code, p_name as product_name from {{part}}
