@@ -255,7 +255,7 @@ where store in ('1', '8') and future_order_quantity % 7 = 0
 _SQL["product"] = f"""
 select cast(p_partkey as string) as product_number, p_type as product_type_code, p_name as product_name from {{part}}
 union all
-select {_kit_marked('o_orderkey')}, 'KIT', 'Kit ' || cast(o_orderkey as string) from {{orders}}
+select {_kit_marked('o_orderkey')}, 'KIT ' || o_orderstatus, 'Kit ' || cast(o_orderkey as string) from {{orders}}
 """
 _SQL["product_type"] = """
 select distinct p_type as product_type_code, case p_type when 'PROMO' then 'N' else 'Y' end as inventory_flag from {part}
