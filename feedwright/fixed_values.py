@@ -47,6 +47,8 @@ ITEM_SOURCE = "eagle"
 KIT_SOURCE = "NatOrd-Kit"
 NOT_KIT_SOURCES = ["adc", "homesource", "eagle", "LEH import"]
 NOT_ITEM_SOURCES = ["adc", "homesource", "natord-kit"]
+CATALOG_ONLY_SOURCE = "akeneo"
+CATALOG_ONLY_TRACE = "akeneo only"
 ARCHIVED = ["archive", "archived"]
 APPLIANCE_STORES_TEXT = '["1","4","adc"]'
 BRAND_CODE_PREFIX = "upc code: "
@@ -62,6 +64,10 @@ PRODUCT_KIT_CODES = ["K", "S"]
 EXCLUDED_VENDORS = ["5HACO", "HARTC", "MCELR", "ULINE"]
 EXCLUDED_MARKETPLACE_VENDORS = ["5HACO", "HARTC"]
 
+# Labels of the two systems in the committed-sales report.
+ITEM_SALES_LABEL, ITEM_SALES_CODE = "eagle", "E"
+ORDER_SALES_LABEL, ORDER_SALES_CODE = "natural-order", "NO"
+
 # Storefront location ids.
 LOCATION_HH = "gid://shopify/Location/79232434312"
 LOCATION_MF = "gid://shopify/Location/79232401544"

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SPREAD = "_fw_spread"
+_KEY = "_fw_key"
 
 
 def as_list(on: str | Sequence[str]) -> list[str]:
@@ -25,14 +25,21 @@ def join_summary(rows: DataFrame, summary: DataFrame, on: str | Sequence[str], h
     A summary that was just grouped by the key is already partitioned by it, and Spark would reuse that layout: the row
     side then has to follow and a hot key cannot be split. A second equality on a hash of the key makes Spark exchange
     both sides plainly, so AQE can split the hot partition of ``rows`` (repeating one summary row) or switch to a
-    broadcast once it has seen that the summary really is small.
+    broadcast once it has seen that the summary really is small. Look-ups on the same key one after the other share one
+    exchange of ``rows``.
     """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"how={how!r} is not a look-up")
     on = as_list(on)
     left_types, right_types = dict(rows.dtypes), dict(summary.dtypes)
     for key in on:
         if left_types[key] != right_types[key]:
             raise TypeError(f"key {key!r} is {left_types[key]} on one side and {right_types[key]} on the other")
-    spread = F.xxhash64(*on)
-    joined = rows.withColumn(_SPREAD, spread).join(summary.withColumn(_SPREAD, spread), [*on, _SPREAD], how)
-    added = [] if how in ("left_semi", "left_anti") else [c for c in summary.columns if c not in on]
-    return joined.select(*rows.columns, *added)
+    added = [c for c in summary.columns if c not in on]
+    renamed = [f"{_KEY}{i}" for i in range(len(on))]
+    other = summary.select(*[F.col(key).alias(new) for key, new in zip(on, renamed)], *added)
+    same = F.xxhash64(*on) == F.xxhash64(*renamed)
+    for key, new in zip(on, renamed):
+        same = (F.col(key) == F.col(new)) & same
+    joined = rows.join(other, same, how)
+    return joined.select(*rows.columns, *([] if how in ("left_semi", "left_anti") else added))

@@ -21,7 +21,7 @@ def latest_record(df: DataFrame, key: str | Sequence[str], ts: Sequence[str]) ->
     key = as_list(key)
     stamped = df.withColumn(_AT, F.coalesce(*[F.col(c) for c in ts])).filter(F.col(_AT).isNotNull())
     newest = stamped.groupBy(*key).agg(F.max(_AT).alias(_AT))
-    return stamped.join(newest, [*key, _AT]).select(*df.columns)
+    return join_summary(stamped, newest, [*key, _AT]).select(*df.columns)
 
 
 def first_seen_date(products: DataFrame, kits: DataFrame, key: str = "sku", at: str = "created_at") -> DataFrame:

@@ -55,8 +55,8 @@ def sales_parts(s: Sources) -> list[DataFrame]:
         F.col("creation_date").alias("transaction_date"),
         F.col("actual_selling_price").alias("price"),
         "cost",
-        F.lit("eagle").alias("source_type"),
-        F.lit("E").alias("source_code"),
+        F.lit(fv.ITEM_SALES_LABEL).alias("source_type"),
+        F.lit(fv.ITEM_SALES_CODE).alias("source_code"),
     )
     lines = op.open_lines(s["line_item"].withColumn("line_status", F.col("status_code")))
     lines = lines.join(s["sales_order"].select("order_number", "receiving_format_code", "today"), "order_number")
@@ -69,8 +69,8 @@ def sales_parts(s: Sources) -> list[DataFrame]:
         F.col("today").alias("transaction_date"),
         F.col("product_price").alias("price"),
         F.col("sku_list_price").alias("cost"),
-        F.lit("natural-order").alias("source_type"),
-        F.lit("NO").alias("source_code"),
+        F.lit(fv.ORDER_SALES_LABEL).alias("source_type"),
+        F.lit(fv.ORDER_SALES_CODE).alias("source_code"),
     )
     return [item_sales, order_sales]
 

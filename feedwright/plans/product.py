@@ -93,7 +93,7 @@ def onboarding_candidates(s: Sources) -> DataFrame:
 @check("code_flag_feed", "product", "PF06")
 def code_flag_feed(s: Sources) -> DataFrame:
     """The 'no code exists' flag of the feed against the catalog's."""
-    catalog = catalog_by_identifier(s, "upc_no_exist", "data_source").filter(~fn.fold("data_source").contains("akeneo"))
+    catalog = catalog_by_identifier(s, "upc_no_exist", "data_source").filter(~fn.fold("data_source").contains(fv.CATALOG_ONLY_SOURCE))
     feed = s["product_feed"].select(F.trim("identifier").alias("sku"), F.col("upc_no_exist").alias("feed_flag"))
     as_digit = fn.code_map(fn.fold("upc_no_exist"), {"true": "1", "false": "0"})
     return op.reconcile(catalog, feed, "sku", [Pair("flag_check", as_digit, "feed_flag")])
@@ -190,7 +190,7 @@ def _create_dates(s: Sources) -> DataFrame:
 
 
 @check("feed_create_dates", "product", "PF13")
-def feed_create_dates(s: Sources, skip_trace: str = "akeneo only") -> DataFrame:
+def feed_create_dates(s: Sources, skip_trace: str = fv.CATALOG_ONLY_TRACE) -> DataFrame:
     """Feed create date against the first record (a kit's newest component); active appliances are left out."""
     feed = s["product_feed"].filter(fn.none_of("product_trace", [skip_trace])).select(
         F.trim("identifier").alias("sku"), F.col("erp_sku_create_date").alias("feed_date")
@@ -200,7 +200,7 @@ def feed_create_dates(s: Sources, skip_trace: str = "akeneo only") -> DataFrame:
 
 
 @check("catalog_create_dates", "product", "PF13")
-def catalog_create_dates(s: Sources, skip_trace: str = "akeneo only") -> DataFrame:
+def catalog_create_dates(s: Sources, skip_trace: str = fv.CATALOG_ONLY_TRACE) -> DataFrame:
     """Catalog create date against the first record; unassigned products and active appliances are left out."""
     feed = s["product_feed"].filter(fn.none_of("product_trace", [skip_trace])).select(F.trim("identifier").alias("sku"), "product_trace")
     unassigned = op.json_unassigned(s["catalog_json"], "family").select(F.col("identifier").alias("sku"))

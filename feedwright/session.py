@@ -12,6 +12,8 @@ RUNTIME_OPTIONS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # A hot key shows up as one oversized shuffle partition; AQE splits it and repeats the matching summary rows.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Several look-ups on one key share an exchange; split a hot key even if that costs the sharing for this one job.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }
 

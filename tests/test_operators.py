@@ -73,30 +73,72 @@ def test_join_summary_keeps_column_order(frame):
     assert op.join_summary(left, right, "k", "left_anti").columns == ["a", "k", "b"]
 
 
-def test_hot_key_of_a_summary_join_is_split(spark):
-    keys = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
-        "spark.sql.adaptive.coalescePartitions.enabled": "false",
-    }
-    before = {k: spark.conf.get(k, None) for k in keys}
-    for k, v in keys.items():
+SMALL_PARTITIONS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
+
+
+@pytest.fixture
+def small_partitions(spark):
+    before = {k: spark.conf.get(k, None) for k in SMALL_PARTITIONS}
+    for k, v in SMALL_PARTITIONS.items():
         spark.conf.set(k, v)
-    try:
-        ids = spark.range(0, 200_000, 1, 8)
-        big = ids.select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
-        summary = big.groupBy("k").agg(F.count("*").alias("n"))
-        joined = op.join_summary(big, summary, "k")
-        assert joined.agg(F.sum(F.length("v"))).collect()[0][0] == 200_000 * 64
-        out = joined.select(F.sum(F.length("v") + F.col("n") * 0).alias("s"))
-        out.collect()
-        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def hot_rows(spark, n=200_000):
+    """A third of all rows share one key."""
+    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string"))
+    return spark.range(0, n, 1, 8).select(key.alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"), (F.col("id") % 7).alias("t"))
+
+
+def final_plan(df):
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text[: text.index("== Initial Plan ==")]
+
+
+def test_hot_key_of_a_summary_join_is_split(spark, small_partitions):
+    big = hot_rows(spark)
+    joined = op.join_summary(big, big.groupBy("k").agg(F.count("*").alias("n")), "k")
+    out = joined.select(F.sum(F.length("v") + F.col("n") * 0).alias("s"))
+    assert out.collect()[0][0] == 200_000 * 64
+    assert "skew=true" in final_plan(out)
+
+
+def test_hot_key_is_split_in_a_row_of_look_ups(spark, small_partitions):
+    big = hot_rows(spark)
+    a, b = big.filter("t < 5").select("k"), big.filter("t = 6").select("k")
+    out = op.exclude(op.only_in(big, a, "k"), b, "k").agg(F.count("v").alias("n"))
+    keys_a, keys_b = {"hot"}, {"hot"}
+    for i in range(200_000):
+        if i % 3:
+            keys_a.add(str(i)) if i % 7 < 5 else keys_b.add(str(i)) if i % 7 == 6 else None
+    want = sum(1 for i in range(200_000) for k in ["hot" if i % 3 == 0 else str(i)] if k in keys_a and k not in keys_b)
+    assert out.collect()[0][0] == want
+    assert "skew=true" in final_plan(out)
+
+
+def test_look_ups_on_one_key_share_an_exchange(spark, small_partitions):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_partkey", "l_suppkey", "l_quantity")
+    a, b = df.filter("l_quantity > 40"), df.filter("l_quantity < 2")
+    plan = op.exclude(op.only_in(df, a, "l_partkey"), b, "l_partkey")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(l_partkey") == 3  # the rows, and one distinct per key list
+    assert plan.count("Exchange hashpartitioning(") == 5  # plus each key list to the rows' layout
+
+
+def test_latest_record_splits_a_hot_key(spark, small_partitions):
+    big = hot_rows(spark).withColumn("t", F.lit(1))  # every row of the hot key ties
+    out = op.latest_record(big, "k", ["t"]).agg(F.count("v").alias("n"))
+    assert out.collect()[0][0] == 200_000
+    assert "skew=true" in final_plan(out)
 
 
 def test_reconcile_with_itself_is_empty(frame):
