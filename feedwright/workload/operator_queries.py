@@ -97,7 +97,7 @@ def normalize_sku(spark, sf):
     "q04_eligible_population",
     """
 select distinct l_partkey::varchar as sku, 'item' as source from lineitem
-where l_returnflag in ('A', 'N') and l_suppkey % 5 < 3
+where l_returnflag in ('A', 'N') and ['1','2','4','7','8'][l_suppkey % 5 + 1] in ('1', '2', '4')
 union
 select 'K' || o_orderkey::varchar, 'kit' from orders where o_orderstatus <> 'F'
 union
@@ -561,7 +561,7 @@ def location_unpivot(spark, sf):
 
 def _measures(spark, sf):
     lines, orders = _t(spark, sf, "lineitem"), _t(spark, sf, "orders")
-    own = F.col("l_suppkey") % 5 == 0
+    own = _stores("l_suppkey", _STORES) == "1"
     live = orders.filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
     number = F.col("l_linenumber")
     every = lines.select(
@@ -577,14 +577,14 @@ def _measures(spark, sf):
     return op.collect_measures([members], [every, open_orders], {"reserve": "max"})
 
 
-_MEASURES_SQL = """
+_MEASURES_SQL = f"""
 with m as (
-  select l_partkey as sku, sum(l_quantity) filter (l_suppkey % 5 = 0) as on_hand,
+  select l_partkey as sku, sum(l_quantity) filter ({_STORE_SQL} = '1') as on_hand,
     coalesce(sum(l_linenumber - 5) filter (l_returnflag = 'N'), 0) as pit,
     coalesce(sum(l_linenumber) filter (l_returnflag = 'R'), 0) as committed, max(l_linenumber) as reserve, count(*) * 0.5 as safety,
     count(*) filter (l_linestatus = 'F') * 2 as pending,
     count(*) filter (l_orderkey in (select o_orderkey from orders where o_orderstatus <> 'F')) as open_orders
-  from lineitem group by 1 having count(*) filter (l_suppkey % 5 = 0) > 0),
+  from lineitem group by 1 having count(*) filter ({_STORE_SQL} = '1') > 0),
 offer as (select *, on_hand + open_orders + greatest(pit, 0) - committed - reserve - safety - pending as net from m)
 """
 
@@ -965,16 +965,21 @@ def membership_flags(spark, sf):
 @query(
     "q40_cross_store_difference",
     """
-select distinct l_partkey as sku, l_suppkey as supplier from lineitem where l_suppkey % 5 = 0 and l_quantity > 10
-  and l_partkey not in (select l_partkey from lineitem where l_suppkey % 5 = 1 and l_returnflag = 'A')
+with item as (select *, ['1','2','4','7','8'][l_suppkey % 5 + 1] as store from lineitem)
+select distinct l_partkey as sku, l_suppkey as supplier from item where store = '1' and l_quantity > 10
+  and l_partkey not in (select l_partkey from item where store = '2' and l_returnflag = 'A')
 """,
 )
 def cross_store_difference(spark, sf):
     lines = _t(spark, sf, "lineitem").select(
-        F.col("l_partkey").alias("sku"), F.col("l_suppkey").alias("supplier"), "l_quantity", "l_returnflag"
+        F.col("l_partkey").alias("sku"),
+        F.col("l_suppkey").alias("supplier"),
+        _stores("l_suppkey", _STORES).alias("store"),
+        "l_quantity",
+        "l_returnflag",
     )
-    a = lines.filter("supplier % 5 = 0 and l_quantity > 10").select("sku", "supplier").distinct()
-    return op.cross_store_difference(a, lines.filter("supplier % 5 = 1 and l_returnflag = 'A'"))
+    a = lines.filter("store = '1' and l_quantity > 10").select("sku", "supplier").distinct()
+    return op.cross_store_difference(a, lines.filter("store = '2' and l_returnflag = 'A'"))
 
 
 @query(

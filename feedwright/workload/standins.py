@@ -28,7 +28,7 @@ def _pick(x: str, values: list[str | None]) -> str:
 
 
 def _kit(k: str) -> str:
-    return f"case when {k} % 5 = 0 then cast({k} as string) else 'K' || cast({k} as string) end"
+    return f"'K' || cast({k} as string)"
 
 
 def _kit_marked(k: str) -> str:
@@ -104,7 +104,7 @@ select {_kit('o_orderkey')}, {_kit('o_orderkey')},
   case o_orderkey % 2 when 0 then 'True' else 'false' end, 'False', 'True', case o_orderkey % 3 when 0 then null else 'false' end,
   2, 0, 0, 0, 3, 0, 0, 0, null, null, null, null,
   null, null
-from {{orders}} where o_orderkey % 5 <> 0
+from {{orders}}
 """
 
 _SQL["catalog_json"] = f"""
@@ -132,7 +132,7 @@ select cast(p_partkey as string) || ' ' as identifier,
 from {{part}} where p_type <> 'LARGE'
 union all
 select {_kit('o_orderkey')}, lpad(cast(o_orderkey as string), 12, '9'), '0', cast(o_orderdate as date), 'both'
-from {{orders}} where o_orderkey % 5 <> 0 and o_orderstatus <> 'P'
+from {{orders}} where o_orderstatus <> 'P'
 """
 _SQL["appliance"] = """
 select cast(o_custkey as string) as sku, cast(o_orderkey as string) as apid,
@@ -162,7 +162,7 @@ select distinct o_orderpriority as type,
 from {orders} where o_orderpriority <> '5-LOW'
 """
 _SQL["item_store"] = f"""
-select case when p % 40 = 7 then 'ZZ' else '' end || cast(p as string)
+select case when p % 40 = 7 then 'ZZ' when p % 10 = 5 then 'K' else '' end || cast(p as string)
     || substring('            (A)         -fba    ', st * 4 + 1, 4) as item_number,
   substring('{_STORE_CODES}', st + 1, 1) as store, {_pick('ln', ['C', 'o', 'N', 'Y', None])} as web_flag,
   case when first_line = 1 and st in (0, 4) then 0 else {_PRICE} end as retail_price,
@@ -210,7 +210,7 @@ from {{part}}
 union all
 select {_kit_marked('o_orderkey')}, case o_orderstatus when 'F' then 'N' else 'y' end, cast(o_orderdate as date),
   {_kit_marked('o_orderkey')}, 'K'
-from {{orders}} where o_orderkey % 5 <> 0
+from {{orders}}
 """
 _SQL["kit_upc"] = f"""
 select {_kit_marked('o_orderkey')} || ' ' as sku,
@@ -233,10 +233,10 @@ select case store when 'D' then trim(item_number) || '-fba' else trim(item_numbe
   future_order_quantity as product_reserve_quantity
 from {{item_store}} where store in ('1', '2', '4', '7', '8', 'D')
 union all
-select {_kit_marked('o_orderkey')}, {_pick('o_orderkey', _WAREHOUSES)}, null, 0 from {{orders}} where o_orderkey % 5 <> 0
+select {_kit_marked('o_orderkey')}, {_pick('o_orderkey', _WAREHOUSES)}, null, 0 from {{orders}}
 union all
 select {_kit_marked('o_orderkey')}, {_pick('(o_orderkey + 1)', _WAREHOUSES)}, null, 0
-from {{orders}} where o_orderkey % 5 <> 0 and o_orderstatus = 'O'
+from {{orders}} where o_orderstatus = 'O'
 """
 _SQL["product_location"] = f"""
 select case store when 'D' then trim(item_number) || '-FBA' else trim(item_number) end as sku,
@@ -289,7 +289,7 @@ select {_order('o_orderkey')} as order_number, {_pick('o_custkey', ['hhcv3', 'CV
 from {{orders}}
 union all
 select {_order('o_orderkey')}, 'HHCV3', {_channel_order('o_orderkey')} from {{orders}}
-where o_custkey % 4 = 1 and o_orderpriority = '1-URGENT'
+where {_pick('o_custkey', ['hhcv3', 'CV3', 'EBAY', 'OTHER'])} = 'CV3' and o_orderpriority = '1-URGENT'
 """
 _SQL["line_item"] = f"""
 select {_order('l_orderkey')} as order_number, l_linenumber as line_number, cast(l_partkey as string) as sku,
@@ -338,10 +338,10 @@ from {orders}
 _SQL["store_lookup"] = f"""
 select distinct {_pick('s_suppkey', _WAREHOUSES)} as warehouse_code, 'WE' as receiving_format,
   {_pick('s_suppkey', ['11', '12', '17', '18', '14'])} as store_num
-from {{supplier}} where s_suppkey % 5 < 3
+from {{supplier}} where {_pick('s_suppkey', _WAREHOUSES)} in ('HHH', 'HTOOL', 'LHAK')
 union all
 select distinct {_pick('s_suppkey', _WAREHOUSES)}, null, {_pick('s_suppkey', ['1', '2', '7', '8', '4'])}
-from {{supplier}} where s_suppkey % 5 > 0
+from {{supplier}} where {_pick('s_suppkey', _WAREHOUSES)} <> 'HHH'
 """
 _SQL["po_detail"] = """
 select cast(l_orderkey as string) as po_number, l_linenumber as line_number, ' ' || cast(l_partkey as string) as item_number,
@@ -360,7 +360,7 @@ from {{part}} where p_size <> 13
 union all
 select {_GID} {_kit('o_orderkey')}, {_kit('o_orderkey')}, 'PK' || cast(o_orderkey as string),
   case o_orderstatus when 'F' then 'production' else 'Sandbox' end, 'leh'
-from {{orders}} where o_orderkey % 5 <> 0
+from {{orders}}
 """
 _SQL["storefront_product"] = """
 select 'P' || cast(p_partkey as string) as id, case p_type when 'SMALL' then 'DRAFT' else 'active' end as status,
