@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import CODE_LENGTHS
 from ..functions import fold
-from .keys import join_summary
 from .population import exclude
 
 
