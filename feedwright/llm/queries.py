@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from feedwright.llm import bpe, decontaminate, language, licenses, toxicity
+from feedwright.llm import bpe, chunks, decontaminate, language, licenses, toxicity
 from feedwright.llm.text import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.dedup(read(spark, sf_dir, "documents"))
+
+
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = read(spark, sf_dir, "documents"), held_out("doc_id", 5, 0)
