@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from feedwright.llm import bpe, chunks, decontaminate, language, licenses, toxicity
+from feedwright.llm import bpe, chunks, decontaminate, language, licenses, minhash, toxicity
 from feedwright.llm.text import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+@query
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=4, threshold=80)
+
+
 def codec_digests(codec: bpe.Codec, ids: list[int]) -> tuple[int, str, str]:
     listed, decoded = codec.listed(ids).encode(), codec.decode(ids)
     return len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(decoded).hexdigest()
@@ -108,3 +113,19 @@ found as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
   sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join words using (doc_id) left join found using (doc_id)"""
+
+# Pairs come from an inverted index over shingles; components by a recursive walk over the links.
+ORACLES["op5_minhash"] = r"""
+with recursive d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 3], ' ') as g
+  from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+links as (
+  select x.doc_id as a, y.doc_id as b from s x join s y on x.g = y.g and x.doc_id <> y.doc_id
+  join n p on p.doc_id = x.doc_id join n q on q.doc_id = y.doc_id
+  group by x.doc_id, y.doc_id, p.n, q.n having 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+reach as (select doc_id, doc_id as node from documents union select reach.doc_id, b from reach join links on a = node)
+select doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(node) as component_id, doc_id = min(node) as kept
+from reach left join n using (doc_id) group by doc_id"""
