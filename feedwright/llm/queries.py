@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from feedwright.llm import bpe, chunks, decontaminate, language, licenses, minhash, suffixes, toxicity
+from feedwright.llm import bpe, chunks, decontaminate, embeddings, language, licenses, minhash, suffixes, toxicity
 from feedwright.llm.text import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 @query
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
@@ -141,3 +146,16 @@ links as (
 reach as (select doc_id, doc_id as node from documents union select reach.doc_id, b from reach join links on a = node)
 select doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(node) as component_id, doc_id = min(node) as kept
 from reach left join n using (doc_id) group by doc_id"""
+
+ORACLES["op1_embedding_near_dedup"] = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where list_sum(list_transform(embedding, lambda x: x::double * x)) > 0),
+u as (select vec_id, e, sqrt(list_inner_product(e, e)) as s from v),
+links as (
+  select x.vec_id as a, y.vec_id as b from u x join u y on x.vec_id <> y.vec_id
+  where list_inner_product(x.e, y.e) / (x.s * y.s) >= 0.9),
+reach as (select vec_id, vec_id as node from embeddings union select reach.vec_id, b from reach join links on a = node)
+select vec_id, (select count(*) from links where a = vec_id) as n_links, min(node) as component_id,
+  vec_id = min(node) as kept
+from reach group by vec_id"""
