@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from feedwright.llm import bpe, chunks, decontaminate, embeddings, language, licenses, minhash, suffixes, toxicity
+from feedwright.llm import bpe, chunks, decontaminate, embeddings, language, licenses, minhash, pii, suffixes, toxicity
 from feedwright.llm.text import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,12 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_figures(suffixes.dedup(read(spark, sf_dir, "documents"), length=50))
 
 
+@query
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.fit(docs), pii.FIGURES, pii.figures)
+
+
 @query
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=4, threshold=80)

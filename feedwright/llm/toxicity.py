@@ -231,10 +231,10 @@ def score(
     """One row per row of ``docs``: id, score (0 to 1), spans of words more likely toxic than not (start and end in words,
     end exclusive). Null and empty texts get the score of a text in which nothing is found; repeated rows are scored
     each."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.moves, model.document))
 
     def setup():
-        model = shared.value
+        model = Model(*shared.value)
         known: dict[bytes, float] = {}
 
         def judge(texts: list[bytes]) -> list[tuple]:
