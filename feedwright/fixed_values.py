@@ -87,3 +87,51 @@ HOT_DAY_LIMIT = 266.6
 
 # Rental rate tiers, shortest first.
 RATE_TIERS = ["4HR", "1DAY", "1WK"]
+
+# Catalog fields that every product feed run must fill.
+REQUIRED_FIELDS = (
+    "manufacturer_code",
+    "status",
+    "web_amazon_hh",
+    "web_amazon_leh",
+    "web_website_hh",
+    "web_website_leh",
+    "store_closeout",
+    "data_source",
+    "department_name",
+    "department_number",
+    "discontinued",
+    "erp_title",
+    "fineline_code",
+    "fineline_name",
+    "aisle_hh",
+    "in_stores",
+    "inactive",
+    "kit_only",
+    "manufacturer_name",
+    "manufacturer_part_number",
+    "quantity_committed_fc",
+    "quantity_committed_hh",
+    "quantity_committed_mf",
+    "quantity_on_future_order_fc",
+    "quantity_on_future_order_hh",
+    "quantity_on_future_order_mf",
+    "quantity_on_hand_fc",
+    "quantity_on_hand_hh",
+    "quantity_on_hand_mf",
+    "safety_stock_fc",
+    "safety_stock_hh",
+    "safety_stock_mf",
+    "inventory_tracked",
+    "inventory_tracked_leh",
+    "upc",
+    "vendor_code",
+    "vendor_name",
+    "class_code",
+    "class_name",
+    "retail_price_amazon_hh",
+    "retail_price_amazon_leh",
+    "retail_price_website_hh",
+    "retail_price_website_leh",
+    "aisle_mf",
+)

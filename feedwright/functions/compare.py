@@ -30,12 +30,15 @@ def none_of(c: Column | str, values: Iterable[str], keep_null: bool = False) ->
     return (out | _col(c).isNull()) if keep_null else out
 
 
-def agree(left: Column | str, right: Column | str, null_rule: str = "strict", default: object = None) -> Column:
-    """'true' or 'false'.
+def agree(
+    left: Column | str, right: Column | str, null_rule: str = "strict", default: object = None, text: bool = False
+) -> Column:
+    """'true' or 'false'. With ``text`` case and trailing blanks do not count.
 
     strict: a null on either side is 'false'. null_equal: two nulls are 'true'. null_as: nulls count as ``default``.
     """
-    left, right = _col(left), _col(right)
+    left, right = (fold(left), fold(right)) if text else (_col(left), _col(right))
+    default = default.lower().rstrip() if text and isinstance(default, str) else default
     if null_rule == "strict":
         same = left == right
     elif null_rule == "null_equal":

@@ -41,7 +41,8 @@ def in_period(c: Column | str, period: str) -> Column:
 
 
 def month_text(c: Column | str) -> Column:
-    return F.date_format(_col(c), "yyyy-MM")
+    """Year and month, taken from the value itself: no session zone is involved."""
+    return F.concat_ws("-", F.lpad(F.year(_col(c)).cast("string"), 4, "0"), F.lpad(F.month(_col(c)).cast("string"), 2, "0"))
 
 
 def is_weekday(c: Column | str, closed: str = "Sunday") -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..fixed_values import CARRIER_NAMES, TRACKING_PAGES
+from .compare import fold
 
 
 def _col(c: Column | str) -> Column:
@@ -15,7 +16,7 @@ def _col(c: Column | str) -> Column:
 def carrier_name(code: Column | str) -> Column:
     out = _col(code)
     for short, name in CARRIER_NAMES.items():
-        out = F.when(_col(code) == F.lit(short), F.lit(name)).otherwise(out)
+        out = F.when(fold(code) == F.lit(short.lower()), F.lit(name)).otherwise(out)
     return out
 
 
@@ -24,6 +25,6 @@ def tracking_url(code: Column | str, number: Column | str) -> Column:
     number = F.coalesce(F.trim(_col(number)), F.lit(""))
     out = None
     for short, page in TRACKING_PAGES.items():
-        hit, link = _col(code) == F.lit(short), F.concat(F.lit(page), number)
+        hit, link = fold(code) == F.lit(short.lower()), F.concat(F.lit(page), number)
         out = F.when(hit, link) if out is None else out.when(hit, link)
     return out

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..fixed_values import SKU_MARKS
+from .compare import fold
 
 
 def _col(c: Column | str) -> Column:
@@ -54,9 +55,9 @@ def decode_code(c: Column | str) -> Column:
 
 
 def code_map(c: Column | str, mapping: Mapping[str, str], default: str | None = None) -> Column:
-    """Small fixed code map as a CASE expression: no join, nothing to broadcast."""
+    """Small fixed code map as a CASE expression: no join, nothing to broadcast. Case and trailing blanks do not count."""
     out = None
     for code, value in mapping.items():
-        hit = _col(c) == F.lit(code)
+        hit = fold(c) == F.lit(code.lower().rstrip())
         out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
     return out.otherwise(F.lit(default))

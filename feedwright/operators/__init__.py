@@ -28,7 +28,7 @@ from .inventory import (
     listed_variants,
     open_order_qty,
 )
-from .keys import distinct_keys, join_summary
+from .keys import distinct_keys, join_summary, join_unique, left_many
 from .latest import first_seen_date, latest_record
 from .locations import (
     change_log_match,
@@ -72,7 +72,15 @@ from .traffic import (
     monthly_counts,
     period_cross_system,
     threshold_days,
+    total_counts,
     with_location,
+    yearly_counts,
 )
 
-__all__ = [name for name in dir() if not name.startswith("_")]
+__all__ = [
+    "_",
+    "join_unique",
+    "left_many",
+    "total_counts",
+    "yearly_counts",
+]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import CODE_LENGTHS
 from ..functions import fold
+from .keys import left_many
 from .population import exclude
 
 
@@ -81,4 +82,4 @@ def upc_listing(population: DataFrame, item_codes: DataFrame, kit_codes: DataFra
     ).distinct()
     of = {k: wanted.filter(F.col("source_kind") == k).drop("source_kind") for k in ("item", "kit")}
     blank_kit = {"code_source": F.coalesce("code_source", F.lit("")), "primary_flag": F.coalesce("primary_flag", F.lit(""))}
-    return of["item"].join(items, "sku", "left").union(of["kit"].join(kits, "sku", "left").withColumns(blank_kit))
+    return left_many(of["item"], items, "sku").union(left_many(of["kit"], kits, "sku").withColumns(blank_kit))

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .keys import as_list, distinct_keys, join_summary
+from ..functions import one_of
+from .keys import as_list, distinct_keys, join_summary, join_unique
 
 POLICIES = ("force", "delta", "first")
 
@@ -80,9 +81,9 @@ def rate_tier_checks(items: DataFrame, rates: DataFrame, tiers: Sequence[str], f
     ``items`` (sku, ...) holds the rental skus, ``rates`` (sku, rate_type, rate). Per sku the tiers are laid side by
     side (smallest rate per tier); the counts are one more aggregate on top.
     """
-    per_tier = [F.min(F.when(F.col("rate_type") == t, F.col("rate"))).alias(f"rate_{t}") for t in tiers]
-    records = [F.count(F.when(F.col("rate_type") == t, 1)).alias(f"rows_{t}") for t in tiers]
-    wide = rates.filter(F.col("rate_type").isin(list(tiers))).groupBy("sku").agg(*per_tier, *records)
+    per_tier = [F.min(F.when(one_of("rate_type", [t]), F.col("rate"))).alias(f"rate_{t}") for t in tiers]
+    records = [F.count(F.when(one_of("rate_type", [t]), 1)).alias(f"rows_{t}") for t in tiers]
+    wide = rates.filter(one_of("rate_type", tiers)).groupBy("sku").agg(*per_tier, *records)
     rows = join_summary(items, wide, "sku", "left")
     missing = {t: F.coalesce(F.col(f"rows_{t}"), F.lit(0)) == 0 for t in tiers}
     tests: dict[str, Column] = {}
@@ -110,7 +111,7 @@ def silent_drop_audit(rows: DataFrame, reference: DataFrame, on: str) -> DataFra
     A null key is lost as well and is listed as null.
     """
     per_key = rows.groupBy(on).agg(F.count("*").alias("lost_rows"))
-    return join_summary(per_key, distinct_keys(reference, on), on, "left_anti").withColumn(
+    return join_unique(per_key, distinct_keys(reference, on), on, "left_anti").withColumn(
         "reason", F.when(F.col(on).isNull(), F.lit("null key")).otherwise(F.lit("no reference row"))
     )
 
@@ -119,7 +120,7 @@ def drop_counts(rows: DataFrame, reference: DataFrame, on: str) -> DataFrame:
     """Row and key counts before and after the reference join, in one row."""
     per_key = rows.groupBy(on).agg(F.count("*").alias("_rows"))
     ref = reference.groupBy(on).agg(F.count("*").alias("_ref"))
-    joined = join_summary(per_key, ref, on, "left")
+    joined = join_unique(per_key, ref, on, "left")
     found = F.col("_ref").isNotNull()
     return joined.agg(
         F.sum("_rows").alias("rows_in"),

@@ -91,7 +91,7 @@ def open_order_qty(
     rest = (F.col("quantity_ordered") - F.col("canceled_quantity")) * F.col("_tags")
     joined = live.join(lines.select("order_number", "sku", "quantity_ordered", "canceled_quantity"), "order_number")
     if split:
-        sums = [F.sum(F.when(F.col("warehouse_code") == w, rest)).cast(QTY).alias(name) for w, name in split.items()]
+        sums = [F.sum(F.when(one_of("warehouse_code", [w]), rest)).cast(QTY).alias(name) for w, name in split.items()]
     else:
         sums = [F.sum(rest).cast(QTY).alias("quantity")]
     return joined.groupBy("sku").agg(*sums)

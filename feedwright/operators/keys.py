@@ -19,6 +19,24 @@ def distinct_keys(df: DataFrame, on: str | Sequence[str]) -> DataFrame:
     return df.select(*as_list(on)).distinct()
 
 
+def join_unique(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """Join two frames that both hold one row per key: no key can be hot, and both keep the layout of their grouping."""
+    return left.join(right, as_list(on), how)
+
+
+def left_many(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """Left join to a side that may repeat keys without bound.
+
+    AQE splits only the left side of a left join, so a key that is hot on the right would land in one task. The matching
+    rows come from an inner join, of which either side can be split; the others are found by a look-up of the keys.
+    """
+    on = as_list(on)
+    added = [c for c in right.columns if c not in on]
+    matched = left.join(right, on).select(*left.columns, *added)
+    rest = join_summary(left, distinct_keys(right, on), on, "left_anti")
+    return matched.unionByName(rest, allowMissingColumns=True)
+
+
 def join_summary(rows: DataFrame, summary: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
     """Join ``rows`` to ``summary``, which holds one row per key.
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .keys import as_list, distinct_keys, join_summary
+from .keys import as_list, join_summary, join_unique
 
 _AT = "_fw_at"
 
@@ -32,4 +32,4 @@ def first_seen_date(products: DataFrame, kits: DataFrame, key: str = "sku", at:
     day = F.col(at).cast("date")
     kit_dates = kits.groupBy(key).agg(F.max(day).alias("first_seen"))
     product_dates = products.groupBy(key).agg(F.min(day).alias("first_seen"))
-    return kit_dates.union(join_summary(product_dates, distinct_keys(kits, key), key, "left_anti"))
+    return kit_dates.union(join_unique(product_dates, kit_dates, key, "left_anti"))

@@ -16,7 +16,7 @@ from ..fixed_values import (
     STORE_WAREHOUSE,
 )
 from ..functions import agree, code_map, fold, none_of, not_negative, one_of
-from .keys import distinct_keys, join_summary
+from .keys import distinct_keys, join_summary, left_many
 from .population import exclude
 from .reconcile import Pair, flag_pairs
 
@@ -38,7 +38,7 @@ def expected_locations(
     free = on_hand - F.coalesce(F.col("committed_quantity"), zero) if net_committed else on_hand
     # Text joined the way the source system does: a null part counts as empty.
     coded = F.concat(F.coalesce("department", F.lit("")), F.lit("-"), F.coalesce("location_code", F.lit("")))
-    with_department = F.lit(True) if department_stores is None else F.col("store").isin(list(department_stores))
+    with_department = F.lit(True) if department_stores is None else one_of("store", department_stores)
     sku, market = F.trim("item_number"), fold("store") == MARKETPLACE_STORE.lower()
     regular = one_of("store", stores)
     if vendor_rule:
@@ -90,7 +90,7 @@ def multi_location_skus(expected: DataFrame, found: DataFrame) -> DataFrame:
     """
     places = (
         found.groupBy("sku", "warehouse_code")
-        .agg(F.countDistinct("actual_location").alias("locations"))
+        .agg(F.countDistinct(fold("actual_location")).alias("locations"))
         .filter(F.col("locations") > 1)
     )
     pairs = distinct_keys(expected, ["sku", "warehouse_code", "store"])
@@ -134,4 +134,4 @@ def change_log_match(mismatches: DataFrame, log: DataFrame) -> DataFrame:
         "sku", "expected_location", "actual_location"
     )
     logged = log.select(F.upper(F.trim("sku")).alias("sku"), "warehouse", "previouslocation", "newlocation", "changedat")
-    return moved.join(logged, "sku", "left")
+    return left_many(moved, logged, "sku")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import carrier_name, fold, one_of, tracking_url
-from .keys import distinct_keys, join_summary
+from .keys import distinct_keys, join_summary, left_many
 
 
 def logged_lines(log: DataFrame, status: str = "Completed") -> DataFrame:
@@ -54,7 +54,7 @@ def shipped_not_logged(
         ["udf_order_text", "sku"],
         "left_anti",
     )
-    out = open_lines.join(tracking, ["order_number", "shipping_document_number"], "left")
+    out = left_many(open_lines, tracking, ["order_number", "shipping_document_number"])
     columns = [
         "order_number",
         "udf_order_text",
@@ -76,9 +76,8 @@ def unshipped_not_logged(tags: DataFrame, lines: DataFrame, tracking: DataFrame,
     joined = tags.select("order_number", "udf_order_text").join(lines.select(*columns), "order_number", "left")
     pending = joined.filter(F.col("first_shipped_shipdoc").isNull())
     open_lines = join_summary(pending, logged_lines(log), ["udf_order_text", "sku"], "left_anti")
-    return open_lines.join(
-        tracking.select("order_number", "tracking_number", "shipment_type_code"), "order_number", "left"
-    ).select(
+    shipped = tracking.select("order_number", "tracking_number", "shipment_type_code")
+    return left_many(open_lines, shipped, "order_number").select(
         "order_number",
         "udf_order_text",
         "line_number",
@@ -145,7 +144,7 @@ def order_trace(
 def import_trace(imported: DataFrame, orders: DataFrame, items: DataFrame, how: str = "inner") -> DataFrame:
     """Imported orders beside the storefront order (its id is part of the import URI) and its items."""
     keyed = imported.withColumn("shop_order_id", id_from_uri("orderid"))
-    return keyed.join(orders, "shop_order_id", how).join(items, "shop_order_key", "left")
+    return left_many(keyed.join(orders, "shop_order_id", how), items, "shop_order_key")
 
 
 def store_lookup(rows: DataFrame, lookup: DataFrame, code: str, form: str, alias: str = "store") -> DataFrame:
@@ -178,6 +177,7 @@ def committed_sales_union(parts: Sequence[DataFrame], top: int | None, order: Se
     return reduce(DataFrame.union, kept)
 
 
-def recent_top_n(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
-    """The n first rows in the given order. Give a complete order: without one the pick among ties is arbitrary."""
-    return df.orderBy(*order).limit(n)
+def recent_top_n(df: DataFrame, n: int | None, order: Sequence[Column]) -> DataFrame:
+    """The n first rows in the given order, or all rows, unsorted. Give a complete order: without one the pick among ties
+    is arbitrary."""
+    return df if n is None else df.orderBy(*order).limit(n)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import SKU_MARKS, WEB_FLAGS
 from ..functions import fold, normalize_sku, one_of
-from .keys import as_list, distinct_keys, join_summary
+from .keys import distinct_keys, join_summary, left_many
 
 
 def sellable_items(
@@ -67,7 +67,7 @@ def coverage_gap(
 ) -> DataFrame:
     """Expected rows that ``actual`` lacks, with the columns of ``enrich`` added where it has the key."""
     missing = exclude(expected, actual, on)
-    return missing if enrich is None else missing.join(enrich, as_list(on), "left")
+    return missing if enrich is None else left_many(missing, enrich, on)
 
 
 def cross_store_difference(a: DataFrame, b: DataFrame, on: str = "sku") -> DataFrame:
@@ -92,5 +92,5 @@ def presence_report(wanted: DataFrame, systems: Mapping[str, DataFrame], on: str
     out = wanted
     for name, df in systems.items():
         mark = f"exists_in_{name}"
-        out = out.join(df.withColumn(mark, F.lit("Y")), on, "left").withColumn(mark, F.coalesce(mark, F.lit("N")))
+        out = left_many(out, df.withColumn(mark, F.lit("Y")), on).withColumn(mark, F.coalesce(mark, F.lit("N")))
     return out

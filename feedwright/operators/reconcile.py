@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import agree
+from ..functions import agree, fold, one_of
 from .keys import as_list
 
 
@@ -23,15 +23,17 @@ class Pair:
     null_rule: str = "strict"
     default: object = None
 
-    def column(self) -> Column:
-        return agree(self.left, self.right, self.null_rule, self.default).alias(self.flag)
+    def column(self, text: bool = False) -> Column:
+        return agree(self.left, self.right, self.null_rule, self.default, text).alias(self.flag)
 
 
 def flag_pairs(df: DataFrame, pairs: Sequence[Pair], keep: str = "mismatch") -> DataFrame:
     """Add one 'true'/'false' flag per pair; keep the rows with any 'false', or all rows."""
     if keep not in ("mismatch", "all"):
         raise ValueError("keep must be 'mismatch' or 'all'")
-    flagged = df.select("*", *[p.column() for p in pairs])
+    # Text is compared as text everywhere: a pair of two string columns ignores case and trailing blanks.
+    kinds = [set(dict(df.select(p.left, p.right).dtypes).values()) for p in pairs] if pairs else []
+    flagged = df.select("*", *[p.column(kind == {"string"}) for p, kind in zip(pairs, kinds)])
     if keep == "all":
         return flagged
     return flagged.filter(reduce(Column.__or__, [F.col(p.flag) == "false" for p in pairs]))
@@ -60,12 +62,12 @@ def channel_parity(
     """
     sides = [(left, "left"), (right, "right")]
     wide = (
-        df.filter(F.col(channel).isin(left, right))
+        df.filter(one_of(channel, [left, right]))
         .groupBy(*as_list(key))
         .agg(
-            *[F.max(F.when(F.col(channel) == code, F.lit(1))).alias(f"_has_{side}") for code, side in sides],
+            *[F.max(F.when(fold(channel) == code.lower(), F.lit(1))).alias(f"_has_{side}") for code, side in sides],
             *[
-                F.max(F.when(F.col(channel) == code, F.col(field))).alias(f"{field}_{side}")
+                F.max(F.when(fold(channel) == code.lower(), F.col(field))).alias(f"{field}_{side}")
                 for field in fields
                 for code, side in sides
             ],

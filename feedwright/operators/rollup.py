@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fold
+from ..functions import fold, one_of
 from .keys import as_list
 
 _AGGS = {"max": F.max, "min": F.min, "sum": F.sum}
@@ -23,13 +23,13 @@ def store_pivot(
 ) -> DataFrame:
     """One row per key with an aggregate per listed store (or warehouse): one scan, one shuffle of partial results."""
     columns = [
-        _AGGS[how](F.when(F.col(by) == value, F.col(c) if isinstance(c, str) else c)).alias(
+        _AGGS[how](F.when(one_of(by, [value]), F.col(c) if isinstance(c, str) else c)).alias(
             name.format(value=value, measure=measure)
         )
         for value in values
         for measure, (how, c) in measures.items()
     ]
-    return df.filter(F.col(by).isin(list(values))).groupBy(*as_list(key)).agg(*columns)
+    return df.filter(one_of(by, values)).groupBy(*as_list(key)).agg(*columns)
 
 
 def catalog_price_matrix(
@@ -49,11 +49,11 @@ def store_string(
     Only the distinct codes of a key are gathered (on the map side already), so the list is bounded by the number of
     store codes, not by the number of rows.
     """
-    stores = df.groupBy(key).agg(F.array_sort(F.collect_set(store)).alias("_stores"))
+    stores = df.groupBy(key).agg(F.array_sort(F.collect_set(F.rtrim(store))).alias("_stores"))
     items = F.col("_stores")
     if recode:
-        flat = [F.lit(text) for pair in recode.items() for text in pair]
-        items = F.transform(items, lambda s: F.coalesce(F.element_at(F.create_map(*flat), s), s))
+        flat = [F.lit(text) for code, name in recode.items() for text in (code.lower().rstrip(), name)]
+        items = F.array_distinct(F.transform(items, lambda s: F.coalesce(F.element_at(F.create_map(*flat), F.lower(s)), s)))
     joined = F.when(F.size("_stores") > 0, F.array_join(items, ","))
     return stores.select(key, (joined if empty is None else F.coalesce(joined, F.lit(empty))).alias(alias))
 

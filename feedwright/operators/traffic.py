@@ -14,9 +14,10 @@ from ..functions import in_period, is_weekday, local_time, month_text, period_bo
 
 
 def with_location(history: DataFrame, sensor_site: DataFrame, site_location: DataFrame, location: DataFrame) -> DataFrame:
-    """History rows with their location through the sensor and site tables.
+    """Rows with a sensor with their location through the sensor and site tables.
 
-    The three small tables are joined to each other first; the history is then joined once.
+    The three small tables are joined to each other first. Give it rows that are already summed per sensor: then a busy
+    sensor is folded before the shuffle, and the history itself never meets the join.
     """
     chain = (
         sensor_site.select("sensorid", "site_id")
@@ -27,6 +28,18 @@ def with_location(history: DataFrame, sensor_site: DataFrame, site_location: Dat
     return history.join(chain, "sensorid")
 
 
+def total_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """In and out counts of finer groups added up."""
+    return counts.groupBy(*by).agg(F.sum("incount").alias("incount"), F.sum("outcount").alias("outcount"))
+
+
+def yearly_counts(rows: DataFrame, key: str, at: str, years: Sequence[str]) -> DataFrame:
+    """In and out counts per key and year, for the named years; ``at`` becomes the first day of the year."""
+    wanted = reduce(Column.__or__, [in_period(at, year) for year in years])
+    first = F.make_date(F.year(at), F.lit(1), F.lit(1)).cast("timestamp_ntz")
+    return total_counts(rows.filter(wanted).withColumn(at, first), [key, at])
+
+
 def local_time_counts(
     history: DataFrame, by: Sequence[str], period: str | None, at: str = "timestamputc", zone: str | None = LOCAL_ZONE
 ) -> DataFrame:

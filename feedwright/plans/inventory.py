@@ -152,13 +152,13 @@ def hk_inventory(s: Sources) -> DataFrame:
     """Offer of the second company's items: two stores less reserve and pending, plus the shop's own pending orders."""
     zero = F.lit(0).cast(inv.QTY)
     items = s["hk_item_store"].withColumn("sku", F.trim("item_number"))
-    reserve = s["product_warehouse"].filter(F.col("warehouse_code").isin("HHH", "HTOOL")).select(
+    reserve = s["product_warehouse"].filter(fn.one_of("warehouse_code", ["HHH", "HTOOL"])).select(
         "sku", fn.code_map("warehouse_code", fv.WAREHOUSE_STORE).alias("store"), F.coalesce("product_reserve_quantity", zero).alias("_r")
     )
     free = F.coalesce("quantity_on_hand", zero) - F.coalesce("committed_quantity", zero)
     free = F.when(F.col("store") == "1", free - F.coalesce("safety_stock", zero)).otherwise(free)
     # The reserve only counts where the store has the item.
-    rows = items.filter(F.col("store").isin("1", "2")).withColumn("free", free).join(reserve, ["sku", "store"], "left")
+    rows = items.filter(fn.one_of("store", ["1", "2"])).withColumn("free", free).join(reserve, ["sku", "store"], "left")
     net = rows.select("sku", (F.col("free") - F.coalesce("_r", zero)).alias("quantity"))
     pending = pending_by_sku(s).withColumnRenamed("quantity", "pending")
     shop = s["shop_pending"].withColumnRenamed("quantity", "shop")

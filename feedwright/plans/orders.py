@@ -18,7 +18,7 @@ def _named(c: str, names: Sequence[str] | None) -> Column:
     return F.lit(True) if names is None else fn.one_of(c, names)
 
 
-def _starting(c: str, prefixes: Sequence[str]) -> Column:
+def _containing(c: str, prefixes: Sequence[str]) -> Column:
     out = F.lit(False)
     for p in prefixes:
         out = out | fn.fold(c).contains(p.lower())
@@ -26,8 +26,8 @@ def _starting(c: str, prefixes: Sequence[str]) -> Column:
 
 
 @check("printable_receipts", "orders", "AL01", "listing")
-def printable_receipts(s: Sources, top: int = 100, store: str = "D") -> DataFrame:
-    """The newest order lines whose item is kept in a store."""
+def printable_receipts(s: Sources, top: int | None = 100, store: str = "D") -> DataFrame:
+    """A newest-n report: the latest order lines whose item is kept in a store (top=None: all of them)."""
     lines = s["line_item"].select("order_number", "line_number", "sku", "status_code", "update_dtm")
     rows = s["order_udf"].select("order_number").join(lines, "order_number").join(s["order_status"], "status_code")
     items = s["item_store"].filter(fn.one_of("store", [store])).select(F.trim("item_number").alias("sku"), "store", "web_flag")
@@ -36,8 +36,8 @@ def printable_receipts(s: Sources, top: int = 100, store: str = "D") -> DataFram
 
 
 @check("purchase_order_lines", "orders", "AL01", "listing")
-def purchase_order_lines(s: Sources, top: int = 25) -> DataFrame:
-    """The purchase-order lines due first."""
+def purchase_order_lines(s: Sources, top: int | None = 25) -> DataFrame:
+    """A first-n report: the purchase-order lines due first (top=None: all of them)."""
     lines = s["po_detail"].withColumn("item_number", F.trim("item_number")).join(s["po_header"], "po_number", "left")
     keys = ["date_due", "po_number", "line_number", "item_number", "qty_on_order", "unit_cost"]
     return op.recent_top_n(lines, top, [F.col(c) for c in keys])
@@ -76,8 +76,8 @@ def sales_parts(s: Sources) -> list[DataFrame]:
 
 
 @check("committed_sales", "orders", "AL02", "listing")
-def committed_sales(s: Sources, top: int | None = 100) -> DataFrame:
-    """The newest open sales of both systems (top=None: all of them)."""
+def committed_sales(s: Sources, top: int | None = None) -> DataFrame:
+    """Open sales of both systems; with ``top`` only so many of the newest of each."""
     return op.committed_sales_union(sales_parts(s), top, ["transaction", "item", "quantity", "price"])
 
 
@@ -154,8 +154,8 @@ def custom_product_orders(s: Sources) -> DataFrame:
 
 
 @check("import_log", "orders", "OS02", "listing")
-def import_log(s: Sources, process_type: int = 910, top: int = 1000) -> DataFrame:
-    """The newest import runs with their results."""
+def import_log(s: Sources, process_type: int = 910, top: int | None = 1000) -> DataFrame:
+    """A newest-n report: the latest import runs with their results (top=None: all of them)."""
     runs = s["import_process"].filter(F.col("process_type_id") == process_type)
     rows = runs.join(s["import_process_result"], "process_id", "left")
     return op.recent_top_n(rows, top, [F.col("process_id").desc(), F.col("result_text")])
@@ -175,7 +175,7 @@ def personalised_imports(s: Sources, since: str = "2026-03-18") -> DataFrame:
 @check("personalised_lines", "orders", "OS03", "listing")
 def personalised_lines(s: Sources, code: str = "hhcv3", text: str = "hwebs") -> DataFrame:
     """Order-system lines of the storefront's orders."""
-    return _order_lines(s, fn.one_of("udf_code", [code]) & _starting("order_number", [text]))
+    return _order_lines(s, fn.one_of("udf_code", [code]) & _containing("order_number", [text]))
 
 
 @check("pre_orders", "orders", "OS04", "listing")
@@ -194,9 +194,12 @@ def warning_messages(s: Sources, identifier: str | None = None) -> DataFrame:
 
 
 @check("null_sweep", "orders", "OS04", "audit")
-def null_sweep(s: Sources, fields: Sequence[str] = ("upc", "in_stores", "data_source", "erp_sku_create_date")) -> DataFrame:
-    """Required catalog fields with any null, and how many."""
-    return op.attribute_population(s["catalog"], list(fields)).filter(F.col("nulls") > 0)
+def null_sweep(
+    s: Sources, fields: Sequence[str] = fv.REQUIRED_FIELDS, sources: Sequence[str] = (fv.ITEM_SOURCE, fv.KIT_SOURCE)
+) -> DataFrame:
+    """Required fields with any null among the catalog's products and kits, and how many."""
+    eligible = op.catalog_rows(s["catalog"], sources, rentals=False)
+    return op.attribute_population(eligible, list(fields)).filter(F.col("nulls") > 0)
 
 
 @check("order_risk", "orders", "OS06", "listing")
@@ -216,7 +219,7 @@ def order_priority(s: Sources, text: Sequence[str] = ("hwebs", "lwebs")) -> Data
     """Priority rank and charges beside the lines, for orders by part of their number."""
     headers = s["sales_order"].select("order_number", "priority_rank", "status_code", "total_charges")
     lines = s["line_item"].select("order_number", "line_number", "sku", "quantity_ordered", "sku_list_price", "discount_amount")
-    return op.order_trace(headers, lines, where=_starting("order_number", text))
+    return op.order_trace(headers, lines, where=_containing("order_number", text))
 
 
 @check("ship_by_dates", "orders", "OS08", "listing")
@@ -232,8 +235,8 @@ def ship_by_dates(s: Sources, prefix: str = "hwebs") -> DataFrame:
 
 
 @check("special_order_items", "orders", "OS09", "listing")
-def special_order_items(s: Sources, location: str = "so", manufacturer: str = "deere", top: int = 100) -> DataFrame:
-    """Test items: special-order location, one manufacturer."""
+def special_order_items(s: Sources, location: str = "so", manufacturer: str = "deere", top: int | None = None) -> DataFrame:
+    """Test items: special-order location, one manufacturer; with ``top`` the first so many by item and store."""
     rows = s["item_store"].filter(fn.one_of("location_code", [location]) & fn.one_of("manufacturer", [manufacturer]))
     return op.recent_top_n(rows, top, [F.col("item_number"), F.col("store")])
 

@@ -231,7 +231,7 @@ def kit_locations(s: Sources) -> DataFrame:
     """Stores whose warehouse keeps a kit against the catalog's store list."""
     parts = {"kit": op.active_kits(s["kitting"], s["order_sku"], fv.KIT_SKU_MARKS), "catalog": catalog_skus(s, [fv.KIT_SOURCE])}
     kept = s["product_warehouse"].select(F.trim("sku").alias("sku"), fn.code_map("warehouse_code", fv.WAREHOUSE_STORE).alias("store"))
-    rows = op.eligible_population(parts, mode="keys").join(kept, "sku", "left")
+    rows = op.left_many(op.eligible_population(parts, mode="keys"), kept, "sku")
     return _store_list_check(op.store_string(rows, "sku", "store", "stores", empty="0"), s, "left")
 
 

@@ -45,7 +45,7 @@ def rental_rates(s: Sources) -> DataFrame:
 def rental_tiers(s: Sources) -> DataFrame:
     """Counts of rental skus with null, zero, missing or inverted rates."""
     items = _rental_items(s).select("sku", "status").groupBy("sku").agg(F.max(fn.fold("status")).alias("status"))
-    flags = {"archived rental sku": F.col("status").isin(fv.ARCHIVED)}
+    flags = {"archived rental sku": fn.one_of("status", fv.ARCHIVED)}
     return op.rate_tier_checks(items, s["rental_rate"], fv.RATE_TIERS, flags)
 
 

@@ -15,7 +15,7 @@ def event_charges(s: Sources, event: str | None = None) -> DataFrame:
     """Orders and charges of an event, or of all."""
     events = s["ticket_event"] if event is None else s["ticket_event"].filter(F.col("event_id") == event)
     orders = s["ticket_order"].select("event_id", "order_id")
-    return events.join(orders, "event_id", "left").join(s["ticket_charge"], "order_id", "left")
+    return op.left_many(op.left_many(events, orders, "event_id"), s["ticket_charge"], "order_id")
 
 
 @check("event_totals", "tickets", "IT02", "listing")

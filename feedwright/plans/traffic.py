@@ -14,26 +14,27 @@ from ..sources import Sources
 from .check import check
 
 
-def _located(s: Sources) -> DataFrame:
-    return op.with_location(s["traffic_history"], s["sensor_site"], s["site_location"], s["location"])
+def _located(s: Sources, counts: DataFrame) -> DataFrame:
+    return op.with_location(counts, s["sensor_site"], s["site_location"], s["location"])
 
 
 @check("traffic_by_utc_month", "traffic", "PC01", "listing")
 def traffic_by_utc_month(s: Sources, months: Sequence[str] | None = None) -> DataFrame:
     """In and out counts per location and UTC month, all months in one pass."""
-    rows = _located(s)
+    rows = s["traffic_history"]
     if months:
         kept = fn.in_period("timestamputc", months[0])
         for m in months[1:]:
             kept = kept | fn.in_period("timestamputc", m)
         rows = rows.filter(kept)
-    return op.monthly_counts(rows, ["location_name"])
+    return op.total_counts(_located(s, op.monthly_counts(rows, ["sensorid"])), ["location_name", "month"])
 
 
 @check("traffic_by_local_month", "traffic", "PC02", "listing")
 def traffic_by_local_month(s: Sources, month: str = "2025-02") -> DataFrame:
     """In and out counts per location for a month of local time."""
-    return op.local_time_counts(_located(s), ["location_name"], month)
+    counts = op.local_time_counts(s["traffic_history"], ["sensorid"], month)
+    return op.total_counts(_located(s, counts), ["location_name"])
 
 
 @check("store_traffic_daily", "traffic", "PC03", "listing")
@@ -55,15 +56,17 @@ def sensor_traffic(s: Sources, location: str, month: str = "2025-12") -> DataFra
     The local time is an expression on the history row itself; no second read of the history is joined to it.
     """
     sensors = s["sensor"].select("sensorid", F.col("sensorname").alias("sensor"))
-    rows = _located(s).filter(fn.one_of("location_name", [location])).join(sensors, "sensorid")
-    return op.local_time_counts(rows, ["sensor"], month)
+    counts = op.local_time_counts(s["traffic_history"], ["sensorid"], month)
+    rows = _located(s, counts).filter(fn.one_of("location_name", [location])).join(sensors, "sensorid")
+    return op.total_counts(rows, ["sensor"])
 
 
 @check("traffic_systems", "traffic", "PC05", "listing")
 def traffic_systems(s: Sources, years: Sequence[str] = ("2025", "2026")) -> DataFrame:
     """Two years of two systems side by side per location."""
-    own = _located(s).withColumn("local", fn.local_time("timestamputc"))
-    facts = s["fact_sensor_traffic"].join(s["dim_location"], "location_key")
+    history = s["traffic_history"].withColumn("local", fn.local_time("timestamputc"))
+    own = _located(s, op.yearly_counts(history, "sensorid", "local", years))
+    facts = op.yearly_counts(s["fact_sensor_traffic"], "location_key", "timestampest", years).join(s["dim_location"], "location_key")
     return op.period_cross_system({"history": (own, "local"), "fact": (facts, "timestampest")}, "location_name", list(years))
 
 
@@ -74,8 +77,9 @@ def hot_day_traffic(s: Sources, year: str = "2025", limit: float = fv.HOT_DAY_LI
         fn.one_of("datatype", ["tmax"]) & (F.col("store_location_id") == station) & fn.in_period("observationdate", year)
     )
     readings = hot.select(F.col("observationdate").cast("date").alias("day"), "value")
-    facts = s["fact_sensor_traffic"].filter(fn.in_period("timestampest", year)).join(s["dim_location"], "location_key")
-    traffic = facts.select("location_name", F.col("timestampest").cast("date").alias("day"), "incount")
+    facts = s["fact_sensor_traffic"].filter(fn.in_period("timestampest", year))
+    daily = facts.groupBy("location_key", F.col("timestampest").cast("date").alias("day")).agg(F.sum("incount").alias("incount"))
+    traffic = daily.join(s["dim_location"], "location_key").select("location_name", "day", "incount")
     return op.threshold_days(readings, traffic, limit, "location_name")
 
 

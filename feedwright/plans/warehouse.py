@@ -77,8 +77,8 @@ def stock_totals_v1(s: Sources) -> DataFrame:
     places = s["product_location"].select(
         F.upper(F.trim("sku")).alias("sku"), "warehouse_code", fn.fold("location_type").alias("place")
     )
-    own = op.only_in(rows.filter(F.col("warehouse_code").isin(HH_WAREHOUSES)), places, ["sku", "warehouse_code", "place"])
-    other = op.only_in(rows.filter(F.col("warehouse_code").isin(LEH_WAREHOUSES)), places, "sku")
+    own = op.only_in(rows.filter(fn.one_of("warehouse_code", HH_WAREHOUSES)), places, ["sku", "warehouse_code", "place"])
+    other = op.only_in(rows.filter(fn.one_of("warehouse_code", LEH_WAREHOUSES)), places, "sku")
     totals = s["product_warehouse"].select("sku", "warehouse_code", "product_total_quantity")
     found = own.unionByName(other).join(totals, ["sku", "warehouse_code"])
     return op.quantity_reconcile(found, "product_total_quantity")
@@ -92,6 +92,6 @@ def stock_locations_v2(s: Sources) -> DataFrame:
     )
     places = op.only_in(places, _stocked(s, keep_null_kit=False), "sku")
     rows = _old_expected(s)
-    own = rows.filter(F.col("warehouse_code").isin(HH_WAREHOUSES)).join(places, ["sku", "warehouse_code", "place"])
-    other = rows.filter(F.col("warehouse_code").isin(LEH_WAREHOUSES)).join(places.drop("place"), ["sku", "warehouse_code"])
+    own = rows.filter(fn.one_of("warehouse_code", HH_WAREHOUSES)).join(places, ["sku", "warehouse_code", "place"])
+    other = rows.filter(fn.one_of("warehouse_code", LEH_WAREHOUSES)).join(places.drop("place"), ["sku", "warehouse_code"])
     return op.quantity_reconcile(own.unionByName(other), "product_quantity")

@@ -37,7 +37,9 @@ ENTITIES: dict[str, dict[str, str]] = {
             web_amazon_hh web_amazon_leh quantity_on_hand_hh:q quantity_committed_hh:q quantity_on_future_order_hh:q
             safety_stock_hh:q quantity_on_hand_mf:q quantity_committed_mf:q quantity_on_future_order_mf:q
             safety_stock_mf:q quantity_on_hand_fc:q quantity_committed_fc:q quantity_on_future_order_fc:q
-            safety_stock_fc:q pre_order_end_date:d warning_message""",
+            safety_stock_fc:q pre_order_end_date:d warning_message manufacturer_code manufacturer_name
+            manufacturer_part_number vendor_code vendor_name class_code class_name department_number department_name
+            fineline_code fineline_name erp_title inactive kit_only aisle_hh aisle_mf inventory_tracked_leh""",
         "catalog_json": "uuid identifier json record_insert_date:t",
         "appliance_feed": "identifier status sale_price:m retail_price:m list_price:m",
         "appliance_feed_previous": "identifier",

@@ -692,7 +692,7 @@ order by date_due, po_number, line_number, trim(item_number), qty_on_order, unit
     ),
     "committed_sales": (
         "line_item sales_order sale_detail sale_header store_lookup",
-        SALES_SQL + f"select * from (from erp {_NEWEST_SALES}) union all select * from (from ord {_NEWEST_SALES})",
+        SALES_SQL + "select * from erp union all select * from ord",
     ),
     "amazon_free_shipping": (
         "amazon_order amazon_order_item",
@@ -735,10 +735,12 @@ where i.orderid like '%shopify%' and i.datecreated >= '1999-03-18'""",
     "warning_messages": ("catalog", "select identifier, warning_message from catalog where warning_message is not null"),
     "null_sweep": (
         "catalog",
-        "select * from ("
+        f"""eligible as (
+  select * from catalog where lower(rtrim(data_source)) in ('{fv.ITEM_SOURCE.lower()}', '{fv.KIT_SOURCE.lower()}')
+    and coalesce(lower(rtrim(rental_item)), 'false') <> 'true')
+select * from ("""
         + " union all ".join(
-            f"select '{c}' as field, count(*) filter ({c} is null) as nulls, count({c}) as filled from catalog"
-            for c in ("upc", "in_stores", "data_source", "erp_sku_create_date")
+            f"select '{c}' as field, count(*) filter ({c} is null) as nulls, count({c}) as filled from eligible" for c in fv.REQUIRED_FIELDS
         )
         + ") where nulls > 0",
     ),
@@ -757,8 +759,7 @@ from order_gift g join sales_order o on o.import_order_number = g.third_party_or
     ),
     "special_order_items": (
         "item_store",
-        """select * from item_store where lower(location_code) = 'so' and lower(manufacturer) = 'deere'
-order by item_number, store limit 100""",
+        """select * from item_store where lower(location_code) = 'so' and lower(manufacturer) = 'deere'""",
     ),
     "videos": ("video", "select * from video"),
     "variants_not_orderable": (
@@ -947,3 +948,49 @@ def _register(name: str) -> None:
 
 for _name in CHECKS:
     _register(_name)
+
+# Checks with their look-up arguments and switches: parameters and the SQL over the full report, or the entities and SQL.
+_KIT_PRICES = SQL["kit_prices"]
+VARIANTS: dict[str, tuple[str, dict, tuple[str, str] | str]] = {
+    "committed_sales_newest": (
+        "committed_sales",
+        {"top": 100},
+        (
+            SQL["committed_sales"][0],
+            SALES_SQL + f"select * from (from erp {_NEWEST_SALES}) union all select * from (from ord {_NEWEST_SALES})",
+        ),
+    ),
+    "special_order_items_first": ("special_order_items", {"top": 100}, "true order by item_number, store limit 100"),
+    "line_lookup_order": ("line_lookup", {"order": "hwebs0"}, "order_number = 'HWEBS0'"),
+    "tracking_lookup_order": ("tracking_lookup", {"order": "Hwebs0 "}, "order_number = 'HWEBS0'"),
+    "warning_messages_sku": (
+        "warning_messages",
+        {"identifier": "101"},
+        ("catalog", "select identifier, warning_message from catalog where identifier = '101'"),
+    ),
+    "shop_inventory_sku": ("shop_inventory", {"sku": "10"}, "sku = '10'"),
+    "orderable_flags_sku": ("orderable_flags", {"sku": "10"}, "sku = '10'"),
+    "imported_orders_named": ("imported_orders", {"names": ("hwebs3", "HWEBS4")}, "order_name in ('HWEBS3', 'HWEBS4')"),
+    "item_attributes_listed": ("item_attributes", {"skus": ("0", "1")}, "sku in ('0', '1')"),
+    "event_charges_event": ("event_charges", {"event": "0"}, "event_id = '0'"),
+    "appliance_source_active": (
+        "appliance_source",
+        {"obsolete": False},
+        (SQL["appliance_source"][0], SQL["appliance_source"][1].replace("obsoletedate is not null", "obsoletedate is null")),
+    ),
+    "kit_prices_literal": (
+        "kit_prices",
+        {"literal": True},
+        (_KIT_PRICES[0], _KIT_PRICES[1].replace("case when master13 <> 0 then master13 else hhmaster end", "master13")),
+    ),
+}
+
+
+def _register_variant(name: str) -> None:
+    check, params, sql = VARIANTS[name]
+    text = oracle(*sql) if isinstance(sql, tuple) else f"select * from ({oracle(*SQL[check])}) as report where {sql}"
+    query(f"check_{name}", text)(lambda spark, sf: CHECKS[check].run(standin_sources(spark, sf), **{**PARAMS.get(check, {}), **params}))
+
+
+for _name in VARIANTS:
+    _register_variant(_name)

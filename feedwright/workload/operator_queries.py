@@ -758,9 +758,9 @@ def location_reconcile(spark, sf):
     return _mismatches(spark, sf)
 
 
-def _traffic(spark, sf):
+def _located(spark, sf, count):
     s = standin_sources(spark, sf)
-    return op.with_location(s["traffic_history"], s["sensor_site"], s["site_location"], s["location"])
+    return op.with_location(count(s["traffic_history"]), s["sensor_site"], s["site_location"], s["location"])
 
 
 _TRAFFIC_SQL = """
@@ -781,7 +781,8 @@ where local_ts >= '2024-01-01' and local_ts < '2024-02-01' group by 1
 """,
 )
 def local_time_counts(spark, sf):
-    return op.local_time_counts(_traffic(spark, sf), ["location_name"], "2024-01")
+    rows = _located(spark, sf, lambda history: op.local_time_counts(history, ["sensorid"], "2024-01"))
+    return op.total_counts(rows, ["location_name"])
 
 
 @query(
@@ -793,7 +794,8 @@ from t group by 1, 2
 """,
 )
 def monthly_counts(spark, sf):
-    return op.monthly_counts(_traffic(spark, sf), ["location_name"])
+    rows = _located(spark, sf, lambda history: op.monthly_counts(history, ["sensorid"]))
+    return op.total_counts(rows, ["location_name", "month"])
 
 
 @query(
@@ -805,8 +807,8 @@ where location_name = 'ASIA' and local_ts >= '2023-12-31' and local_ts < '2024-0
 """,
 )
 def sensor_counts(spark, sf):
-    rows = _traffic(spark, sf).filter(fn.one_of("location_name", ["asia"]))
-    return op.local_time_counts(rows, ["sensorname"], "2023-12-31")
+    rows = _located(spark, sf, lambda history: op.local_time_counts(history, ["sensorid", "sensorname"], "2023-12-31"))
+    return op.total_counts(rows.filter(fn.one_of("location_name", ["asia"])), ["sensorname"])
 
 
 @query(
@@ -849,12 +851,14 @@ def period_cross_system(spark, sf):
     a = (
         _t(spark, sf, "orders")
         .select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("at"), one, F.floor("o_totalprice").alias("outcount"))
+        .transform(op.yearly_counts, "k", "at", ["1997", "1998"])
         .join(_t(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n_nationkey")), "k")
         .join(nations, "n_nationkey")
     )
     b = (
         _t(spark, sf, "lineitem")
         .select(F.col("l_suppkey").alias("k"), F.col("l_shipdate").alias("at"), one, F.col("l_linenumber").alias("outcount"))
+        .transform(op.yearly_counts, "k", "at", ["1997", "1998"])
         .join(_t(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n_nationkey")), "k")
         .join(nations, "n_nationkey")
     )

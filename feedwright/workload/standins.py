@@ -52,7 +52,17 @@ _LOC = "gid://shopify/Location/"
 
 _SQL: dict[str, str] = {}
 
+# Descriptive fields, some of them empty here and there.
+_DESCRIPTIONS = ",\n  ".join(
+    f"case when length(identifier) % {k + 2} = 1 then null else '{name} ' || substring(identifier, 1, 2) end as {name}"
+    for k, name in enumerate(
+        "manufacturer_code manufacturer_name manufacturer_part_number vendor_code vendor_name class_code class_name "
+        "department_number department_name fineline_code fineline_name erp_title inactive kit_only aisle_hh aisle_mf "
+        "inventory_tracked_leh".split()
+    )
+)
 _SQL["catalog"] = f"""
+select *, {_DESCRIPTIONS} from (
 select cast(p_partkey as string) as identifier, cast(p_partkey as string) || '  ' as sku,
   case when p_size <= 12 then 'homesource' when p_size <= 40 then 'Eagle' when p_size <= 43 then 'adc'
        when p_size <= 46 then 'LEH import' when p_size = 47 then null else 'akeneo' end as data_source,
@@ -104,7 +114,7 @@ select {_kit('o_orderkey')}, {_kit('o_orderkey')},
   case o_orderkey % 2 when 0 then 'True' else 'false' end, 'False', 'True', case o_orderkey % 3 when 0 then null else 'false' end,
   2, 0, 0, 0, 3, 0, 0, 0, null, null, null, null,
   null, null
-from {{orders}}
+from {{orders}}) as described
 """
 
 _SQL["catalog_json"] = f"""
@@ -182,7 +192,7 @@ from (
     max(l_linenumber) as last_line, min(l_discount) as low_discount
   from {{lineitem}} group by l_partkey, cast(l_suppkey % 8 as int)) grouped
 """
-_SQL["hk_item_store"] = "select * from {item_store} where store in ('1', '2')"
+_SQL["hk_item_store"] = "select * from {item_store}"
 _SQL["item_upc"] = f"""
 select cast(l_partkey as string) || case l_suppkey % 9 when 0 then '-fba' when 1 then '  ' else '' end as sku,
   lpad(cast(l_partkey * 1000 + l_suppkey % 1000 as string), 11 + l_linenumber % 3, '0')
