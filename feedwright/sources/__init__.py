@@ -1,7 +1,7 @@
 """Inputs and outputs."""
 
-from .entities import ENTITIES, SKU_COLUMNS, ddl
+from .entities import CODE_COLUMNS, ENTITIES, FOLDED_COLUMNS, SKU_COLUMNS, ddl
 from .readers import Sources
 from .sinks import write_report
 
-__all__ = ["ENTITIES", "SKU_COLUMNS", "Sources", "ddl", "write_report"]
+__all__ = ["CODE_COLUMNS", "ENTITIES", "FOLDED_COLUMNS", "SKU_COLUMNS", "Sources", "ddl", "write_report"]

@@ -1,12 +1,29 @@
 """Columns of every logical input table.
 
 A deployment maps its own tables and column names to these (see ``Sources``). Columns named in ``SKU_COLUMNS`` hold
-product keys: they are compared without regard to case and trailing blanks, so they are brought to one form on load.
+product keys and those in ``CODE_COLUMNS`` other keys that tables are joined on: they are compared without regard to case
+and trailing blanks, so they are brought to one form on load.
 """
 
 from __future__ import annotations
 
 SKU_COLUMNS = {"sku", "identifier", "component_sku", "alias_sku", "item_number", "sku_key", "seller_sku"}
+CODE_COLUMNS = {
+    "apid",
+    "catalog_id",
+    "channelorderid",
+    "first_shipped_shipdoc",
+    "import_order_number",
+    "order_number",
+    "product_type_code",
+    "shipper_code",
+    "shipping_document_number",
+    "status_code",
+    "third_party_order_number",
+    "udf_order_text",
+    "warehouse_code",
+}
+FOLDED_COLUMNS = SKU_COLUMNS | CODE_COLUMNS
 
 _MONEY = "decimal(18,2)"
 _QTY = "decimal(18,4)"

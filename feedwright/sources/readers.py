@@ -7,13 +7,13 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .entities import ENTITIES, SKU_COLUMNS, ddl
+from .entities import ENTITIES, FOLDED_COLUMNS, ddl
 
 Loader = Callable[[], DataFrame]
 
 
 class Sources(Mapping):
-    """Input tables by logical name, with declared columns and types and one form of product keys.
+    """Input tables by logical name, with declared columns and types and one form of keys.
 
     Loading is lazy and cut to the declared columns; what a check does not use is never read.
     """
@@ -50,7 +50,7 @@ class Sources(Mapping):
     @staticmethod
     def _column(name: str, kind: str) -> str:
         value = f"cast(`{name}` as {kind})"
-        return f"upper(rtrim({value})) as `{name}`" if name in SKU_COLUMNS else f"{value} as `{name}`"
+        return f"upper(rtrim({value})) as `{name}`" if name in FOLDED_COLUMNS else f"{value} as `{name}`"
 
     def with_frames(self, **frames: DataFrame) -> Sources:
         """A copy with some tables replaced."""
@@ -97,7 +97,8 @@ class Sources(Mapping):
         rename: Mapping[str, Mapping[str, str]] | None = None,
     ) -> Sources:
         """Database tables. ``split`` gives an entity its partitionColumn, lowerBound, upperBound and numPartitions, so
-        that a large table is read by many tasks; filters and column choice are pushed to the database."""
+        that a large table is read by many tasks. The choice of columns reaches the database, and filters on columns that
+        need no cast; keys are brought to one form in Spark, so filters on them are applied after reading."""
 
         def loader(name: str, table: str) -> Loader:
             extra = {**(options or {}), **(split or {}).get(name, {})}

@@ -11,7 +11,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources import ENTITIES, SKU_COLUMNS, Sources
+from ..sources import ENTITIES, FOLDED_COLUMNS, Sources
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -563,7 +563,7 @@ _DUCK_TYPES = {"string": "varchar", "timestamp_ntz": "timestamp"}
 
 def _oracle_column(name: str, kind: str) -> str:
     value = f"cast({name} as {_DUCK_TYPES.get(kind, kind)})"
-    return f"upper(rtrim({value})) as {name}" if name in SKU_COLUMNS else f"{value} as {name}"
+    return f"upper(rtrim({value})) as {name}" if name in FOLDED_COLUMNS else f"{value} as {name}"
 
 
 @cache

@@ -9,6 +9,9 @@ from conftest import SF
 import __spark_entry__ as entry
 from tools.compare import TABLES, compare
 
+# Reports that have no row at this size.
+EMPTY = {"check_brand_store_gap"}
+
 
 def is_ours(name):
     return not re.match(r"op\d+_|pipeline$", name)
@@ -31,14 +34,8 @@ def test_queries_match_their_sql(spark):
     def one(item):
         name, fn = item
         text, _, ok = compare(spark, con.cursor(), SF, name, fn, oracles[name])
-        return None if ok else f"{name}: {text}"
+        # A report that is empty on purpose-dirtied data would check nothing.
+        return None if ok and (text != "ok 0" or name in EMPTY) else f"{name}: {text}"
 
     with ThreadPoolExecutor(4) as pool:
         assert [r for r in pool.map(one, [q for q in entry.queries().items() if is_ours(q[0])]) if r] == []
-
-
-def test_queries_return_rows(spark):
-    """A report that is empty on purpose-dirtied data would check nothing."""
-    empty = [n for n in ("check_product_prices", "check_kit_quantities", "check_location_mismatches", "q46_delta_feed")
-             if entry.queries()[n](spark, SF).limit(1).count() == 0]
-    assert empty == []

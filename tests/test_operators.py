@@ -302,3 +302,47 @@ def test_membership_and_presence(frame):
     assert rows(op.membership_flags(wanted, lists)) == [("a", 1, 0, 1), ("b", 0, 1, 1), ("c", 0, 0, 0)]
     report = op.presence_report(wanted, {"x": frame("sku string, n int", ("a", 7))})
     assert rows(report, "sku", "exists_in_x", "n") == [("a", "Y", 7), ("b", "N", None), ("c", "N", None)]
+
+
+def test_left_many_is_a_left_join_that_splits_its_right_side(spark, frame):
+    left = frame("k string, a int", ("x", 1), ("y", 2), (None, 3))
+    right = frame("k string, b int", *[("x", i) for i in range(3)], ("z", 9), (None, 8))
+    assert rows(op.left_many(left, right, "k")) == rows(left.join(right, "k", "left"))
+    assert op.left_many(left, right, "k").columns == ["k", "a", "b"]
+
+
+def test_codes_are_compared_as_text(spark, frame):
+    stores = frame("sku string, store string", ("a", "D"), ("a", "d"), ("a", "8 "))
+    assert rows(op.store_string(stores, "sku", "store", "stores", recode={"D": "12"})) == [("a", "8,12")]
+    prices = frame("sku string, catalog_id string, catalog_price decimal(18,2)", ("a", "master13 ", D("2")))
+    assert rows(op.catalog_price_matrix(prices, ["MASTER13"])) == [("a", D("2.00"))]
+    pairs = frame("l string, r string", ("0123 ", "0123"), ("Ab", "aB"), ("a", "b"))
+    assert [r[-1] for r in op.flag_pairs(pairs, [Pair("same", "l", "r")], keep="all").collect()] == ["true", "true", "false"]
+    expected = frame("sku string, warehouse_code string, store string", ("a", "H", "1"))
+    found = frame("sku string, warehouse_code string, actual_location string", ("a", "H", "10-A1"), ("a", "H", "10-a1 "))
+    assert op.multi_location_skus(expected, found).count() == 0
+
+
+def test_hot_key_on_the_right_is_split(spark):
+    """A third of the right side has one key; its join must not settle in one task."""
+    left = spark.range(2000).select(F.col("id").cast("string").alias("k"))
+    right = spark.range(60000).select(F.when(F.col("id") % 3 == 0, "7").otherwise(F.col("id") % 2000).cast("string").alias("k"), F.col("id").alias("v"))
+    options = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    try:
+        out = op.left_many(left, right, "k")
+        assert out.count() == left.join(right, "k", "left").count()
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
