@@ -17,8 +17,9 @@ from feedwright.llm.queries import CODEC_FIELDS, RANKS, codec_digests
 from feedwright.llm.text import read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Documents whose language is less certain than this are rejected.
+#: Documents whose language is less certain than this are rejected, unless they are too short to be certain about.
 SURE = 0.5
+SHORT = 200
 #: Ids that may be sent to every task (eight bytes each); more are joined by shuffle.
 SEND = 1_000_000
 
@@ -32,7 +33,8 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; those without letters or of doubtful language go."""
     judged = language.identify(docs, language.fit(docs), also=COLUMNS[1:])
-    return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE)).select(*COLUMNS)
+    sure = (F.col("score") >= SURE) | (F.length("text") < SHORT)
+    return judged.where((F.col("lang_pred") != language.UNKNOWN) & sure).select(*COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
