@@ -12,7 +12,8 @@ equal windows lie in stretches with equal anchors. The steps, all by bounded gro
 1. Documents are dealt to chunks; a chunk sends the distinct anchors it has to their buckets.
 2. A bucket answers which anchors occur in more than one chunk. All others need no further look.
 3. A chunk sends the distinct stretches of repeated anchors, each with its smallest document, to the buckets.
-4. A bucket expands the intervals over its stretches and answers which windows also start in a smaller document.
+4. A bucket expands the intervals over its stretches and answers which windows also start in a smaller document. Equal
+   stretches are one; one whose anchor has no other stretch has nothing to share and is left out of the transform.
 5. A chunk marks these windows and gives the removed runs of its documents.
 
 An anchor that occurs in a third of all documents adds one entry for each chunk and one stretch for each distinct
@@ -22,6 +23,7 @@ bytes, so that the bucket of a frequent anchor does not grow with the corpus.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from dataclasses import dataclass
 
@@ -33,30 +35,31 @@ from pyspark.sql import functions as F
 from feedwright.llm import segments
 
 LENGTH = 50
-ANCHOR = 16
-#: Bytes of text in a chunk and for each bucket.
+#: Long enough that few anchors recur by chance however large the corpus; a multiple of 8.
+ANCHOR = 32
+#: Bytes of text in a chunk and for each bucket. A bucket's transform should fit into the processor's cache.
 CHUNK = 8_000_000
-BUCKET = 4_000_000
+BUCKET = 1_000_000
 #: From so many chunks on an anchor's windows are dealt one by one.
 FREQUENT = 256
 #: Places that are worked on at once (the place is kept in 20 bits).
-_STEP = 1 << 19
+_STEP = 1 << 15
 _PLACE = np.uint64((1 << 20) - 1)
 _NONE = np.iinfo(np.int64).max
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def anchor_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the ``ANCHOR`` = 16 bytes from each place on."""
+    """Hash of the ``ANCHOR`` bytes from each place on."""
     two = data[:-1].astype(np.uint64) | data[1:].astype(np.uint64) << np.uint64(8)
     four = two[:-2] | two[2:] << np.uint64(16)
     eight = four[:-4] | four[4:] << np.uint64(32)
-    return _mixed(eight[:-8] * np.uint64(0x9E3779B97F4A7C15) ^ _mixed(eight[8:]))
+    n = len(data) - ANCHOR + 1
+    out = np.zeros(n, dtype=np.uint64)
+    for at in range(0, ANCHOR, 8):
+        out ^= eight[at : at + n]
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
 
 
 @dataclass
@@ -73,7 +76,10 @@ def stretches(data: np.ndarray, ends: np.ndarray, usable: np.ndarray, length: in
     """Of texts that stand one after the other in ``data`` and end at ``ends``; only those of ``usable`` texts."""
     found: list[tuple[np.ndarray, ...]] = []
     width = length - ANCHOR + 1
-    begins = np.concatenate([[0], ends[:-1]])
+    sizes = np.diff(ends, prepend=0)
+    # Last window of the text that each place belongs to. Windows of different texts are never neighbours.
+    last = np.repeat(np.where(usable, ends - length, -1), sizes).astype(np.int32)
+    owner = np.repeat(np.arange(len(ends), dtype=np.int32), sizes)
     for at in range(0, len(data) - length + 1, _STEP):
         stop = min(at + _STEP, len(data) - length + 1)  # windows at <= start < stop
         hashes = anchor_hashes(data[at : stop + length - 1])
@@ -85,15 +91,13 @@ def stretches(data: np.ndarray, ends: np.ndarray, usable: np.ndarray, length: in
             done *= 2
         if done < width:
             least = np.minimum(least[: len(least) - (width - done)], least[width - done :])
-        least = (least & _PLACE).astype(np.int64)
-        starts = np.arange(at, stop)
-        doc = np.searchsorted(ends, starts, "right")
-        valid = (starts + length <= ends[doc]) & usable[doc] & (starts >= begins[doc])
-        starts, doc, least = starts[valid], doc[valid], least[valid]
+        starts = np.flatnonzero(last[at:stop] >= np.arange(at, stop, dtype=np.int32))
         if not len(starts):
             continue
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(least) != 0) | (np.diff(starts) != 1) | (np.diff(doc) != 0)]))
-        found.append((hashes[least[new]], starts[new], np.diff(np.concatenate([new, [len(starts)]])), doc[new]))
+        least = (least[starts] & _PLACE).astype(np.int64)
+        new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1)]))
+        first = starts[new] + at
+        found.append((hashes[least[new]], first, np.diff(np.concatenate([new, [len(starts)]])), owner[first]))
     if not found:
         return Stretches(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
     return Stretches(*(np.concatenate(c) for c in zip(*found)))
@@ -113,14 +117,15 @@ def undivided(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     onward = np.argsort(transform, kind="stable").astype(np.int32)
     first = transform[onward]
     divided = np.concatenate([[True], first[1:] != first[:-1]])
-    pending = np.flatnonzero(~divided).astype(np.int32)
+    pending = np.flatnonzero(~divided)
+    here, before = onward[pending], onward[pending - 1]
     for _ in range(length - 1):
         if not len(pending):
             break
         interval = np.cumsum(divided, dtype=np.int32)
-        apart = interval[onward[pending]] != interval[onward[pending - 1]]
-        divided[pending[apart]] = True
-        pending = pending[~apart]
+        same = interval[here] == interval[before]
+        divided[pending[~same]] = True
+        pending, here, before = pending[same], here[same], before[same]
     return order, divided
 
 
@@ -168,8 +173,8 @@ class Chunk:
         return keys, which, low < high
 
     def pieces(self, answers: dict[int, tuple[bytes, bytes]], buckets: int) -> dict[int, dict[bytes, list]]:
-        """By bucket the distinct pieces of repeated anchors: their smallest document, and their occurrences (first
-        window, document)."""
+        """By bucket the distinct pieces of repeated anchors: their smallest document, 32 bits of the anchor, and their
+        occurrences (first window, document)."""
         keys, which, repeated = self.anchors()
         bucket = (keys % np.uint64(buckets)).astype(np.int64)
         frequent = np.zeros(len(keys), dtype=bool)
@@ -177,22 +182,25 @@ class Chunk:
             own = np.flatnonzero(bucket == b)
             repeated[own] |= _bits(again, len(own))
             frequent[own] = _bits(often, len(own))
+        gc.disable()  # many small objects and no cycles
         out: dict[int, dict[bytes, list]] = {}
         data, length = self.data, self.length
         chosen = np.flatnonzero(repeated[which])
-        columns = (bucket[which[chosen]], frequent[which[chosen]], self.found.start[chosen], self.found.count[chosen], self.found.doc[chosen])
+        mark = (keys >> np.uint64(32)).astype(np.uint32)
+        columns = (bucket[which[chosen]], frequent[which[chosen]], mark[which[chosen]], self.found.start[chosen], self.found.count[chosen], self.found.doc[chosen])
         numbers = self.numbers.tolist()
-        for b, often, start, count, doc in zip(*(c.tolist() for c in columns)):
+        for b, often, anchor, start, count, doc in zip(*(c.tolist() for c in columns)):
             spread = [(start + k, 1) for k in range(count)] if often else [(start, count)]
             for s, n in spread:
                 piece = data[s : s + n + length - 1]
                 place = out.setdefault(zlib.crc32(piece) % buckets if often else b, {})
                 known = place.get(piece)
                 if known is None:
-                    place[piece] = [numbers[doc], [(s, doc)]]
+                    place[piece] = [numbers[doc], anchor, s, doc]
                 else:
-                    known[0] = min(known[0], numbers[doc])
-                    known[1].append((s, doc))
+                    if numbers[doc] < known[0]:
+                        known[0] = numbers[doc]
+                    known += (s, doc)
         return out
 
 
@@ -210,7 +218,7 @@ def _batch(columns: list, schema: pa.Schema) -> pa.Table:
 
 _ANCHORS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary())])
 _REPEATED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int32()), ("x", pa.binary()), ("y", pa.binary())])
-_PIECES = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("text", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())])
+_PIECES = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("text", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("marks", pa.binary())])
 _REMOVED = pa.schema(
     [("_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string())]
 )
@@ -262,7 +270,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
         number = texts.column("chunk")[0].as_py()
         found = Chunk(texts, length).pieces(answers(told, 0), buckets)
         rows = [
-            (b, number, b"".join(own), np.array([len(p) for p in own], np.int32).tobytes(), np.array([v[0] for v in own.values()], np.int64).tobytes())
+            (
+                b, number, b"".join(own), np.array([len(p) for p in own], np.int32).tobytes(),
+                np.array([v[0] for v in own.values()], np.int64).tobytes(), np.array([v[1] for v in own.values()], np.uint32).tobytes(),
+            )
             for b, own in found.items()
         ]
         return _batch([list(c) for c in zip(*rows)] if rows else [[]] * len(_PIECES), _PIECES)
@@ -270,36 +281,46 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     def expand(table: pa.Table) -> pa.Table:
         known: dict[bytes, int] = {}
         least: list[int] = []
+        anchor: list[int] = []
         parts = []
-        for text, sizes, ids in zip(*(table.column(c).to_pylist() for c in ("text", "sizes", "ids"))):
+        for text, sizes, ids, marks in zip(*(table.column(c).to_pylist() for c in ("text", "sizes", "ids", "marks"))):
             ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
-            ids = np.frombuffer(ids, np.int64)
+            ids, marks = np.frombuffer(ids, np.int64), np.frombuffer(marks, np.uint32)
             which = []
-            for begin, end, i in zip([0, *ends[:-1]], ends, ids.tolist()):
+            for begin, end, i, mark in zip([0, *ends[:-1]], ends, ids.tolist(), marks.tolist()):
                 piece = text[begin:end]
                 k = known.setdefault(piece, len(least))
                 if k == len(least):
                     least.append(i)
+                    anchor.append(mark)
                 elif i < least[k]:
                     least[k] = i
                 which.append(k)
             parts.append((np.array(which), ids))
         texts = list(known)
-        sizes = np.array([len(t) for t in texts])
-        order, begins = undivided(texts, length)
-        # The smallest document of each class of equal windows; other suffixes take no part.
-        piece = np.repeat(np.arange(len(texts)), sizes + 1)
-        first = np.cumsum(sizes + 1) - sizes - 1
-        window = np.arange(len(piece)) - first[piece] <= sizes[piece] - length
-        owner = np.where(window, np.array(least, dtype=np.int64)[piece], _NONE)[order]
-        smallest = np.minimum.reduceat(owner, np.flatnonzero(begins))
-        by_place = np.empty(len(order), dtype=np.int64)
-        by_place[order] = smallest[np.cumsum(begins) - 1]
+        sizes, least_of = np.array([len(t) for t in texts]), np.array(least, dtype=np.int64)
+        first = np.cumsum(sizes - length + 1) - (sizes - length + 1)
+        # The smallest document of every window. A piece that is the only one of its anchor, copies aside, shares no
+        # window with another; the others are expanded together.
+        smallest = np.repeat(least_of, sizes - length + 1)
+        _, group, members = np.unique(np.array(anchor), return_inverse=True, return_counts=True)
+        several = np.flatnonzero(members[group] > 1)
+        if len(several):
+            order, begins = undivided([texts[k] for k in several.tolist()], length)
+            n = sizes[several]
+            piece = np.repeat(np.arange(len(several)), n + 1)
+            place = np.arange(len(piece)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
+            window = place <= n[piece] - length
+            owner = np.where(window, least_of[several][piece], _NONE)[order]
+            by_class = np.minimum.reduceat(owner, np.flatnonzero(begins))
+            by_place = np.empty(len(order), dtype=np.int64)
+            by_place[order] = by_class[np.cumsum(begins) - 1]
+            smallest[(first[several][piece] + place)[window]] = by_place[window]
         told = []
         for which, ids in parts:
             n = sizes[which] - length + 1
             at = np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            told.append(_packed(by_place[at] < np.repeat(ids, n)))
+            told.append(_packed(smallest[at] < np.repeat(ids, n)))
         return _batch(
             [table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), [1] * len(told), told, [b""] * len(told)], _REPEATED
         )
@@ -315,10 +336,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
             n = [len(p) - length + 1 for p in own]
             flags = _bits(smaller[b][0], sum(n))
             at = 0
-            for count, (least, places) in zip(n, own.values()):
+            for count, (least, _, *places) in zip(n, own.values()):
                 hit = np.flatnonzero(flags[at : at + count]).tolist()
                 at += count
-                for start, doc in places:
+                for start, doc in zip(places[::2], places[1::2]):
                     starts += range(start, start + count) if numbers[doc] > least else [start + h for h in hit]
         edge = np.zeros(len(chunk.data) + 1, dtype=np.int32)
         at = np.array(starts, dtype=np.int64)
