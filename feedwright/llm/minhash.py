@@ -5,9 +5,9 @@ minima of ``HASHES`` universal hash functions; ``BANDS`` bands of it are bucket
 signatures and then on the full sets; links are joined to components by alternating large-star and small-star.
 
 A bucket may hold a third of all classes, so its pairs are never written out. First every member is compared with the
-smallest of its bucket. Buckets whose members then are of different components are compared in bounded tiles of
-signatures, and of every other component only the most similar members are tried; this repeats with more of them until
-no pair of different components is left untried. So no link is lost that would change a component.
+smallest of its bucket. Buckets whose members then are of different components are divided into bounded blocks, and each
+pair of blocks is one group, which holds the signatures and the full sets of its members: it tries every pair of different
+components and returns only the links that join two of them. So no link is lost that would change a component.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ WIDTH = 5
 THRESHOLD = 80
 HASHES = 128
 BANDS = 32
-#: Classes of a bucket that are compared as one block.
+#: Classes of a bucket that make a block, and shingles that they have together at most (unless one has more).
 TILE = 1000
+TILE_SHINGLES = 1_500_000
 #: Ids of candidates that may be sent to every task (eight bytes each); beyond it they are joined by shuffle.
 SEND = 1_000_000
 #: A signature agrees with similarity s in about s of its places; candidates this far below the threshold (more than
@@ -95,9 +96,8 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return _sets(docs, width, make, "_id long, n long, digest binary, sig binary, bands array<long>")
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
-    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("_c")).distinct())
+def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(_id, s): the full sets of the documents whose id is in ``ids`` (_c)."""
     few = ids.count() <= SEND
     wanted = docs.join(F.broadcast(ids) if few else ids, F.col("_id") == F.col("_c"), "left_semi")
 
@@ -106,7 +106,13 @@ def _linked(docs: DataFrame, pairs: DataFrame, width: int, threshold: int) -> Da
         values = np.concatenate(sets).view(np.int64)
         return pa.RecordBatch.from_arrays([own, pa.ListArray.from_arrays(ends, values)], names=["_id", "s"])
 
-    sets = saved(_sets(wanted, width, make, "_id long, s array<long>"))
+    return _sets(wanted, width, make, "_id long, s array<long>")
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are similar enough."""
+    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("_c")).distinct())
+    sets = saved(_sets_of(docs, ids, width))
     left, right = sets.toDF("_a", "sa"), sets.toDF("_b", "sb")
     both = with_summary(with_summary(pairs, left, "a", "_a"), right, "b", "_b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -126,45 +132,46 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _tiles(members: DataFrame, least: int, most: int) -> DataFrame:
-    """Pairs of different components in unresolved buckets, by comparing blocks of signatures: (a, b, more); for each
-    class and other component the ``most`` best agreeing, ``more`` tells that others were left for the next round.
-
-    ``members`` has band, _id, comp, sig."""
-    stats = members.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
-    open_ = stats.where(F.col("lo") != F.col("hi")).select(F.col("band").alias("_band"), F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
-    rows = with_summary(members, open_, "band", "_band").withColumn("own", F.pmod(F.xxhash64("_id"), F.col("parts")).cast("int"))
+def _tiles(members: DataFrame, least: int, threshold: int) -> DataFrame:
+    """Links (a, b) that join different components within a bucket. ``members`` has band, parts (blocks of the bucket),
+    _id, comp, sig and the full set s."""
+    rows = members.withColumn("own", F.pmod(F.xxhash64("_id"), F.col("parts")).cast("int"))
     # A block meets itself and every other block of its bucket once.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select(
-        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "_id", "comp", "sig"
-    )
+    rows = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "_id", "comp", "sig", "s")
 
     def compare(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         own, ids, comp = (table.column(c).to_numpy() for c in ("own", "_id", "comp"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+        sets = table.column("s").combine_chunks()
+        ends = np.asarray(sets.offsets)
+        begins, size = ends[:-1] - ends[0], np.diff(ends)
+        # Numbers instead of hashes, so that a set can be marked in a table.
+        _, number = np.unique(sets.values.to_numpy()[ends[0] : ends[-1]], return_inverse=True)
+        mark = np.zeros(int(number.max()) + 1, dtype=np.int32)
+        _, group = np.unique(comp, return_inverse=True)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found: list[tuple[int, int, bool]] = []
+        found: list[tuple[int, int]] = []
         for x in left.tolist():
-            y = right if i != j else right[ids[right] > ids[x]]
-            y = y[comp[y] != comp[x]]
-            if not len(y):
-                continue
-            agree = (sig[y] == sig[x]).sum(axis=1)
-            y, agree = y[agree >= least], agree[agree >= least]
-            if not len(y):
-                continue
-            order = np.lexsort((ids[y], -agree, comp[y]))
-            y = y[order]
-            first = np.flatnonzero(np.concatenate([[True], comp[y][1:] != comp[y][:-1]]))
-            place = np.arange(len(y)) - np.repeat(first, np.diff(np.concatenate([first, [len(y)]])))
-            more = bool((place >= most).any())
-            found += [(min(int(ids[x]), int(k)), max(int(ids[x]), int(k)), more) for k in ids[y[place < most]]]
-        columns = list(zip(*found)) if found else [(), (), ()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "more"])
-
-    return rows.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long, more boolean")
+            y = right if i != j else right[right > x]
+            y = y[group[y] != group[x]]
+            y = y[(sig[y] == sig[x]).sum(axis=1) >= least] if len(y) else y
+            mark[number[begins[x] : begins[x] + size[x]]] = 1
+            for at in range(0, len(y), 200):
+                part = y[at : at + 200]
+                n = size[part]
+                first = np.cumsum(n) - n
+                places = np.repeat(begins[part] - first, n) + np.arange(n.sum())
+                common = np.add.reduceat(mark[number[places]], first)
+                for k in part[100 * common >= threshold * (size[x] + n - common)].tolist():
+                    if group[k] != group[x]:
+                        found.append((min(int(ids[x]), int(ids[k])), max(int(ids[x]), int(ids[k]))))
+                        group[group == group[k]] = group[x]
+            mark[number[begins[x] : begins[x] + size[x]]] = 0
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), ()))], names=["a", "b"])
+
+    return rows.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(
@@ -182,7 +189,7 @@ def near_duplicates(
     full = known.where((F.col("n") > 0) & F.col("_id").isNotNull())
     classes = saved(full.groupBy("digest").agg(F.min("_id").alias("rep")))
     reps = full.join(classes.select("rep", F.col("digest").alias("_d")), (F.col("digest") == F.col("_d")) & (F.col("_id") == F.col("rep")))
-    reps = saved(reps.select("_id", "sig", "bands").dropDuplicates(["_id"]))
+    reps = saved(reps.select("_id", "n", "sig", "bands").dropDuplicates(["_id"]))
     placed = reps.select("_id", F.explode("bands").alias("band"))
     shared = placed.groupBy("band").agg(F.min("_id").alias("center"), F.max("_id").alias("last")).where(F.col("center") < F.col("last"))
     members = saved(with_summary(placed, shared.withColumnRenamed("band", "_band"), "band", "_band").select("band", "_id", "center"))
@@ -190,28 +197,21 @@ def near_duplicates(
     sigs = reps.select("_id", "sig")
     least = int(HASHES * (threshold / 100 - SLACK))
     stars = members.where(F.col("_id") != F.col("center")).select(F.col("center").alias("a"), F.col("_id").alias("b")).distinct()
-    tried = saved(_agreeing(stars, sigs, least))
-    links = saved(_linked(own, tried, width, threshold))
-    joined = saved(components(links))
-    most = 1
-    while True:
-        comp = F.coalesce("component", "_id").alias("comp")
-        placed = members.select("band", "_id").join(joined, F.col("_id") == F.col("node"), "left").select("band", "_id", comp)
-        open_ = placed.groupBy("band").agg((F.min("comp") != F.max("comp")).alias("_open")).where("_open").select(F.col("band").alias("_band"))
-        rows = with_summary(placed, open_, "band", "_band").select("band", "_id", "comp")
-        rows = with_summary(rows, sigs.withColumnRenamed("_id", "_s"), "_id", "_s").select("band", "_id", "comp", "sig")
-        found = saved(_tiles(rows, least, most))
-        new = saved(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        some = not new.isEmpty()
-        if some:
-            fresh = saved(_linked(own, new, width, threshold))
-            tried = saved(tried.unionByName(new))
-            if not fresh.isEmpty():
-                links = saved(links.unionByName(fresh))
-                joined = saved(components(links))
-        elif found.where("more").isEmpty():
-            break
-        most *= 4
+    links = saved(_linked(own, saved(_agreeing(stars, sigs, least)), width, threshold))
+    joined = components(links)
+
+    comp = F.coalesce("component", "_id").alias("comp")
+    placed = members.select("band", "_id").join(reps.select(F.col("_id").alias("_r"), "n"), F.col("_id") == F.col("_r"))
+    placed = saved(placed.join(joined, F.col("_id") == F.col("node"), "left").select("band", "_id", "n", comp))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
+    open_ = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), blocks.alias("parts"))
+    # Of a bucket of two, the pair has been tried.
+    open_ = open_.where((F.col("lo") != F.col("hi")) & (F.col("size") > 2)).select(F.col("band").alias("_band"), "parts")
+    rows = saved(with_summary(placed, open_, "band", "_band").select("band", "parts", "_id", "comp"))
+    sets = _sets_of(own, saved(rows.select(F.col("_id").alias("_c")).distinct()), width)
+    full_sets = sigs.join(sets.withColumnRenamed("_id", "_s"), F.col("_id") == F.col("_s")).drop("_id")
+    more = saved(_tiles(with_summary(rows, full_sets, "_id", "_s"), least, threshold))
+    joined = components(links.unionByName(more))
 
     found = classes.join(joined, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("_d"), F.coalesce("component", "rep").alias("comp"))
     linked = with_summary(full.select("_id", "n", "digest"), found, "digest", "_d").select("_id", "n", "comp")
