@@ -18,7 +18,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField
 from feedwright.llm.text import per_document
 
 #: Pre-tokens that a task keeps with their ids; beyond it the store starts anew.
-CACHE = 300_000
+CACHE = 150_000
 
 
 def byte_alphabet() -> list[str]:

@@ -27,7 +27,7 @@ from feedwright.llm.text import per_document
 UNKNOWN = "und"
 ORDERS = (5, 4, 3, 2, 1)
 #: Words that a task keeps with their scores beside the model's own; beyond it the store starts anew.
-CACHE = 400_000
+CACHE = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
