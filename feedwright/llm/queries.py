@@ -82,7 +82,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.dedup(read(spark, sf_dir, "documents"))
+    return chunks.dedup(read(spark, sf_dir, "documents"), sure=True)
 
 
 @query

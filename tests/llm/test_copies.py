@@ -162,6 +162,47 @@ def test_chunk_borders_come_back_after_an_insertion():
     assert len(b & a) > 0.95 * len(b)
 
 
+def test_every_passage_of_51_words_and_short_copies(spark):
+    r = random.Random(51)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(r.randint(3, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    docs, places = [], {}
+    for k in range(300):
+        passage = text(51)
+        for i in (2 * k, 2 * k + 1):
+            before = text(r.randint(0, 60))
+            docs.append((i, f"{before} {passage} {text(r.randint(0, 60))}"))
+            places[i] = (len(before.encode()) + 1, len(passage.encode()))
+    docs += [(1000, "short one"), (1001, "short one"), (1002, "another short one"), (1003, "é" * 64), (1004, "é" * 64), (1005, ""), (1006, "")]
+    docs += [(1007, "x " * 30_000), (1008, "y" + "x " * 300)]
+    found = chunks.dedup(spark.createDataFrame(docs, "doc_id long, text string"), sure=True).collect()
+    spans = {x["doc_id"]: [tuple(s) for s in x["spans"]] for x in found}
+    texts = {i: t.encode() for i, t in docs}
+    for i, (start, size) in places.items():
+        if i % 2:
+            assert any(s < start + size and e > start for s, e in spans[i]), i
+            # What goes is held by the text before, byte by byte.
+            assert all(texts[i][s:e] in texts[i - 1] and e - s >= min(size, chunks.MIN_RUN) for s, e in spans[i])
+        else:
+            assert spans[i] == []
+    assert spans[1001] == [(0, 9)] and spans[1004] == [(0, 128)]
+    assert spans[1000] == spans[1002] == spans[1003] == spans[1005] == spans[1006] == []
+    assert spans[1008] and spans[1008][-1][1] - spans[1008][0][0] > 300
+
+
+@pytest.mark.parametrize("at_once", [1 << 18, 50])
+def test_one_of_every_so_many_windows_is_taken(monkeypatch, at_once):
+    monkeypatch.setattr(chunks, "AT_ONCE", at_once)
+    chunks.powers.cache_clear()
+    for text in (np.random.default_rng(2).integers(97, 120, 900).astype(np.uint8), np.full(900, 97, np.uint8)):
+        for length, among in ((32, 40), (7, 1), (880, 40), (900, 3), (901, 3)):
+            taken = chunks.least_windows(text, length, among)
+            n = len(text) - length + 1
+            assert all(any(k <= p < k + among for p in taken) for k in range(max(0, n - among + 1))) and len(taken) >= min(1, n)
+            assert at_once == 50 or among == 1 or len(taken) <= 4 * len(text) / among
+    chunks.powers.cache_clear()
+
+
 def alike(vectors, threshold):
     good = {}
     for k, (i, v) in enumerate(vectors):
