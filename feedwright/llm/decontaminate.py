@@ -117,6 +117,8 @@ def contamination(
     rows = windows(items, width, item_col, item_text_col)
     passes = max(1, math.ceil(rows.count() / patterns_per_pass))
     fields = [StructField("n_words", LongType()), StructField("spans", _SPANS), StructField("items", ArrayType(StringType()))]
+    # The text goes through all passes but the last, once even where it is among the further columns.
+    with_text = tuple(dict.fromkeys((*also, text_col)))
     found = None
     for k in range(passes):
         # Bounded by patterns_per_pass: the windows of one pass.
@@ -139,9 +141,9 @@ def contamination(
             return judge
 
         if found is None:
-            found = per_document(docs, fields, setup, id_col, text_col, (*also, text_col) if passes > 1 else also)
+            found = per_document(docs, fields, setup, id_col, text_col, with_text if passes > 1 else also)
         else:
-            found = _join_pass(found, fields, setup, id_col, text_col, also if k == passes - 1 else (*also, text_col))
+            found = _join_pass(found, fields, setup, id_col, text_col, also if k == passes - 1 else with_text)
     return found.select(id_col, *also, "n_words", "spans", "items")
 
 

@@ -1,11 +1,13 @@
 """License scan and benchmark decontamination against plain searches."""
 
+import functools
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from feedwright.llm import decontaminate, licenses
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -48,6 +50,28 @@ def test_hits_are_those_of_a_plain_search(spark, passes):
     assert result(decontaminate.contamination(d, b, width=4, patterns_per_pass=passes)) == hits(docs, items, 4)
 
 
+@pytest.mark.parametrize("passes", [1, 3, 500_000])
+def test_further_columns_go_through_all_passes(spark, passes):
+    docs = [(1, "a b c d e", "en"), (2, "x y z", "de"), (3, None, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    items = spark.createDataFrame([(1, "a b c"), (2, "c d e"), (3, "q r s t")], "item_id long, text string")
+    found = decontaminate.contamination(frame, items, width=2, patterns_per_pass=passes, also=("text", "lang"))
+    assert found.columns == ["doc_id", "text", "lang", "n_words", "spans", "items"]
+    got = {r["doc_id"]: (r["doc_id"], r["text"], r["lang"], [tuple(s) for s in r["spans"]], r["items"]) for r in found.collect()}
+    assert got == {1: (*docs[0], [(0, 5)], ["1", "2"]), 2: (*docs[1], [], []), 3: (*docs[2], [], [])}
+
+
+def test_pipeline_stage_with_several_passes(spark, monkeypatch):
+    items = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(14))), (2, "x y z")], "item_id long, text string")
+    docs = [(1, " ".join(f"W{k}" for k in range(2, 13)), "en", "s", 30), (2, "x y", "de", "t", 3), (3, "a x, y z", "de", "t", 8), (4, None, "de", "t", None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(corpus_pipeline, "read", lambda *_: items)
+    monkeypatch.setattr(decontaminate, "contamination", functools.partial(decontaminate.contamination, patterns_per_pass=2))
+    kept = corpus_pipeline.not_in_benchmark(spark, frame, "")
+    assert kept.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted(tuple(r) for r in kept.collect()) == [docs[1], docs[3]]
+
+
 def test_jumps_find_what_stands_at_the_ends():
     s = decontaminate.searchers([("a b c d", ["1"]), ("c d e f", ["2"]), ("x", ["3"])])
     found = [(k, sorted(i)) for t in s for k, i in t.find("a b c d e f x".encode().split())]
