@@ -33,8 +33,8 @@ TILE_SHINGLES = 1_500_000
 #: Ids of candidates that may be sent to every task (eight bytes each); beyond it they are joined by shuffle.
 SEND = 1_000_000
 #: A signature agrees with similarity s in about s of its places; candidates this far below the threshold (more than
-#: four standard deviations) are dropped.
-SLACK = 0.15
+#: six standard deviations at 0.8, where a link is lost with a chance of 3e-11) are dropped.
+SLACK = 0.25
 
 
 def hash_functions() -> tuple[np.ndarray, np.ndarray]:

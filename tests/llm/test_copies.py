@@ -75,6 +75,16 @@ def test_near_duplicates_of_repeated_rows_and_empty_tables(spark, frame):
     assert minhash.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_links_whose_signatures_agree_in_few_places(spark):
+    # Pairs of similarity 0.8, of some 600,000 tried those whose signatures agree in 79 to 82 places.
+    docs = []
+    for k in (34068, 51598, 156028, 241264):
+        w = [f"w{k}x{j}" for j in range(10)]
+        docs += [(2 * k, " ".join(w[:9])), (2 * k + 1, " ".join(w[:8] + w[9:]))]
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=1).collect()
+    assert sorted((tuple(x) for x in got), key=str) == near(docs, 1, 80)
+
+
 def repeated(docs, length):
     """(id, bytes, removed runs, digest) by looking every string up in all smaller documents."""
     first = {}
