@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from feedwright.llm import bpe, chunks, decontaminate, embeddings, language, licenses, minhash, pii, suffixes, toxicity
+from feedwright.llm import bpe, chunks, decontaminate, divergence, embeddings, language, licenses, minhash, pieces, pii, suffixes, toxicity
 from feedwright.llm.text import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +115,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+#: Model file of the sentencepiece vocabulary, a parameter of the operator.
+PIECES = "piece_bpe_32k.model"
+
+
+def piece_digests(table: pieces.ChunkTable, ids) -> tuple[int, str, str]:
+    listed, decoded = table.listed(ids).encode(), table.decode(ids).encode()
+    return len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(decoded).hexdigest()
+
+
+@query
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.apply_table(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), CODEC_FIELDS, piece_digests)
+
+
 _SQL_WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"""
 
@@ -165,3 +186,35 @@ reach as (select vec_id, vec_id as node from embeddings union select reach.vec_i
 select vec_id, (select count(*) from links where a = vec_id) as n_links, min(node) as component_id,
   vec_id = min(node) as kept
 from reach group by vec_id"""
+
+# Every kept term of a language meets every ordered pair of its sources.
+ORACLES["op11_source_divergence"] = r"""
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') as w from documents),
+w as (select r, lang, source, unnest(w) as term from d),
+kept as (select lang, term from w group by lang, term having count(distinct r) >= 3),
+c as (select lang, source, term, count(*) as n from w join kept using (lang, term) group by all),
+groups as (select distinct lang, source from d),
+v as (select lang, count(*) as v from kept group by lang),
+sizes as (select lang, source, coalesce(sum(n), 0)::hugeint + any_value(v) as size
+  from groups join v using (lang) left join c using (lang, source) group by lang, source),
+p as (select lang, source, term, coalesce(n, 0) as n, 1 + (1000000000 * (coalesce(n, 0)::hugeint + 1)) // size as p
+  from sizes join kept using (lang) left join c using (lang, source, term)),
+q as (select lang, term, 1 + (1000000000 * (sum(n)::hugeint + 1)) // any_value(size) as q
+  from p join (select lang, sum(n)::hugeint + any_value(v) as size from c join v using (lang) group by lang) using (lang)
+  group by lang, term),
+pair as (
+  select x.lang, x.source, y.source as item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) as value
+  from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join pair on pair.lang = a.lang and pair.source = a.source and pair.item = b.source),
+raised as (
+  select lang, source, 'term' as part, term as item, (((p - q) * (p - q)) // q)::bigint as value
+  from p join q using (lang, term) where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::integer as rank
+  from (select * from pairs union all select * from raised))
+select * from ranked where part = 'pair' or rank <= 200"""

@@ -20,7 +20,7 @@ from feedwright.llm.queries import ORACLES, QUERIES, RANKS
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
+    for t in ("documents", "benchmark", "embeddings", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     found = QUERIES[name](spark, SF)
     got = sorted(tuple(r) for r in found.collect())
