@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from feedwright.llm import bpe, chunks, decontaminate, divergence, embeddings, language, licenses, minhash, pieces, pii, suffixes, toxicity
+from feedwright.llm import bpe, chunks, decontaminate, divergence, embeddings, language, licenses, minhash, pieces, pii, suffixes, toxicity, tries
 from feedwright.llm.text import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,6 +136,11 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.apply_table(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), CODEC_FIELDS, piece_digests)
 
 
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(read(spark, sf_dir, "conversations")).drop("node")
+
+
 _SQL_WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"""
 
@@ -218,3 +223,37 @@ raised as (
 ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::integer as rank
   from (select * from pairs union all select * from raised))
 select * from ranked where part = 'pair' or rank <= 200"""
+
+# crc32 bit by bit; a node is the digest of the digests of its turns; its ancestors are the prefixes of its smallest member.
+ORACLES["op13_conversation_trie"] = """
+with t as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as k
+  from conversations where conv_id is not null),
+c as (
+  select conv_id, conv_id - conv_id % 100 as opener, xor(4294967295, list_reduce(
+    list_prepend(4294967295, flatten(list_transform(string_split(conv_id::varchar, ''), lambda x: [ord(x)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda crc, x: xor(xor(crc, x) >> 1, 3988292384 * (xor(crc, x) & 1)))) % 6 as h
+  from (select distinct conv_id from t)),
+m as (select c.conv_id, opener, h, least(h, count(k)) as lead from c left join t on t.conv_id = opener group by all),
+r as (
+  select m.conv_id, k + 1 as depth, role, text from m join t on t.conv_id = opener and k < h
+  union all
+  select m.conv_id, lead + k - h + 1, role, text from m join t on t.conv_id = m.conv_id and k >= h),
+p as (
+  select conv_id, depth, length(text) as chars,
+    string_agg(sha256(length(role) || ':' || role || text), '') over (partition by conv_id order by depth) as path from r
+  union all select conv_id, 0, 0, '' from c),
+n as (select path, depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(chars) as chars from p group by path, depth),
+kids as (select left(path, length(path) - 64) as path, count(*) as n_children from n where depth > 0 group by all),
+whole as (select n.*, coalesce(n_children, 0) as n_children from n left join kids using (path)),
+below as (
+  select top.path, count(*) filter (n_children = 0) as n_leaves, sum((n_convs - 1) * x.chars)::bigint as saved_tokens
+  from whole x join p top on top.conv_id = x.conv_id and top.depth <= x.depth group by top.path),
+ends as (
+  select path, string_agg(conv_id::varchar, ',' order by conv_id) as ids
+  from (select conv_id, arg_max(path, depth) as path from p group by conv_id) group by path)
+select w.conv_id, w.depth, up.conv_id as parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens,
+  sha256(coalesce(ids, '')) as ends_sha256
+from whole w join below using (path) left join ends using (path)
+left join n up on w.depth > 0 and up.path = left(w.path, length(w.path) - 64)"""
