@@ -1,6 +1,6 @@
 """Column expressions. All are built-in Spark functions, so they stay inside generated code."""
 
-from .compare import agree, coalesce_flag, fold, none_of, one_of
+from .compare import agree, begins_with, coalesce_flag, fold, none_of, one_of
 from .dates import in_period, is_weekday, local_time, month_text, period_bounds
 from .money import cascade_first_nonzero, floor_money, not_negative, price_hierarchy, sale_mark
 from .shipping import carrier_name, tracking_url
@@ -17,6 +17,7 @@ from .text import (
 
 __all__ = [
     "agree",
+    "begins_with",
     "carrier_name",
     "cascade_first_nonzero",
     "coalesce_flag",

@@ -19,9 +19,36 @@ def fold(c: Column | str) -> Column:
     return F.lower(F.rtrim(_col(c)))
 
 
+def _upper_end(value: str) -> str:
+    """A text above everything that folds to ``value``: blanks may follow. One letter outside ASCII, the Kelvin sign,
+    becomes an ASCII one, so a text is cut before the first k."""
+    return value.split("k")[0] + chr(0x10FFFF) if "k" in value else value + "!"
+
+
+def reachable(c: Column | str, values: Iterable[str]) -> Column | None:
+    """A range of the stored text that holds every text folding to one of the values: it keeps too much, but, unlike a
+    comparison of folded text, it reaches the scan and skips files and row groups. None where no such range is known."""
+    folded = [v.lower().rstrip(" ") for v in values]
+    if not folded or not all(v.isascii() for v in folded):
+        return None
+    return (_col(c) >= min(v.upper() for v in folded)) & (_col(c) < max(map(_upper_end, folded)))
+
+
 def one_of(c: Column | str, values: Iterable[str]) -> Column:
     """Case-insensitive IN."""
-    return fold(c).isin([v.lower().rstrip() for v in values])
+    values = list(values)
+    exact, stored = fold(c).isin([v.lower().rstrip(" ") for v in values]), reachable(c, values)
+    return exact if stored is None else stored & exact
+
+
+def begins_with(c: Column | str, prefix: str) -> Column:
+    """Case-insensitive LIKE 'prefix%'."""
+    prefix = prefix.lower()
+    exact = fold(c).startswith(prefix)
+    if not prefix or not prefix.isascii():
+        return exact
+    upper = prefix.split("k")[0] + chr(0x10FFFF) if "k" in prefix else prefix[:-1] + chr(ord(prefix[-1]) + 1)
+    return (_col(c) >= prefix.upper()) & (_col(c) < upper) & exact
 
 
 def none_of(c: Column | str, values: Iterable[str], keep_null: bool = False) -> Column:

@@ -12,17 +12,14 @@ from .. import functions as fn
 from .. import operators as op
 from ..sources import Sources
 from .check import check
+from .common import stock_items
 from .inventory import free_stock_by_store, pending_by_sku, reserve_by_store, shop_open_orders
 
 _OFFER = ["sku", "store", "manufacturer", "quantity_on_hand", "discontinued", "closeout"]
 
 
-def _trimmed(s: Sources) -> DataFrame:
-    return s["item_store"].withColumn("sku", F.trim("item_number"))
-
-
 def _brand_items(s: Sources, manufacturers: Sequence[str], stores: Sequence[str]) -> DataFrame:
-    rows = _trimmed(s).filter(fn.one_of("manufacturer", manufacturers) & fn.one_of("store", stores))
+    rows = stock_items(s).filter(fn.one_of("manufacturer", manufacturers) & fn.one_of("store", stores))
     return rows.filter(~fn.fold("sku").contains("zz"))
 
 
@@ -63,7 +60,7 @@ def brand_listed_skus(s: Sources, manufacturers: Sequence[str] = ("fest", "05112
 @check("item_attributes", "adhoc", "FQ01", "listing")
 def item_attributes(s: Sources, skus: Sequence[str] | None = None) -> DataFrame:
     """Item-store attributes of a list of skus, or of all."""
-    rows = _trimmed(s) if skus is None else _trimmed(s).filter(fn.one_of("sku", skus))
+    rows = stock_items(s) if skus is None else stock_items(s).filter(fn.one_of("sku", skus))
     return rows.select("sku", "store", "department", "location_code", "description", "retail_price", "quantity_on_hand")
 
 
@@ -72,7 +69,7 @@ def shared_skus(s: Sources) -> DataFrame:
     """Active kits that also exist as items, with both descriptions."""
     skus = s["order_sku"].filter(fn.none_of("active_flag", ["n"])).select("sku", "active_flag")
     kits = op.only_in(skus, s["kitting"], "sku")
-    items = _trimmed(s).select("sku", "discontinued", "description").distinct()
+    items = stock_items(s).select("sku", "discontinued", "description").distinct()
     names = s["product"].select(F.upper(F.rtrim("product_number")).alias("sku"), "product_name")
     return kits.join(items, "sku").join(names, "sku").distinct()
 
@@ -104,22 +101,22 @@ def free_by_store(s: Sources) -> DataFrame:
 @check("store_only_items", "adhoc", "FQ05", "audit")
 def store_only_items(s: Sources, have: str = "1", lack: str = "4") -> DataFrame:
     """Items on sale with stock in one store that another store does not keep."""
-    rows = _trimmed(s)
+    rows = stock_items(s)
     offered = rows.filter(
-        (F.col("store") == have)
+        fn.one_of("store", [have])
         & (F.col("quantity_on_hand") > 0)
         & fn.one_of("discontinued", ["N"])
         & fn.one_of("web_flag", fv.WEB_FLAGS)
     )
     columns = ["sku", "store", "quantity_on_hand", "discontinued", "web_flag"]
-    return op.cross_store_difference(offered.select(*columns), rows.filter(F.col("store") == lack))
+    return op.cross_store_difference(offered.select(*columns), rows.filter(fn.one_of("store", [lack])))
 
 
 @check("sku_presence", "adhoc", "FQ06", "listing")
 def sku_presence(s: Sources) -> DataFrame:
     """A list of skus with where each exists: item system (stores, flags) and order system (kit, active flag)."""
     wanted = s["input_sku"]
-    items = _trimmed(s).filter(fn.one_of("store", ["1", "2", "7", "8"]))
+    items = stock_items(s).filter(fn.one_of("store", ["1", "2", "7", "8"]))
     stores = items.groupBy("sku", "discontinued", "closeout").agg(
         F.array_join(F.array_sort(F.collect_set("store")), ",").alias("stores")
     )

@@ -6,9 +6,10 @@ from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import Sources, write_report
+from .stages import StagedSources
 
 KINDS = ("check", "audit", "listing")
 
@@ -66,11 +67,21 @@ def run_checks(
     area: str | None = None,
     params: Mapping[str, Mapping] | None = None,
     parallel: int = 1,
+    staged: bool = True,
+    stage_path: str | None = None,
 ) -> list[Result]:
     """Write each report under ``out/check=<name>`` and say how many rows it has.
 
-    Reports are independent jobs; with ``parallel`` > 1 several are submitted at a time and share the cluster.
+    Reports are independent jobs; with ``parallel`` > 1 several are submitted at a time and share the cluster. Frames that
+    reports share are written once, to ``stage_path`` or the session's warehouse, and dropped at the end; ``staged=False``
+    plans them anew in every report.
     """
+    if staged and not isinstance(sources, StagedSources):
+        with_stages = StagedSources(sources, SparkSession.active(), stage_path)
+        try:
+            return run_checks(with_stages, out, names, area, params, parallel)
+        finally:
+            with_stages.drop()
 
     def one(c: Check) -> Result:
         rows = write_report(c.run(sources, **(params or {}).get(c.name, {})), out, {"check": c.name})

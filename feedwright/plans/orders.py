@@ -225,7 +225,7 @@ def order_priority(s: Sources, text: Sequence[str] = ("hwebs", "lwebs")) -> Data
 @check("ship_by_dates", "orders", "OS08", "listing")
 def ship_by_dates(s: Sources, prefix: str = "hwebs") -> DataFrame:
     """Ship-by date of the gift table beside the order's own."""
-    orders = s["sales_order"].filter(fn.fold("order_number").startswith(prefix.lower()))
+    orders = s["sales_order"].filter(fn.begins_with("order_number", prefix))
     gifts = s["order_gift"].select(
         F.col("third_party_order_number").alias("import_order_number"), F.col("ship_by_dtm").alias("ship_by_date_gift")
     )

@@ -17,14 +17,19 @@ from .check import check
 from .common import (
     active_appliance_skus,
     brand_codes,
+    catalog,
     catalog_by_identifier,
     catalog_by_sku,
     catalog_skus,
     feed_skus,
     item_rows,
+    items,
     latest_appliances,
     online_item_skus,
+    order_kits,
+    product_keys,
 )
+from .stages import stage
 
 MONEY = "decimal(18,2)"
 CHANNELS = tuple(fv.CHANNEL_STORES)
@@ -33,26 +38,28 @@ CHANNELS = tuple(fv.CHANNEL_STORES)
 @check("catalog_kits_unknown", "product", "PF01", "audit")
 def catalog_kits_unknown(s: Sources) -> DataFrame:
     """Catalog skus of no other source that the order system has no kit for."""
-    skus = s["catalog"].filter(fn.none_of("data_source", fv.NOT_KIT_SOURCES)).select(F.trim("sku").alias("sku"))
+    skus = catalog(s).filter(fn.none_of("data_source", fv.NOT_KIT_SOURCES)).select("sku")
     return op.exclude(skus, s["kitting"].select(fn.normalize_sku("sku").alias("sku")), "sku")
 
 
 @check("catalog_items_unknown", "product", "PF02", "audit")
 def catalog_items_unknown(s: Sources) -> DataFrame:
     """Catalog skus of no other source that no store has an item for."""
-    skus = s["catalog"].filter(fn.none_of("data_source", fv.NOT_ITEM_SOURCES)).select(F.trim("sku").alias("sku"))
+    skus = catalog(s).filter(fn.none_of("data_source", fv.NOT_ITEM_SOURCES)).select("sku")
     return op.exclude(skus, item_rows(s, fv.PRODUCT_STORES_ANY, flags=None), "sku")
 
 
-def _code_listing(s: Sources) -> DataFrame:
+@stage("code_listing", needs=("items", "catalog", "order_kits"))
+def eligible_codes(s: Sources) -> DataFrame:
+    """Eligible products and kits with their codes."""
+
     def part(df: DataFrame, kind: str, source: str) -> DataFrame:
         return df.select("sku", F.lit(kind).alias("source_kind"), F.lit(source).alias("source"))
 
-    kits = op.active_kits(s["kitting"], s["order_sku"])
     population = (
         part(online_item_skus(s), "item", "Eagle")
         .union(part(catalog_skus(s, [fv.ITEM_SOURCE]), "item", "Eagle"))
-        .union(part(kits, "kit", fv.KIT_SOURCE))
+        .union(part(order_kits(s), "kit", fv.KIT_SOURCE))
         .union(part(catalog_skus(s, [fv.KIT_SOURCE]), "kit", fv.KIT_SOURCE))
     )
     item_codes = s["item_upc"].withColumn("sku", F.trim("sku"))
@@ -62,13 +69,13 @@ def _code_listing(s: Sources) -> DataFrame:
 @check("code_listing", "product", "PF03", "listing")
 def code_listing(s: Sources) -> DataFrame:
     """Every eligible product and kit with its codes."""
-    return _code_listing(s)
+    return eligible_codes(s)
 
 
 @check("codes_without_primary", "product", "PF07", "audit")
 def codes_without_primary(s: Sources) -> DataFrame:
     """Eligible products that have no primary code."""
-    return op.missing_primary(_code_listing(s).filter(F.col("source") == "Eagle"))
+    return op.missing_primary(eligible_codes(s).filter(F.col("source") == "Eagle"))
 
 
 @check("product_coverage", "product", "PF04", "audit")
@@ -77,7 +84,7 @@ def product_coverage(s: Sources) -> DataFrame:
     gone = latest_appliances(s, obsolete=True)
     parts = {
         "item": op.exclude(online_item_skus(s), gone, "sku"),
-        "kit": op.active_kits(s["kitting"], s["order_sku"]),
+        "kit": order_kits(s),
         "catalog": catalog_skus(s, [fv.ITEM_SOURCE, fv.KIT_SOURCE], rentals=False),
     }
     return op.coverage_gap(op.eligible_population(parts, mode="distinct"), feed_skus(s), "sku")
@@ -86,17 +93,17 @@ def product_coverage(s: Sources) -> DataFrame:
 @check("onboarding_candidates", "product", "PF05", "audit")
 def onboarding_candidates(s: Sources) -> DataFrame:
     """Sellable items and active kits that the catalog does not know yet, one row per source row."""
-    parts = {"item": online_item_skus(s), "kit": op.active_kits(s["kitting"], s["order_sku"])}
+    parts = {"item": online_item_skus(s), "kit": order_kits(s)}
     return op.coverage_gap(op.eligible_population(parts, mode="all"), catalog_by_sku(s), "sku")
 
 
 @check("code_flag_feed", "product", "PF06")
 def code_flag_feed(s: Sources) -> DataFrame:
     """The 'no code exists' flag of the feed against the catalog's."""
-    catalog = catalog_by_identifier(s, "upc_no_exist", "data_source").filter(~fn.fold("data_source").contains(fv.CATALOG_ONLY_SOURCE))
+    listed = catalog_by_identifier(s, "upc_no_exist", "data_source").filter(~fn.fold("data_source").contains(fv.CATALOG_ONLY_SOURCE))
     feed = s["product_feed"].select(F.trim("identifier").alias("sku"), F.col("upc_no_exist").alias("feed_flag"))
     as_digit = fn.code_map(fn.fold("upc_no_exist"), {"true": "1", "false": "0"})
-    return op.reconcile(catalog, feed, "sku", [Pair("flag_check", as_digit, "feed_flag")])
+    return op.reconcile(listed, feed, "sku", [Pair("flag_check", as_digit, "feed_flag")])
 
 
 @check("obsolete_in_product_feed", "product", "PF08", "audit")
@@ -108,9 +115,9 @@ def obsolete_in_product_feed(s: Sources) -> DataFrame:
 @check("brand_codes", "product", "PF09", "listing")
 def brand_code_compare(s: Sources) -> DataFrame:
     """Item-system codes beside the brand's own codes, all rows."""
-    items = s["item_upc"].select(F.trim("sku").alias("sku"), F.trim("code").alias("item_code"))
+    codes = s["item_upc"].select(F.trim("sku").alias("sku"), F.trim("code").alias("item_code"))
     brand = brand_codes(s).drop("obsoletedate")
-    return op.reconcile(items, brand, "sku", [Pair("code_check", "item_code", "brand_code")], keep="all")
+    return op.reconcile(codes, brand, "sku", [Pair("code_check", "item_code", "brand_code")], keep="all")
 
 
 @check("mixed_record_coverage", "product", "PF10", "audit")
@@ -122,14 +129,14 @@ def mixed_record_coverage(s: Sources) -> DataFrame:
 
 
 def _system_codes(s: Sources) -> DataFrame:
-    stocked = s["item_store"].filter(fn.one_of("store", [fv.CATALOG_STORE])).select(fn.normalize_sku("item_number").alias("sku"))
-    known = op.catalog_rows(s["catalog"], [fv.ITEM_SOURCE, fv.APPLIANCE_SOURCE]).select(F.trim("identifier").alias("sku"))
+    stocked = item_rows(s, [fv.CATALOG_STORE], flags=None).select("sku")
+    known = op.catalog_rows(catalog(s), [fv.ITEM_SOURCE, fv.APPLIANCE_SOURCE]).select(F.col("identifier").alias("sku"))
     codes = s["item_upc"].withColumn("sku", fn.normalize_sku("sku"))
     codes = op.only_in(op.only_in(codes, stocked, "sku"), known, "sku")
-    items = op.upc_cascade(codes).select("sku", F.col("code").alias("system_code"))
+    coded = op.upc_cascade(codes).select("sku", F.col("code").alias("system_code"))
     kit_codes = s["kit_upc"].select(F.trim("sku").alias("sku"), F.trim("code").alias("system_code"))
     valid = kit_codes.filter(F.length("system_code").isin(fv.CODE_LENGTHS)).distinct()
-    return items.union(op.only_in(valid, s["kitting"].select(F.trim("sku").alias("sku")), "sku"))
+    return coded.union(op.only_in(valid, s["kitting"].select(F.trim("sku").alias("sku")), "sku"))
 
 
 @check("feed_codes", "product", "PF11")
@@ -159,16 +166,15 @@ def _recoded(stores: Column) -> Column:
 @check("discontinued_closeout", "product", "PF12")
 def discontinued_closeout(s: Sources) -> DataFrame:
     """Stores where a product is discontinued or on closeout, as lists, against the catalog's lists."""
-    parts = {"item": online_item_skus(s, without_kits=True), "catalog": catalog_skus(s, [fv.ITEM_SOURCE])}
-    rows = op.only_in(item_rows(s, fv.PRODUCT_STORES_ANY), op.eligible_population(parts, mode="keys"), "sku")
+    rows = op.join_unique(item_rows(s, fv.PRODUCT_STORES_ANY), product_keys(s), "sku", "left_semi")
     lists = rows.groupBy("sku").agg(
         F.collect_set(F.when(fn.one_of("discontinued", ["Y"]), F.col("store"))).alias("d"),
         F.collect_set(F.when(fn.one_of("closeout", ["Y"]), F.col("store"))).alias("c"),
     )
     expected = lists.select("sku", _or_zero(_recoded(F.col("d"))).alias("discontinued"), _or_zero(_recoded(F.col("c"))).alias("closeout"))
-    catalog = s["catalog"].select(
-        F.trim("sku").alias("sku"),
-        F.trim("sku").alias("catalog_sku"),
+    listed = catalog(s).select(
+        "sku",
+        F.col("sku").alias("catalog_sku"),
         _or_zero(fn.decode_list("discontinued")).alias("catalog_discontinued"),
         _or_zero(fn.decode_list("store_closeout")).alias("catalog_closeout"),
     )
@@ -176,17 +182,19 @@ def discontinued_closeout(s: Sources) -> DataFrame:
         Pair("discontinued_check", "discontinued", F.coalesce("catalog_discontinued", F.lit("0"))),
         Pair("closeout_check", "closeout", F.coalesce("catalog_closeout", F.lit("0"))),
     ]
-    return op.reconcile(expected, catalog, "sku", pairs, "left", distinct=True)
+    return op.reconcile(expected, listed, "sku", pairs, "left", distinct=True)
 
 
-def _create_dates(s: Sources) -> DataFrame:
+@stage("create_dates", needs=("catalog",))
+def create_dates(s: Sources) -> DataFrame:
+    """First record of every product; of a kit, its newest component's."""
     created = s["order_sku"].select(F.col("sku").alias("component_sku"), F.col("create_dtm").alias("created_at"))
     components = s["kitting"].select("sku", "component_sku").join(created, "component_sku").select("sku", "created_at")
-    kits = op.only_in(components, op.catalog_rows(s["catalog"], [fv.KIT_SOURCE]).select(F.trim("identifier").alias("sku")), "sku")
-    items = s["dw_item"].filter(fn.one_of("store", [fv.CATALOG_STORE])).select(
+    kits = op.only_in(components, op.catalog_rows(catalog(s), [fv.KIT_SOURCE]).select(F.col("identifier").alias("sku")), "sku")
+    first = s["dw_item"].filter(fn.one_of("store", [fv.CATALOG_STORE])).select(
         F.trim("item_number").alias("sku"), F.col("record_added").alias("created_at")
     )
-    return op.first_seen_date(items, kits)
+    return op.first_seen_date(first, kits)
 
 
 @check("feed_create_dates", "product", "PF13")
@@ -196,7 +204,7 @@ def feed_create_dates(s: Sources, skip_trace: str = fv.CATALOG_ONLY_TRACE) -> Da
         F.trim("identifier").alias("sku"), F.col("erp_sku_create_date").alias("feed_date")
     )
     feed = op.exclude(feed, active_appliance_skus(s), "sku")
-    return op.reconcile(feed, _create_dates(s), "sku", [Pair("date_check", "feed_date", "first_seen", "null_equal")], "left")
+    return op.reconcile(feed, create_dates(s), "sku", [Pair("date_check", "feed_date", "first_seen", "null_equal")], "left")
 
 
 @check("catalog_create_dates", "product", "PF13")
@@ -204,25 +212,22 @@ def catalog_create_dates(s: Sources, skip_trace: str = fv.CATALOG_ONLY_TRACE) ->
     """Catalog create date against the first record; unassigned products and active appliances are left out."""
     feed = s["product_feed"].filter(fn.none_of("product_trace", [skip_trace])).select(F.trim("identifier").alias("sku"), "product_trace")
     unassigned = op.json_unassigned(s["catalog_json"], "family").select(F.col("identifier").alias("sku"))
-    catalog = op.exclude(catalog_by_identifier(s, "erp_sku_create_date"), unassigned, "sku")
-    catalog = op.exclude(catalog, active_appliance_skus(s), "sku").join(feed, "sku")
-    return op.reconcile(catalog, _create_dates(s), "sku", [Pair("date_check", "erp_sku_create_date", "first_seen")])
+    listed = op.exclude(catalog_by_identifier(s, "erp_sku_create_date"), unassigned, "sku")
+    listed = op.exclude(listed, active_appliance_skus(s), "sku").join(feed, "sku")
+    return op.reconcile(listed, create_dates(s), "sku", [Pair("date_check", "erp_sku_create_date", "first_seen")])
 
 
 def _store_list_check(expected: DataFrame, s: Sources, how: str) -> DataFrame:
-    catalog = s["catalog"].select(
-        F.trim("sku").alias("sku"), _or_zero(fn.decode_list("in_stores")).alias("catalog_stores")
-    )
+    listed = catalog(s).select("sku", _or_zero(fn.decode_list("in_stores")).alias("catalog_stores"))
     pairs = [Pair("stores_check", "stores", F.coalesce("catalog_stores", F.lit("0")))]
-    return op.reconcile(expected, catalog, "sku", pairs, how, distinct=True)
+    return op.reconcile(expected, listed, "sku", pairs, how, distinct=True)
 
 
 @check("store_locations", "product", "PF14")
 def store_locations(s: Sources) -> DataFrame:
     """Stores that sell a product against the catalog's store list; kits and appliances are left out."""
-    parts = {"item": online_item_skus(s, without_kits=True), "catalog": catalog_skus(s, [fv.ITEM_SOURCE])}
-    eligible = op.exclude(op.eligible_population(parts, mode="keys"), s["appliance"].select(F.trim("sku").alias("sku")), "sku")
-    rows = op.only_in(item_rows(s, fv.PRODUCT_STORES_ANY), eligible, "sku")
+    eligible = op.exclude(product_keys(s), s["appliance"].select(F.trim("sku").alias("sku")), "sku")
+    rows = op.join_unique(item_rows(s, fv.PRODUCT_STORES_ANY), eligible, "sku", "left_semi")
     return _store_list_check(op.store_string(rows, "sku", "store", "stores", fv.STORE_RECODE, "0"), s, "inner")
 
 
@@ -245,9 +250,9 @@ def kit_prices(s: Sources, literal: bool = False) -> DataFrame:
 
     The website price falls through to the second catalog when the first has none; ``literal`` keeps a zero of the first.
     """
-    kits = op.catalog_rows(s["catalog"], [fv.KIT_SOURCE], rentals=False)
+    kits = op.catalog_rows(catalog(s), [fv.KIT_SOURCE], rentals=False)
     wanted = ["retail_price_amazon_hh", "retail_price_amazon_leh", "retail_price_website_hh", "retail_price_website_leh"]
-    actual = kits.select(F.trim("identifier").alias("sku"), *[_money_or_zero(c) for c in wanted])
+    actual = kits.select(F.col("identifier").alias("sku"), *[_money_or_zero(c) for c in wanted])
     matrix = op.catalog_price_matrix(s["catalog_price"], fv.PRICE_CATALOGS)
     rows = op.join_summary(actual, matrix, "sku", "left")
     zero = F.lit(0).cast(MONEY)
@@ -277,8 +282,7 @@ def kit_quantities(s: Sources) -> DataFrame:
     """Whole kits per store from component stock against the catalog's per-location columns."""
     kits = op.only_in(s["kitting"], s["order_sku"].filter(fn.one_of("active_flag", ["Y"])), "sku")
     kits = kits.withColumn("sku", fn.normalize_sku("sku", fv.KIT_SKU_MARKS))
-    items = s["item_store"].withColumn("item_sku", F.trim("item_number"))
-    expected = kit_quantities_by_store(op.kit_store_grid(kits, items, ["1", "2", "4"]))
+    expected = kit_quantities_by_store(op.kit_store_grid(kits, items(s), ["1", "2", "4"]))
     zero = F.lit(0).cast("decimal(18,4)")
     locations = {"1": "hh", "4": "mf", "2": "fc"}
     columns = [f"{c}_{x}" for x in locations.values() for c in _CATALOG_MEASURES.values()]
@@ -292,9 +296,9 @@ def kit_quantities(s: Sources) -> DataFrame:
 
 def _web_report(expected: DataFrame, s: Sources, decide: Sequence[str]) -> DataFrame:
     """Four channel flags against the catalog; the channels in ``decide`` make a row a discrepancy."""
-    catalog = s["catalog"].select(F.trim("identifier").alias("sku"), *[F.col(f"web_{c}").alias(f"catalog_{c}") for c in CHANNELS])
+    listed = catalog(s).select(F.col("identifier").alias("sku"), *[F.col(f"web_{c}").alias(f"catalog_{c}") for c in CHANNELS])
     pairs = [Pair(f"{c}_check", fn.fold(c), fn.fold(f"catalog_{c}"), "null_as", "0") for c in CHANNELS]
-    rows = op.reconcile(expected, catalog, "sku", pairs, "left", keep="all")
+    rows = op.reconcile(expected, listed, "sku", pairs, "left", keep="all")
     wrong = F.array_contains(F.array(*[F.col(f"{c}_check") for c in decide]), "false")
     return rows.filter(wrong)
 
@@ -337,8 +341,7 @@ def product_web_flags(s: Sources) -> DataFrame:
 @check("product_prices", "product", "PF19")
 def product_prices(s: Sources) -> DataFrame:
     """Retail and promotion price per channel from the first store that has one, against the catalog."""
-    parts = {"item": online_item_skus(s, without_kits=True), "catalog": catalog_skus(s, [fv.ITEM_SOURCE])}
-    rows = op.only_in(item_rows(s, fv.STORES_WITH_LOCATIONS, flags=None), op.eligible_population(parts, mode="keys"), "sku")
+    rows = op.join_unique(item_rows(s, fv.STORES_WITH_LOCATIONS, flags=None), product_keys(s), "sku", "left_semi")
     measures = {"retail": ("max", "retail_price"), "promo": ("max", "promotion_price")}
     wide = op.store_pivot(rows, "sku", "store", fv.STORES_WITH_LOCATIONS, measures)
     zero = F.lit(0).cast("decimal(18,4)")
@@ -359,7 +362,7 @@ def product_prices(s: Sources) -> DataFrame:
         "retail_price_amazon_leh": "leh_retail",
         "promo_price_website_leh": "leh_promo",
     }
-    actual = s["catalog"].select(F.trim("identifier").alias("sku"), *[_money_or_zero(c) for c in wanted])
+    actual = catalog(s).select(F.col("identifier").alias("sku"), *[_money_or_zero(c) for c in wanted])
     actual = op.exclude(actual, s["appliance_feed_previous"].select(F.trim("identifier").alias("sku")), "sku")
     out = op.reconcile(expected, actual, "sku", [Pair(f"{c}_check", e, c) for c, e in wanted.items()])
     shown = ("hh_retail", "hh_promo", "leh_retail", "leh_promo")

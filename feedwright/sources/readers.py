@@ -25,6 +25,7 @@ class Sources(Mapping):
         self._loaders = dict(loaders)
         self._rename = {k: dict(v) for k, v in (rename or {}).items()}
         self._frames: dict[str, DataFrame] = {}
+        self._shared: dict[str, DataFrame] = {}
 
     def __iter__(self):
         return iter(self._loaders)
@@ -52,6 +53,12 @@ class Sources(Mapping):
         value = f"cast(`{name}` as {kind})"
         return f"upper(rtrim({value})) as `{name}`" if name in FOLDED_COLUMNS else f"{value} as `{name}`"
 
+    def shared(self, name: str, build: Callable[[Sources], DataFrame]) -> DataFrame:
+        """A frame that several checks start from, planned once."""
+        if name not in self._shared:
+            self._shared[name] = build(self)
+        return self._shared[name]
+
     def with_frames(self, **frames: DataFrame) -> Sources:
         """A copy with some tables replaced."""
         return Sources({**self._loaders, **frames}, self._rename)

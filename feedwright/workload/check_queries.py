@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..plans import CHECKS
+from ..plans.stages import StagedSources
 from .registry import query
 from .standins import oracle, standin_sources
 
@@ -994,3 +999,25 @@ def _register_variant(name: str) -> None:
 
 for _name in VARIANTS:
     _register_variant(_name)
+
+
+# Reports that share stages, run over one set of them.
+STAGED = [
+    "code_listing",
+    "codes_without_primary",
+    "discontinued_closeout",
+    "hh_inventory",
+    "onboarding_candidates",
+    "product_coverage",
+    "product_prices",
+    "shop_inventory",
+    "store_locations",
+]
+_COUNTED = "select '{0}' as report, count(*) as report_rows, count(distinct sku) as skus from ({1}) as r having count(*) > 0"
+
+
+@query("r02_staged_reports", " union all ".join(_COUNTED.format(n, oracle(*SQL[n])) for n in STAGED))
+def staged_reports(spark, sf):
+    s = StagedSources(standin_sources(spark, sf), spark)
+    reports = [CHECKS[n].run(s).select("sku", F.lit(n).alias("report")) for n in STAGED]
+    return reduce(DataFrame.union, reports).groupBy("report").agg(F.count("*").alias("report_rows"), F.countDistinct("sku").alias("skus"))
