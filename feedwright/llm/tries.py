@@ -218,16 +218,20 @@ class DoubleArray:
 
     def _grow(self, size: int) -> None:
         if size > len(self.base):
-            more = max(size, 2 * len(self.base)) - len(self.base)
+            more = size + size // 4 - len(self.base)
             self.base = np.concatenate([self.base, np.zeros(more, np.int64)])
             self.check = np.concatenate([self.check, np.full(more, -1, np.int64)])
 
     def _free(self, wanted: int) -> np.ndarray:
-        """The lowest free places."""
-        free = np.flatnonzero(self.check[self._low :] < 0) + self._low
-        if len(free) < wanted:
-            self._grow(len(self.base) + wanted)
-            free = np.flatnonzero(self.check[self._low :] < 0) + self._low
+        """The lowest free places; beyond the end all are free."""
+        found, count, at = [], 0, self._low
+        while count < wanted:
+            if at >= len(self.check):
+                self._grow(len(self.check) + wanted)
+            to = at + max(1024, wanted)
+            found.append(np.flatnonzero(self.check[at:to] < 0) + at)
+            count, at = count + len(found[-1]), to
+        free = np.concatenate(found)
         self._low = int(free[0])
         return free[:wanted]
 
@@ -238,13 +242,15 @@ class DoubleArray:
         for start, end in zip(bounds[:-1][several].tolist(), bounds[1:][several].tolist()):
             wanted = code[start:end]
             for base in self._free(TRIES) - wanted[0]:
-                if base + wanted[-1] < len(self.check) and (self.check[base + wanted] < 0).all():
+                taken = base + wanted
+                if (self.check[taken[: np.searchsorted(taken, len(self.check))]] < 0).all():
                     break
             else:
-                base = len(self.check) - wanted[0]
-                self._grow(int(base + wanted[-1] + 1))
+                taken = len(self.check) + wanted - wanted[0]
+                base = taken[0] - wanted[0]
+            self._grow(int(taken[-1]) + 1)
             self.base[parent[start]] = base
-            self.check[base + wanted] = parent[start]
+            self.check[taken] = parent[start]
         # An only child fits anywhere.
         alone = bounds[:-1][~several]
         if len(alone):
