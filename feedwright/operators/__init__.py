@@ -1,6 +1,6 @@
 """Data jobs: plain DataFrame in, plain DataFrame out."""
 
-from .attributes import json_number, json_scope_extract, json_unassigned
+from .attributes import catalog_values, json_number, json_scope_extract, json_unassigned
 from .audit import duplicate_groups, mixed_state_keys, multi_value_keys
 from .codes import missing_primary, upc_cascade, upc_listing
 from .feed import (
@@ -29,7 +29,7 @@ from .inventory import (
     open_order_qty,
 )
 from .keys import distinct_keys, join_summary, join_unique, left_many
-from .latest import first_seen_date, latest_record
+from .latest import first_seen_date, latest_record, undetermined_pick
 from .locations import (
     change_log_match,
     expected_locations,
@@ -40,6 +40,7 @@ from .locations import (
     stocked_skus,
     stored_locations,
 )
+from .lookups import LookUp, drop_steps, drop_trace, trace_look_ups
 from .orders import (
     committed_sales_union,
     event_totals,
@@ -48,6 +49,7 @@ from .orders import (
     open_lines,
     order_trace,
     recent_top_n,
+    shipment_leak,
     shipped_not_logged,
     store_lookup,
     unshipped_not_logged,
@@ -64,8 +66,10 @@ from .population import (
     presence_report,
     sellable_items,
 )
-from .reconcile import Pair, channel_parity, flag_pairs, reconcile
+from .reconcile import Pair, channel_parity, flag_pairs, reconcile, structure_parity
+from .replay import feed_interference, feed_writes, image_state, merge_sent, state_delta
 from .rollup import catalog_price_matrix, flag_rollup, location_unpivot, store_pivot, store_string
+from .rounds import discrepancy_states, round_diff
 from .traffic import (
     calendar_totals,
     local_time_counts,
@@ -77,10 +81,4 @@ from .traffic import (
     yearly_counts,
 )
 
-__all__ = [
-    "_",
-    "join_unique",
-    "left_many",
-    "total_counts",
-    "yearly_counts",
-]
+__all__ = [name for name in dir() if not name.startswith("_")]

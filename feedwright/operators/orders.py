@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import carrier_name, fold, one_of, tracking_url
-from .keys import distinct_keys, join_summary, left_many
+from .keys import distinct_keys, join_summary, join_unique, left_many
 
 
 def logged_lines(log: DataFrame, status: str = "Completed") -> DataFrame:
@@ -70,6 +70,31 @@ def shipped_not_logged(
     return out.select(*columns, "sku")
 
 
+def shipment_leak(lines: DataFrame, tracking: DataFrame) -> DataFrame:
+    """Shipping documents that reach lines they did not ship, when tracking is matched by order alone.
+
+    ``lines`` (order_number, line_number, first_shipped_shipdoc), ``tracking`` (order_number, shipping_document_number).
+    Matched by order, each document of an order meets each of its lines: a graph with all edges, of which only the lines'
+    own documents are real. It is never built; counting both sides is enough: lines of the order, lines of the document.
+    Per document of an order: ``lines_reached``, ``lines_shipped`` and ``lines_leaked``, where the last is above 0, and
+    ``documents``, the number of documents that each of the order's lines would get.
+    """
+    own = lines.select("order_number", "line_number", F.col("first_shipped_shipdoc").alias("shipping_document_number")).distinct()
+    per_document = own.groupBy("order_number", "shipping_document_number").agg(F.count("*").alias("lines_shipped"))
+    per_order = lines.select("order_number", "line_number").distinct().groupBy("order_number").agg(F.count("*").alias("lines_reached"))
+    documents = distinct_keys(tracking, ["order_number", "shipping_document_number"])
+    many = documents.groupBy("order_number").agg(F.count("shipping_document_number").alias("documents"))
+    out = join_unique(documents, per_document, ["order_number", "shipping_document_number"], "left")
+    # One row per order on both look-ups, which share an exchange.
+    out = join_summary(join_summary(out, per_order, "order_number"), many, "order_number")
+    shipped = F.coalesce("lines_shipped", F.lit(0))
+    out = out.select(
+        "order_number", "shipping_document_number", "documents", "lines_reached", shipped.alias("lines_shipped"),
+        (F.col("lines_reached") - shipped).alias("lines_leaked"),
+    )
+    return out.filter(F.col("lines_leaked") > 0)
+
+
 def unshipped_not_logged(tags: DataFrame, lines: DataFrame, tracking: DataFrame, log: DataFrame) -> DataFrame:
     """Lines without a shipping document that are not logged as completed; orders without any line count as well."""
     columns = ["order_number", "line_number", "sku", "quantity_ordered", "first_shipped_datetime", "first_shipped_shipdoc"]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import agree, fold, one_of
-from .keys import as_list
+from .keys import as_list, join_summary
 
 
 @dataclass(frozen=True)
@@ -53,6 +53,32 @@ def reconcile(
     return out.distinct() if distinct else out
 
 
+def structure_parity(
+    df: DataFrame, channel: str, left: str, right: str, order: str, record: str
+) -> DataFrame:
+    """How two channels differ in structure: (measure, size, left_count, right_count, left_share, right_share).
+
+    'records per order' counts the different records of each order, 'lines per record' the rows of each record; ``size``
+    is such a number and the counts say how many orders or records of a channel have it. Shares have four decimals, and
+    are null where a channel has no orders at all. Rows without a record count as an order of no records.
+    """
+    side = F.when(fold(channel) == left.lower(), "left").when(fold(channel) == right.lower(), "right")
+    rows = df.select(side.alias("_side"), F.col(order).alias("_order"), F.col(record).alias("_record"))
+    lines = rows.filter(F.col("_side").isNotNull()).groupBy("_side", "_order", "_record").agg(F.count("*").alias("size"))
+    records = lines.groupBy("_side", "_order").agg(F.count("_record").alias("size"))
+    both = records.select("_side", "size", F.lit("records per order").alias("measure")).union(
+        lines.filter(F.col("_record").isNotNull()).select("_side", "size", F.lit("lines per record"))
+    )
+    sizes = both.groupBy("measure", "size").agg(
+        *[F.count(F.when(F.col("_side") == s, 1)).alias(f"{s}_count") for s in ("left", "right")]
+    )
+    total = sizes.groupBy("measure").agg(*[F.sum(f"{s}_count").alias(f"_{s}") for s in ("left", "right")])
+    share = [
+        F.when(F.col(f"_{s}") > 0, F.col(f"{s}_count") / F.col(f"_{s}")).cast("decimal(9,4)").alias(f"{s}_share") for s in ("left", "right")
+    ]
+    return join_summary(sizes, total, "measure").select("measure", "size", "left_count", "right_count", *share)
+
+
 def channel_parity(
     df: DataFrame, key: str | Sequence[str], channel: str, left: str, right: str, fields: Sequence[str]
 ) -> DataFrame:

@@ -1240,3 +1240,264 @@ from orders group by 1
 def cause_matrix(spark, sf):
     defects = _t(spark, sf, "orders").select(F.col("o_orderpriority").alias("cause"), F.col("o_orderstatus").alias("domain"))
     return op.cause_matrix(defects, "cause", "domain", ["F", "O", "P"])
+
+
+@query(
+    "q01b_undetermined_pick",
+    """
+with stamped as (
+  select o_custkey, date_trunc('quarter', o_orderdate)::date as picked_at, o_orderstatus, o_orderpriority,
+    case when o_orderkey % 3 = 0 then o_totalprice end as price from orders),
+newest as (select * from stamped qualify picked_at = max(picked_at) over (partition by o_custkey)),
+tied as (
+  select o_custkey, picked_at, count(*) as tied_rows, concat_ws(',',
+    case when count(distinct o_orderstatus) > 1 then 'o_orderstatus' end,
+    case when count(distinct o_orderpriority) > 1 then 'o_orderpriority' end,
+    case when count(distinct price) + (count(price) < count(*))::int > 1 then 'price' end) as fields
+  from newest group by all)
+select * from tied where tied_rows > 1 and fields <> ''
+""",
+)
+def undetermined_pick(spark, sf):
+    rows = _t(spark, sf, "orders").select(
+        "o_custkey",
+        "o_orderstatus",
+        "o_orderpriority",
+        F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice")).alias("price"),
+        F.trunc(F.col("o_orderdate").cast("date"), "quarter").alias("updated"),
+    )
+    return op.undetermined_pick(rows, "o_custkey", ["updated"], ["o_orderstatus", "o_orderpriority", "price"])
+
+
+@query(
+    "q09b_catalog_values",
+    """
+select event_id, event_type as attribute, scope, position, props ->> '$.k' as amount
+from events, (values ('left', 1), ('left', 2), (null, 1)) as v(scope, position)
+where event_type <> 'error'
+""",
+)
+def catalog_values(spark, sf):
+    # Entries without amounts, without a scope and of another shape; the documents of one type of event are no JSON.
+    entries = F.concat(F.lit('[{"scope":"left","data":['), "props", F.lit(","), "props", F.lit(']},{"scope":"none","data":[]},{"data":['), "props", F.lit("]},7]"))
+    json = F.concat(F.lit('{"values":{"'), "event_type", F.lit('":'), entries, F.lit(',"other":{"scope":"x"}'))
+    closed = F.when(F.col("event_type") != "error", F.lit("}}")).otherwise("")
+    docs = _t(spark, sf, "events").select("event_id", F.concat(json, closed).alias("json"))
+    return op.catalog_values(docs, "event_id", amount="$.k")
+
+
+@query(
+    "q36b_shipment_leak",
+    oracle(
+        "line_item shipper_tracking",
+        """
+own as (select order_number, first_shipped_shipdoc as doc, count(distinct line_number) as lines_shipped from line_item group by all),
+orders_lines as (select order_number, count(distinct line_number) as lines_reached from line_item group by all),
+docs as (select distinct order_number, shipping_document_number from shipper_tracking),
+many as (select order_number, count(shipping_document_number) as documents from docs group by all)
+select order_number, shipping_document_number, documents, lines_reached, coalesce(lines_shipped, 0) as lines_shipped,
+  lines_reached - coalesce(lines_shipped, 0) as lines_leaked
+from docs join orders_lines using (order_number) join many using (order_number)
+left join own on own.order_number = docs.order_number and own.doc = shipping_document_number
+where lines_reached > coalesce(lines_shipped, 0)
+""",
+    ),
+)
+def shipment_leak(spark, sf):
+    s = standin_sources(spark, sf)
+    return op.shipment_leak(s["line_item"], s["shipper_tracking"])
+
+
+IMAGES = {
+    1: "o_orderkey % 7 not in (0, 1)",
+    2: "o_orderkey % 7 not in (1, 2)",
+    3: "o_orderkey % 7 not in (3, 4) or o_orderstatus = 'F'",
+}
+_SENT_POLICIES = {"price": "delta", "status": "delta", "name": "first", "trace": "force"}
+
+
+def _sent_price(run: int) -> str:
+    return f"case when o_orderkey % 5 = {run} then null else cast(o_totalprice as decimal(18,2)) + case when o_orderkey % 11 = {run} then 1 else 0 end end"
+
+
+def _image_sql(run: int) -> str:
+    return f"""select o_orderkey, {_sent_price(run)} as price,
+  case when o_orderkey % 13 = {run} then 'X' else o_orderstatus end as status, o_orderpriority as name,
+  case when o_orderkey % 17 = 0 then 'r{run}' end as trace
+from {{orders}} where {IMAGES[run]}"""
+
+
+@query(
+    "q46b_sent_state",
+    "with "
+    + ", ".join(f"i{r} as ({_image_sql(r).format(orders='orders')})" for r in IMAGES)
+    + """,
+known as (
+  select o_orderkey, (i1.o_orderkey is null)::int + 1 as first_run, (i2.o_orderkey is not null)::int + 1 as last_run,
+    case when i2.o_orderkey is null then i1.price else i2.price end as price,
+    case when i2.o_orderkey is null then i1.status else i2.status end as status
+  from i1 full join i2 using (o_orderkey)),
+due as (
+  select i3.o_orderkey, k.first_run, k.last_run, k.o_orderkey is null as new,
+    k.price is distinct from i3.price as price_changed, k.status is distinct from i3.status as status_changed
+  from i3 left join known k using (o_orderkey))
+select o_orderkey, first_run, last_run, case when new then 'new' when price_changed or status_changed then 'changed' else 'forced' end as reason,
+  concat_ws(',', case when new or price_changed then 'price' end, case when new or status_changed then 'status' end,
+    case when new then 'name' end, 'trace') as fields
+from due
+""",
+)
+def sent_state(spark, sf):
+    images = {r: spark.sql(_image_sql(r), orders=_t(spark, sf, "orders")) for r in IMAGES}
+    fields = list(_SENT_POLICIES)
+    state = op.merge_sent(op.image_state(images[1], "o_orderkey", fields, 1), images[2], "o_orderkey", fields, 2)
+    due = op.state_delta(state, images[3], "o_orderkey", _SENT_POLICIES)
+    return due.join(state.select("o_orderkey", "first_run", "last_run"), "o_orderkey", "left")
+
+
+_FEED_SQL = {
+    "nightly": """select o_custkey as sku, year(o_orderdate) as run,
+  cast(case when o_orderstatus = 'F' then null else o_totalprice end as decimal(18,2)) as price, o_orderpriority as label from {orders}""",
+    "daily": """select l_partkey as sku, year(l_shipdate) as run, cast(l_extendedprice as decimal(18,2)) as price,
+  case when l_linenumber < 5 then l_returnflag end as label, cast(l_quantity as decimal(18,2)) as stock from {lineitem}""",
+    "manual": "select p_partkey as sku, 1998 as run, cast(p_size as decimal(18,2)) as stock from {part} where p_size % 3 = 0",
+}
+_OWNERS = {"price": "nightly", "label": "nightly", "stock": "daily"}
+
+
+@query(
+    "q47c_feed_interference",
+    "with "
+    + ", ".join(f"{n} as ({t.format(orders='orders', lineitem='lineitem', part='part')})" for n, t in _FEED_SQL.items())
+    + """,
+writes as (
+  select sku, run, 0 as turn, 'nightly' as feed, unnest(['price', 'label']) as field, unnest([price::varchar, label]) as value from nightly
+  union all select sku, run, 1, 'daily', unnest(['price', 'label', 'stock']), unnest([price::varchar, label, stock::varchar]) from daily
+  union all select sku, run, 2, 'manual', 'stock', stock::varchar from manual),
+owned as (select *, case field when 'stock' then 'daily' else 'nightly' end as owner from writes where value is not null),
+latest as (select * from owned qualify row_number() over (partition by sku, field order by run desc, turn desc, value desc) = 1),
+own as (select * from owned where feed = owner qualify row_number() over (partition by sku, field order by run desc, turn desc, value desc) = 1)
+select l.sku, l.field, l.owner, o.value as owner_value, o.run as owner_run, l.feed as last_feed, l.value as last_value, l.run as last_run,
+  case when o.sku is null then 'foreign' else 'overwritten' end as state
+from latest l left join own o on o.sku = l.sku and o.field = l.field
+where l.feed <> l.owner and (o.sku is null or o.value <> l.value)
+""",
+)
+def feed_interference(spark, sf):
+    inputs = {n: _t(spark, sf, n) for n in ("orders", "lineitem", "part")}
+    feeds = {n: spark.sql(t, **{i: df for i, df in inputs.items() if f"{{{i}}}" in t}) for n, t in _FEED_SQL.items()}
+    return op.feed_interference(feeds, "sku", "run", _OWNERS)
+
+
+def _chain(spark, sf):
+    lines = _t(spark, sf, "lineitem").select(F.when(F.col("l_linenumber") < 7, F.col("l_orderkey")).alias("order"), "l_linenumber")
+    orders = _t(spark, sf, "orders").filter("o_orderpriority <> '5-LOW'")
+    customers = _t(spark, sf, "customer").filter("c_mktsegment <> 'BUILDING'")
+    nations = _t(spark, sf, "nation").filter("n_nationkey % 6 <> 1")
+    return lines, [
+        op.LookUp("order", orders, "order", "o_orderkey", ["o_custkey"]),
+        op.LookUp("customer", customers, "o_custkey", "c_custkey", ["c_nationkey"]),
+        op.LookUp("nation", nations, "c_nationkey", "n_nationkey", ["n_regionkey"]),
+        op.LookUp("region", _t(spark, sf, "region").filter("r_regionkey <> 2"), "n_regionkey", "r_regionkey"),
+    ]
+
+
+_CHAIN_SQL = """
+with rows as (select case when l_linenumber < 7 then l_orderkey end as "order", l_linenumber from lineitem),
+traced as (
+  select r.*, case when o_orderkey is null then 'order' when c_custkey is null then 'customer' when n_nationkey is null then 'nation'
+    when r_regionkey is null then 'region' end as dropped_by
+  from rows r left join (select * from orders where o_orderpriority <> '5-LOW') on o_orderkey = r."order"
+  left join (select * from customer where c_mktsegment <> 'BUILDING') on c_custkey = o_custkey
+  left join (select * from nation where n_nationkey % 6 <> 1) on n_nationkey = c_nationkey
+  left join (select * from region where r_regionkey <> 2) on r_regionkey = n_regionkey)"""
+
+
+@query(
+    "q48c_drop_trace",
+    _CHAIN_SQL + """ select "order", dropped_by, count(*) as lost_rows from traced where dropped_by is not null group by all""",
+)
+def drop_trace(spark, sf):
+    rows, steps = _chain(spark, sf)
+    return op.drop_trace(rows, "order", steps)
+
+
+@query(
+    "q48d_drop_steps",
+    _CHAIN_SQL
+    + """, placed as (select *, coalesce(list_position(['order', 'customer', 'nation', 'region'], dropped_by), 5) as place from traced)
+select step, ['order', 'customer', 'nation', 'region'][step] as look_up,
+  count(*) filter (place >= step) as rows_in, count(*) filter (place > step) as rows_out,
+  count(distinct "order") filter (place >= step) as keys_in, count(distinct "order") filter (place > step) as keys_out
+from placed, range(1, 5) as s(step) group by step
+""",
+)
+def drop_steps(spark, sf):
+    rows, steps = _chain(spark, sf)
+    return op.drop_steps(rows, "order", steps)
+
+
+@query(
+    "q49b_structure_parity",
+    """
+with rows as (
+  select case l_returnflag when 'A' then 'left' when 'R' then 'right' end as side, l_orderkey as o,
+    case when l_suppkey % 9 <> 0 then l_suppkey end as record from lineitem where l_returnflag in ('A', 'R')),
+lines as (select side, o, record, count(*) as size from rows group by all),
+sizes as (
+  select 'records per order' as measure, side, count(record) as size from lines group by side, o
+  union all select 'lines per record', side, size from lines where record is not null),
+counted as (
+  select measure, size, count(*) filter (side = 'left') as left_count, count(*) filter (side = 'right') as right_count
+  from sizes group by all)
+select *, round(left_count / sum(left_count) over (partition by measure), 4)::decimal(9,4) as left_share,
+  round(right_count / sum(right_count) over (partition by measure), 4)::decimal(9,4) as right_share
+from counted
+""",
+)
+def structure_parity(spark, sf):
+    record = F.when(F.col("l_suppkey") % 9 != 0, F.col("l_suppkey")).alias("record")
+    rows = _t(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", record)
+    return op.structure_parity(rows, "l_returnflag", "A", "R", "l_orderkey", "record")
+
+
+QA_ROUNDS = (1996, 1997, 1998, 1999, 2000)
+
+
+@query(
+    "q50c_round_diff",
+    """
+with rounds as (select year(o_orderdate) - 1995 as round, o_custkey, case when o_orderstatus <> 'P' then o_orderstatus end as status
+  from orders where year(o_orderdate) between 1996 and 2000),
+found as (select o_custkey, status, round, count(*) as copies from rounds group by all),
+grid as (
+  select g.o_custkey, g.status, r.round, coalesce(f.copies, 0) as copies,
+    coalesce(lag(f.copies) over w, 0) as before, coalesce(max(f.copies) over (w rows between unbounded preceding and 1 preceding), 0) as ever
+  from (select distinct o_custkey, status from found) g cross join (select unnest(range(1, 6)) as round) r
+  left join found f on f.o_custkey = g.o_custkey and f.status is not distinct from g.status and f.round = r.round
+  window w as (partition by g.o_custkey, g.status order by r.round)),
+stated as (select *, case when copies > 0 and before > 0 then 'persisting' when copies > 0 and ever > 0 then 'relapsed'
+  when copies > 0 then 'new' when before > 0 then 'fixed' end as state from grid)
+select o_custkey, status, round::int as round, copies, copies - before as change, state from stated where state is not null
+""",
+)
+def round_states(spark, sf):
+    orders = _t(spark, sf, "orders").select(
+        "o_custkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"), F.year("o_orderdate").alias("year")
+    )
+    return op.discrepancy_states([orders.filter(F.col("year") == y) for y in QA_ROUNDS], ["o_custkey", "status"])
+
+
+@query(
+    "q50d_report_diff",
+    """
+with signed as (
+  select o_custkey, o_orderstatus, case when year(o_orderdate) = 1999 then -1 else 1 end as sign from orders
+  where year(o_orderdate) in (1999, 2000))
+select o_custkey, o_orderstatus, sum(sign)::bigint as change, case when sum(sign) > 0 then 'new' else 'fixed' end as state
+from signed group by 1, 2 having sum(sign) <> 0
+""",
+)
+def report_diff(spark, sf):
+    orders = _t(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
+    return op.round_diff(orders.filter("year = 1999"), orders.filter("year = 2000"), ["o_custkey", "o_orderstatus"])

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 FORBIDDEN = ("CartesianProduct", "NestedLoop", "Python", "MapInPandas", "FlatMapGroups", "WindowExec", "Window [")
 # Reports of one row, or of one row per field, over map-side partial aggregates.
-ONE_ROW = {"check_null_sweep", "check_rental_tiers", "q44_attribute_population", "q45_rate_tier_checks", "q48b_drop_counts"}
+ONE_ROW = {"check_null_sweep", "check_rental_tiers", "q44_attribute_population", "q45_rate_tier_checks", "q48b_drop_counts", "q48d_drop_steps"}
 
 
 def plan(spark, name):
