@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import one_of
+
 _VALUES = "array<struct<scope:string,data:array<struct<amount:string>>>>"
 
 
@@ -16,7 +18,7 @@ def json_scope_extract(df: DataFrame, key: str, attribute: str, scope: str, json
     values = F.from_json(F.get_json_object(F.col(json), f"$.values.{attribute}"), _VALUES)
     rows = df.select(key, F.inline(values))
     first = F.try_element_at(F.col("data"), F.lit(1)).getField("amount")
-    return rows.filter(F.col("scope") == scope).select(key, first.alias(alias))
+    return rows.filter(one_of("scope", [scope])).select(key, first.alias(alias))
 
 
 def catalog_values(df: DataFrame, key: str, json: str = "json", path: str = "$.values", amount: str = "$.amount") -> DataFrame:

@@ -36,7 +36,8 @@ def write_policy(
 ) -> DataFrame:
     """Per field: 'force' sends always, 'delta' only a changed value, 'first' only to a key never sent before.
 
-    A field that is not sent is null; a key with nothing to send is left out.
+    ``<field>_sent`` says whether a field is sent; one that is not is null, and a null that is sent clears the field. A key
+    with nothing to send is left out.
     """
     bad = set(policies.values()) - set(POLICIES)
     if bad:
@@ -49,9 +50,10 @@ def write_policy(
         "delta": lambda c: fresh | ~F.col(c).eqNullSafe(F.col(f"_last_{c}")),
         "first": lambda c: fresh,
     }
-    columns = [F.when(send[policy](c), F.col(c)).alias(c) for c, policy in policies.items()]
-    out = current.join(last, key, "left").select(*key, *columns)
-    return out.filter(reduce(Column.__or__, [F.col(c).isNotNull() for c in policies]))
+    sent = [send[policy](c).alias(f"{c}_sent") for c, policy in policies.items()]
+    out = current.join(last, key, "left").select("*", *sent).filter(reduce(Column.__or__, [F.col(f"{c}_sent") for c in policies]))
+    values = [F.when(F.col(f"{c}_sent"), F.col(c)).alias(c) for c in policies]
+    return out.select(*key, *values, *[f"{c}_sent" for c in policies])
 
 
 def owned_value(first: DataFrame, second: DataFrame, key: str, field: str) -> DataFrame:

@@ -59,10 +59,11 @@ MF_V2 = ChannelProfile(
 def alias_resolved_sum(pending: DataFrame, xref: DataFrame, quantity: str = "quantity") -> DataFrame:
     """Pending quantity per own sku; a marketplace sku without a cross reference stands for itself.
 
-    ``pending`` (sku, quantity), ``xref`` (alias_sku, sku). Summed per marketplace sku before the look-up.
+    ``pending`` (sku, quantity), ``xref`` (alias_sku, sku). Summed per marketplace sku before the look-up. An alias that is
+    listed twice counts once; one with several own skus counts for each of them (``multi_value_keys`` reports those).
     """
     per_alias = pending.groupBy("sku").agg(F.sum(quantity).alias(quantity))
-    alias = xref.select(F.col("alias_sku").alias("_alias"), F.col("sku").alias("_own"))
+    alias = xref.select(F.col("alias_sku").alias("_alias"), F.col("sku").alias("_own")).distinct()
     return (
         per_alias.join(alias, F.col("sku") == F.col("_alias"), "left")
         .groupBy(F.coalesce("_own", "sku").alias("sku"))
@@ -136,11 +137,11 @@ def kit_floor_min(
     """Kits that can be built: the smallest whole number over the kit's components.
 
     ``kitting`` (sku, component_sku, component_quantity); ``stock`` one row per sku. With how='left' a component without
-    stock record is skipped, and a kit without any gives null.
+    stock record is skipped, and a kit without any gives null. A component of which the kit takes none is skipped too.
     """
     per_component = stock.select(F.col("sku").alias("component_sku"), F.col(quantity).alias("_stock"))
     parts = join_summary(kitting, per_component, "component_sku", how)
-    built = F.floor(not_negative(F.col("_stock") / F.col("component_quantity")))
+    built = F.floor(not_negative(F.try_divide("_stock", "component_quantity")))
     return parts.groupBy("sku").agg(F.min(built).cast("bigint").alias(alias))
 
 
@@ -162,10 +163,8 @@ def kit_store_grid(
 
 
 def kit_quantities_by_store(grid: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
-    """Whole kits per (kit, store) for every measure, marketplace components skipped."""
-    built = [
-        F.min(F.floor(F.col(m) / F.col("component_quantity"))).cast("bigint").alias(f"calc_{m}") for m in measures
-    ]
+    """Whole kits per (kit, store) for every measure; marketplace components and those of quantity 0 are skipped."""
+    built = [F.min(F.floor(F.try_divide(m, "component_quantity"))).cast("bigint").alias(f"calc_{m}") for m in measures]
     kept = grid.filter(~F.lower("component_sku").contains("fba"))
     return kept.groupBy("sku", "store").agg(*built)
 
@@ -196,6 +195,6 @@ def listed_variants(
     variants: DataFrame, location_map: DataFrame, location: str, not_environment: str | None = None
 ) -> DataFrame:
     """Storefront variants stocked at a location, optionally outside one environment."""
-    at = distinct_keys(location_map.filter(F.col("id") == location).select(F.col("parentid").alias("id")), "id")
+    at = distinct_keys(location_map.filter(one_of("id", [location])).select(F.col("parentid").alias("id")), "id")
     kept = variants if not_environment is None else variants.filter(~one_of("environment", [not_environment]))
     return join_summary(kept, at, "id", "left_semi")

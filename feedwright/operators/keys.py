@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _KEY = "_fw_key"
+_MARK = "_fw_has"
 
 
 def as_list(on: str | Sequence[str]) -> list[str]:
@@ -27,16 +29,31 @@ def join_unique(left: DataFrame, right: DataFrame, on: str | Sequence[str], how:
 def left_many(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Left join to a side that may repeat keys without bound.
 
-    AQE splits only the left side of a left join, so a key that is hot on the right would land in one task. The matching
-    rows come from an inner join, of which either side can be split; the others are found by a look-up of the keys.
+    AQE splits only the left side of a left join, so a key that is hot on the right would land in one task. A look-up of
+    the right side's keys marks the left rows; the marked ones go on to an inner join, of which either side can be split,
+    the others are passed on. Both ways read one exchange of the left side: keys are compared null-safely (null keys are
+    taken out on the right), so that no filter of one way's own comes in between. The inner join deals its rows anew, by
+    another hash, as AQE splits only what was dealt for the join itself.
     """
     on = as_list(on)
     added = [c for c in right.columns if c not in on]
-    matched = left.join(right, on).select(*left.columns, *added)
-    rest = join_summary(left, distinct_keys(right, on), on, "left_anti")
+    whole = right.filter(reduce(Column.__and__, [F.col(c).isNotNull() for c in on]))
+    marked = _null_safe(left, distinct_keys(whole, on).withColumn(_MARK, F.lit(True)), on, "left", 0)
+    matched = _null_safe(marked.filter(_MARK).drop(_MARK), whole, on, "inner", 1).select(*left.columns, *added)
+    rest = marked.filter(F.col(_MARK).isNull()).drop(_MARK)
     return matched.unionByName(rest, allowMissingColumns=True)
 
 
+def _null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str, seed: int) -> DataFrame:
+    renamed = [f"{_KEY}{i}" for i in range(len(on))]
+    added = [c for c in right.columns if c not in on]
+    other = right.select(*[F.col(key).alias(new) for key, new in zip(on, renamed)], *added)
+    same = F.xxhash64(*on, F.lit(seed)) == F.xxhash64(*renamed, F.lit(seed))
+    for key, new in zip(on, renamed):
+        same = F.col(key).eqNullSafe(F.col(new)) & same
+    return left.join(other, same, how).select(*left.columns, *added)
+
+
 def join_summary(rows: DataFrame, summary: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
     """Join ``rows`` to ``summary``, which holds one row per key.
 

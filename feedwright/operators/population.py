@@ -88,9 +88,30 @@ def membership_flags(keys: DataFrame, lists: Mapping[str, DataFrame], on: str =
 
 
 def presence_report(wanted: DataFrame, systems: Mapping[str, DataFrame], on: str = "sku") -> DataFrame:
-    """Every wanted row with Y/N per system and the system's own columns. A system frame may repeat a key."""
-    out = wanted
+    """Every wanted row with Y/N per system and the system's own columns. A system frame may repeat a key.
+
+    Every system is completed by the wanted keys it lacks, found for all systems in one stacked grouping; the wanted rows
+    then pass through one inner join per system, of which either side can be split. So the plan grows with the number of
+    systems, not with its power. Rows with a null key exist nowhere and come along at the end.
+    """
+    keys = wanted.filter(F.col(on).isNotNull()).select(on)
+    names = list(systems)
+    bits = reduce(
+        DataFrame.union,
+        [keys.select(on, F.lit(True).alias("_wanted"), *[F.lit(None).cast("boolean").alias(n) for n in names])]
+        + [
+            distinct_keys(df, on).select(on, F.lit(None).cast("boolean"), *[F.lit(True if n == name else None).cast("boolean") for n in names])
+            for name, df in systems.items()
+        ],
+    )
+    bits = bits.groupBy(on).agg(F.max("_wanted").alias("_wanted"), *[F.max(n).alias(f"_in_{n}") for n in names]).filter("_wanted")
+    out = wanted.filter(F.col(on).isNotNull())
+    lost = wanted.filter(F.col(on).isNull())
     for name, df in systems.items():
         mark = f"exists_in_{name}"
-        out = left_many(out, df.withColumn(mark, F.lit("Y")), on).withColumn(mark, F.coalesce(mark, F.lit("N")))
-    return out
+        lacking = bits.filter(F.col(f"_in_{name}").isNull()).select(on, F.lit("N").alias(mark))
+        out = out.join(df.withColumn(mark, F.lit("Y")).unionByName(lacking, allowMissingColumns=True), on).select(
+            *out.columns, *[c for c in df.columns if c != on], mark
+        )
+        lost = lost.withColumn(mark, F.lit("N"))
+    return out.unionByName(lost, allowMissingColumns=True)

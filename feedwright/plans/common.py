@@ -66,7 +66,7 @@ def brand_codes(s: Sources) -> DataFrame:
     specs = s["appliance_spec"].filter(fn.fold("specvalue").contains("upc")).select(
         "apid", F.regexp_replace("specvalue", f"(?i){fv.BRAND_CODE_PREFIX}", "").alias("brand_code")
     )
-    units = s["appliance"].filter(F.col("manufacturerid") == fv.BRAND_MANUFACTURER).select("sku", "apid", "obsoletedate")
+    units = s["appliance"].filter(fn.one_of("manufacturerid", [fv.BRAND_MANUFACTURER])).select("sku", "apid", "obsoletedate")
     return units.join(specs, "apid").select("sku", "brand_code", "obsoletedate")
 
 

@@ -14,11 +14,13 @@ CODE_COLUMNS = {
     "channelorderid",
     "first_shipped_shipdoc",
     "import_order_number",
+    "line_item_status_code",
     "order_number",
     "product_type_code",
     "shipper_code",
     "shipping_document_number",
     "status_code",
+    "store",
     "third_party_order_number",
     "udf_order_text",
     "warehouse_code",

@@ -110,7 +110,7 @@ def _product_web(without_appliances: bool) -> str:
 
 _PENDING = """pending as (
   select coalesce(x.sku, p.sku) as sku, sum(p.quantity)::decimal(18,4) as quantity
-  from amazon_pending p left join sku_xref x on x.alias_sku = p.sku group by 1)"""
+  from amazon_pending p left join (select distinct * from sku_xref) x on x.alias_sku = p.sku group by 1)"""
 
 
 def _open(name: str, codes: str, where: str, columns: str) -> str:
@@ -142,7 +142,7 @@ base as (
   left join pending using (sku) left join open_orders using (sku) left join pit using (sku)),
 stock as (select sku, {net} as net from base),
 kits as (
-  select k.sku, min(case when s.net is not null then floor(greatest(s.net / k.component_quantity, 0)) end)::bigint as q
+  select k.sku, min(case when s.net is not null and k.component_quantity <> 0 then floor(greatest(s.net / k.component_quantity, 0)) end)::bigint as q
   from kitting k {kit_join} join stock s on s.sku = k.component_sku group by 1),
 totals as (
   select sku, coalesce(kits.q, case when stock.net is not null then floor(greatest(stock.net, 0)) end)::bigint as total_inventory
@@ -394,7 +394,7 @@ select sku from newest where obsoletedate is null and sku in (select sku from mi
         f"""codes as (
   select {_n('sku')} as sku, trim(code) as code, source = 'M' as m, primary_flag = 'Y' as prim, updated, length(trim(code)) in (12, 13) as valid
   from item_upc
-  where {_n('sku')} in (select {_n('item_number')} from item_store where store = 'm')
+  where {_n('sku')} in (select {_n('item_number')} from item_store where store = 'M')
     and {_n('sku')} in (select identifier from catalog where lower(data_source) in ('eagle', 'homesource'))),
 ranked as (
   select sku, code, 1 as kind from codes where prim and valid
@@ -436,7 +436,7 @@ select * from joined where discontinued_check = 'false' or closeout_check = 'fal
 dates as (
   from kit_dates union all
   select trim(item_number), min(record_added)::date from dw_item
-  where store = 'm' and trim(item_number) not in (select sku from kit_dates) group by 1)
+  where store = 'M' and trim(item_number) not in (select sku from kit_dates) group by 1)
 select f.identifier as sku, f.erp_sku_create_date as feed_date, d.first_seen, 'false' as date_check
 from product_feed f left join dates d on d.sku = f.identifier
 where lower(f.product_trace) <> 'akeneo only' and f.identifier not in (select sku from appliance where obsoletedate is null)
@@ -450,7 +450,7 @@ where lower(f.product_trace) <> 'akeneo only' and f.identifier not in (select sk
 dates as (
   from kit_dates union all
   select trim(item_number), min(record_added)::date from dw_item
-  where store = 'm' and trim(item_number) not in (select sku from kit_dates) group by 1)
+  where store = 'M' and trim(item_number) not in (select sku from kit_dates) group by 1)
 select c.identifier as sku, c.erp_sku_create_date, f.product_trace, d.first_seen, 'false' as date_check
 from catalog c join dates d on d.sku = c.identifier join product_feed f using (identifier)
 where lower(f.product_trace) <> 'akeneo only' and c.identifier not in (select sku from appliance where obsoletedate is null)
@@ -494,7 +494,7 @@ select * from flagged where 'false' in (amazon_hh_check, amazon_leh_check, websi
     "kit_quantities": (
         "kitting order_sku item_store catalog",
         f"""kits as (
-  select {_n4('sku')} as sku, component_sku, component_quantity as cq from kitting
+  select {_n4('sku')} as sku, component_sku, nullif(component_quantity, 0) as cq from kitting
   where sku in (select sku from order_sku where lower(active_flag) = 'y')),
 calc as (
   select k.sku, g.store, min(floor(coalesce(i.quantity_on_hand, 0) / cq))::bigint as calc_quantity_on_hand,
@@ -628,7 +628,7 @@ net as (
     + greatest(coalesce(f8, 0) - coalesce(st8_reserve, 0) + coalesce(st8_open, 0), 0) - coalesce(p.quantity, 0) as n
   from it left join oo using (sku) left join res using (sku) left join pending p using (sku)),
 stock as (select sku, greatest(floor(n), 0)::bigint as q from net),
-kits as (select k.sku, min(floor(s.q / k.component_quantity))::bigint as q from kitting k left join stock s on s.sku = k.component_sku group by 1)
+kits as (select k.sku, min(floor(s.q / nullif(k.component_quantity, 0)))::bigint as q from kitting k left join stock s on s.sku = k.component_sku group by 1)
 select sku, coalesce(kits.q, stock.q) as total_inventory from stock full join kits using (sku)
 where sku in (select v.sku from variant v join location_map m on m.parentid = v.id where m.id = '{fv.LOCATION_SHOP}')""",
     ),

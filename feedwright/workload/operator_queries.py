@@ -524,10 +524,10 @@ def kit_store_grid(spark, sf):
         "kitting item_store",
         _GRID_SQL
         + """
-select sku, store, min(floor(quantity_on_hand / component_quantity))::bigint as calc_quantity_on_hand,
-  min(floor(committed_quantity / component_quantity))::bigint as calc_committed_quantity,
-  min(floor(future_order_quantity / component_quantity))::bigint as calc_future_order_quantity,
-  min(floor(safety_stock / component_quantity))::bigint as calc_safety_stock
+select sku, store, min(floor(quantity_on_hand / nullif(component_quantity, 0)))::bigint as calc_quantity_on_hand,
+  min(floor(committed_quantity / nullif(component_quantity, 0)))::bigint as calc_committed_quantity,
+  min(floor(future_order_quantity / nullif(component_quantity, 0)))::bigint as calc_future_order_quantity,
+  min(floor(safety_stock / nullif(component_quantity, 0)))::bigint as calc_safety_stock
 from grid where component_sku not like '%FBA%' group by 1, 2
 """,
     ),
@@ -1115,16 +1115,20 @@ def delta_feed(spark, sf):
 @query(
     "q47_write_policy",
     """
-with prev as (select p_partkey, case when p_size % 2 = 0 then p_retailprice else 1 end as price from part where p_type <> 'PROMO')
-select p.p_partkey, p.p_name as name, case when v.price is distinct from p.p_retailprice then p.p_retailprice end::decimal(18,2) as price,
-  case when v.p_partkey is null then p.p_size end as size
-from part p left join prev v using (p_partkey)
+with prev as (select p_partkey, case when p_size % 2 = 0 then p_retailprice else 1 end as price from part where p_type <> 'PROMO'),
+now as (select p_partkey, case when p_size % 3 > 0 then p_name end as name, case when p_size % 5 > 0 then p_retailprice end as price, p_size from part)
+select p.p_partkey, p.name, case when v.price is distinct from p.price then p.price end::decimal(18,2) as price,
+  case when v.p_partkey is null then p.p_size end as size, true as name_sent,
+  v.p_partkey is null or v.price is distinct from p.price as price_sent, v.p_partkey is null as size_sent
+from now p left join prev v using (p_partkey)
 """,
 )
 def write_policy(spark, sf):
     part = _t(spark, sf, "part")
     price, size = F.col("p_retailprice").cast(MONEY), F.col("p_size").alias("size")
-    current = part.select("p_partkey", F.col("p_name").alias("name"), price.alias("price"), size)
+    # Some names and prices are cleared.
+    name = F.when(F.col("p_size") % 3 > 0, F.col("p_name")).alias("name")
+    current = part.select("p_partkey", name, F.when(F.col("p_size") % 5 > 0, price).alias("price"), size)
     previous = part.filter("p_type <> 'PROMO'").select(
         "p_partkey",
         F.col("p_name").alias("name"),
@@ -1501,3 +1505,27 @@ from signed group by 1, 2 having sum(sign) <> 0
 def report_diff(spark, sf):
     orders = _t(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
     return op.round_diff(orders.filter("year = 1999"), orders.filter("year = 2000"), ["o_custkey", "o_orderstatus"])
+
+
+@query(
+    "q47d_cleared_values",
+    """
+select p_partkey, case when p_size % 4 > 0 then p_retailprice end::decimal(18,2) as price, true as price_sent
+from part where p_size % 4 = 0
+""",
+)
+def cleared_values(spark, sf):
+    """A changed value that is null now is sent all the same."""
+    part = _t(spark, sf, "part")
+    price = F.col("p_retailprice").cast(MONEY)
+    current = part.select("p_partkey", F.when(F.col("p_size") % 4 > 0, price).alias("price"))
+    return op.write_policy(current, part.select("p_partkey", price.alias("price")), "p_partkey", {"price": "delta"})
+
+
+@query(
+    "q26b_ambiguous_aliases",
+    oracle("sku_xref", "select alias_sku, count(distinct sku) as distinct_values from sku_xref group by 1 having count(distinct sku) > 1"),
+)
+def ambiguous_aliases(spark, sf):
+    """Aliases that stand for several own skus, whose pending quantity counts for each."""
+    return op.multi_value_keys(standin_sources(spark, sf)["sku_xref"], "alias_sku", "sku")

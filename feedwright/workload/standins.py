@@ -174,7 +174,8 @@ from {orders} where o_orderpriority <> '5-LOW'
 _SQL["item_store"] = f"""
 select case when p % 40 = 7 then 'ZZ' when p % 10 = 5 then 'K' else '' end || cast(p as string)
     || substring('            (A)         -fba    ', st * 4 + 1, 4) as item_number,
-  substring('{_STORE_CODES}', st + 1, 1) as store, {_pick('ln', ['C', 'o', 'N', 'Y', None])} as web_flag,
+  case when p % 4 = 1 then lower(substring('{_STORE_CODES}', st + 1, 1)) || ' ' else substring('{_STORE_CODES}', st + 1, 1) end as store,
+  {_pick('ln', ['C', 'o', 'N', 'Y', None])} as web_flag,
   case when first_line = 1 and st in (0, 4) then 0 else {_PRICE} end as retail_price,
   case when low_discount < 0.03 then {_PRICE} * 0.9 when low_discount < 0.05 then 0 else null end as promotion_price,
   qty + case st when 1 then 0.5 else 0 end as quantity_on_hand,
@@ -209,7 +210,7 @@ select cast(l_partkey as string) || ' ' as item_number, {_STORE} as store, l_shi
 _SQL["kitting"] = f"""
 select {_kit_marked('l_orderkey')} as sku,
   cast(l_partkey as string) || case when max(l_linenumber) = 7 then '-fba' else '' end as component_sku,
-  max(l_linenumber) as component_quantity
+  case when l_orderkey % 5 = 2 and min(l_linenumber) = 1 then 0 else max(l_linenumber) end as component_quantity
 from {{lineitem}} group by l_orderkey, l_partkey
 """
 _SQL["order_sku"] = f"""
@@ -284,6 +285,9 @@ from {orders}
 _SQL["sku_xref"] = """
 select 'AMZ' || cast(c_custkey as string) as alias_sku, cast(c_custkey as string) as sku
 from {customer} where c_mktsegment <> 'BUILDING'
+union all
+select 'AMZ' || cast(c_custkey as string) || ' ', case when c_custkey % 7 = 3 then 'X' else '' end || cast(c_custkey as string)
+from {customer} where c_mktsegment <> 'BUILDING' and c_custkey % 3 = 0
 """
 _SQL["sales_order"] = f"""
 select {_order('o_orderkey')} as order_number, 'IMP' || cast(o_orderkey as string) as import_order_number,
@@ -310,7 +314,7 @@ select {_order('l_orderkey')} as order_number, l_linenumber as line_number, cast
   cast(l_discount as decimal(18,2)) as discount_amount,
   case when l_linenumber = 5 then cast(l_shipdate as date) else null end as hold_until_date,
   case l_returnflag when 'A' then 'X' when 'N' then 'A' else 'B' end as status_code,
-  case l_linenumber when 1 then null when 2 then 'C' else 'O' end as line_item_status_code,
+  case l_linenumber when 1 then null when 2 then case when l_suppkey % 2 = 0 then 'C' else 'c ' end else 'O' end as line_item_status_code,
   {_pick('l_suppkey', _WAREHOUSES)} as warehouse_code,
   case when l_linestatus = 'F' then cast(cast(l_shipdate as date) as string) when l_linenumber = 3 then 'abc' else null end
     as first_shipped_datetime,

@@ -130,8 +130,13 @@ def test_write_policy(frame):
     now = frame("sku string, a int, b int, c int", ("old", 1, 2, 3), ("same", 1, 2, 3), ("new", 1, 2, 3))
     last = frame("sku string, a int, b int, c int", ("old", 1, 9, 9), ("same", 1, 2, 3))
     got = op.write_policy(now, last, "sku", {"a": "force", "b": "delta", "c": "first"})
-    assert rows(got) == [("new", 1, 2, 3), ("old", 1, 2, None), ("same", 1, None, None)]
+    assert rows(got, "sku", "a", "b", "c") == [("new", 1, 2, 3), ("old", 1, 2, None), ("same", 1, None, None)]
+    assert rows(got, "sku", "b_sent", "c_sent") == [("new", True, True), ("old", True, False), ("same", False, False)]
     assert rows(op.write_policy(now, last, "sku", {"b": "delta"}), "sku") == [("new",), ("old",)]
+    # A cleared value is sent as null, an untouched null is not sent.
+    last = frame("sku string, b int", ("cleared", 1), ("empty", None))
+    now = frame("sku string, b int", ("cleared", None), ("empty", None), ("first", None))
+    assert rows(op.write_policy(now, last, "sku", {"b": "delta"})) == [("cleared", None, True), ("first", None, True)]
 
 
 def test_owned_value(frame):

@@ -304,11 +304,79 @@ def test_membership_and_presence(frame):
     assert rows(report, "sku", "exists_in_x", "n") == [("a", "Y", 7), ("b", "N", None), ("c", "N", None)]
 
 
+def test_components_of_quantity_zero_are_skipped(frame):
+    stock = frame("sku string, net decimal(18,4)", ("a", D(7)), ("b", D(4)))
+    schema = "sku string, component_sku string, component_quantity decimal(18,4)"
+    kits = frame(schema, ("K", "a", D(2)), ("K", "b", D(0)), ("Z", "a", D(0)), ("N", "a", None))
+    for how in ("inner", "left"):
+        assert rows(op.kit_floor_min(kits, stock, how=how)) == [("K", 3), ("N", None), ("Z", None)]
+    grid = frame("sku string, store string, component_sku string, component_quantity decimal(18,4), q decimal(18,4)", ("K", "1", "a", D(0), D(9)), ("K", "1", "b", D(4), D(9)), ("Z", "1", "a", D(0), D(9)))
+    assert rows(op.kit_quantities_by_store(grid, ["q"])) == [("K", "1", 2), ("Z", "1", None)]
+
+
+def test_an_alias_listed_twice_counts_once(frame):
+    pending = frame("sku string, quantity int", ("m1", 5), ("m2", 3), ("own", 1))
+    xref = frame("alias_sku string, sku string", ("m1", "s1"), ("m1", "s1"), ("m2", "s1"), ("m2", "s2"))
+    assert rows(op.alias_resolved_sum(pending, xref)) == [("own", 1), ("s1", 8), ("s2", 3)]
+    assert rows(op.multi_value_keys(xref, "alias_sku", "sku")) == [("m2", 2)]
+
+
+def test_presence_in_several_systems(frame):
+    wanted = frame("sku string, w int", ("a", 1), ("a", 2), ("b", 3), (None, 4), ("c", 5))
+    systems = {
+        "x": frame("sku string, n int", ("a", 7), ("a", 8), (None, 9), ("z", 1)),
+        "y": frame("sku string, m int", ("b", 7)),
+        "w": frame("sku string, o int", ("a", 0)),
+    }
+    expected = wanted
+    for name, df in systems.items():
+        mark = f"exists_in_{name}"
+        expected = expected.join(df.withColumn(mark, F.lit("Y")), "sku", "left").withColumn(mark, F.coalesce(mark, F.lit("N")))
+    got = op.presence_report(wanted, systems)
+    assert got.columns == expected.columns and rows(got) == rows(expected)
+    assert rows(op.presence_report(wanted.filter("false"), systems)) == []
+
+
+def scans(spark, df):
+    """Files read by a plan in which equal exchanges are shared."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return df.select("*")._jdf.queryExecution().executedPlan().toString().count("FileScan")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def table(spark, name):
+    return spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+
+
+def test_left_many_reads_its_left_side_once(spark):
+    left = table(spark, "orders").select(F.col("o_orderkey").alias("k"), "o_totalprice")
+    right = table(spark, "lineitem").select(F.col("l_orderkey").alias("k"), "l_quantity")
+    # The right side is read for its keys and for its rows.
+    assert scans(spark, op.left_many(left, right, "k")) == 3
+
+
+def test_presence_report_grows_with_the_systems(spark):
+    wanted = table(spark, "part").select(F.col("p_partkey").alias("sku"))
+    line = table(spark, "lineitem").select(F.col("l_partkey").alias("sku"), "l_quantity")
+    counts = [
+        scans(spark, op.presence_report(wanted, {f"s{i}": line.withColumnRenamed("l_quantity", f"q{i}") for i in range(n)}))
+        for n in (1, 2, 3, 4, 5)
+    ]
+    assert [b - a for a, b in zip(counts, counts[1:])] == [counts[1] - counts[0]] * 4 and counts[-1] <= 3 + 3 * 5, counts
+
+
 def test_left_many_is_a_left_join_that_splits_its_right_side(spark, frame):
     left = frame("k string, a int", ("x", 1), ("y", 2), (None, 3))
     right = frame("k string, b int", *[("x", i) for i in range(3)], ("z", 9), (None, 8))
     assert rows(op.left_many(left, right, "k")) == rows(left.join(right, "k", "left"))
     assert op.left_many(left, right, "k").columns == ["k", "a", "b"]
+    two = right.withColumn("a", F.lit(1))
+    assert rows(op.left_many(left, two, ["k", "a"])) == rows(left.join(two, ["k", "a"], "left"))
 
 
 def test_codes_are_compared_as_text(spark, frame):
