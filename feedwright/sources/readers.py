@@ -8,6 +8,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 
 from .entities import ENTITIES, FOLDED_COLUMNS, ddl
+from .splits import even_splits
 
 Loader = Callable[[], DataFrame]
 
@@ -102,13 +103,23 @@ class Sources(Mapping):
         options: Mapping[str, str] | None = None,
         split: Mapping[str, Mapping[str, str]] | None = None,
         rename: Mapping[str, Mapping[str, str]] | None = None,
+        even: Mapping[str, tuple[str, int]] | None = None,
     ) -> Sources:
         """Database tables. ``split`` gives an entity its partitionColumn, lowerBound, upperBound and numPartitions, so
-        that a large table is read by many tasks. The choice of columns reaches the database, and filters on columns that
-        need no cast; keys are brought to one form in Spark, so filters on them are applied after reading."""
+        that a large table is read by many tasks; ``even`` gives it a column and a number of parts instead, whose bounds a
+        first narrow read of that column finds (see ``even_splits``). The choice of columns reaches the database, and
+        filters on columns that need no cast; keys are brought to one form in Spark, so filters on them are applied after
+        reading."""
 
         def loader(name: str, table: str) -> Loader:
-            extra = {**(options or {}), **(split or {}).get(name, {})}
-            return lambda: spark.read.format("jdbc").options(url=url, dbtable=table, **extra).load()
+            def load() -> DataFrame:
+                extra = {**(options or {}), **(split or {}).get(name, {})}
+                rows = spark.read.format("jdbc").options(url=url, dbtable=table, **extra)
+                if name not in (even or {}):
+                    return rows.load()
+                column, parts = even[name]
+                return spark.read.jdbc(url, table, predicates=even_splits(rows.load().select(column), column, parts), properties=extra)
+
+            return load
 
         return cls({n: loader(n, t) for n, t in tables.items()}, rename)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from .. import functions as fn
 from .. import operators as op
 from ..operators import inventory as inv
 from ..plans.orders import sales_parts
+from ..sources import even_splits
 from .registry import query
 from .standins import oracle, standin_sources, table
 
@@ -1529,3 +1531,15 @@ def cleared_values(spark, sf):
 def ambiguous_aliases(spark, sf):
     """Aliases that stand for several own skus, whose pending quantity counts for each."""
     return op.multi_value_keys(standin_sources(spark, sf)["sku_xref"], "alias_sku", "sku")
+
+
+@query(
+    "r01_even_splits",
+    "select l_returnflag, count(*) as lines, sum(l_quantity)::bigint as quantity from lineitem group by 1",
+)
+def split_read(spark, sf):
+    """Line items read in even parts of their part key: every row is in one of them."""
+    lines = _t(spark, sf, "lineitem")
+    parts = [lines.filter(p) for p in even_splits(lines.select("l_partkey"), "l_partkey", 8)]
+    rows = reduce(DataFrame.union, parts)
+    return rows.groupBy("l_returnflag").agg(F.count("*").alias("lines"), F.sum("l_quantity").cast("bigint").alias("quantity"))

@@ -2,7 +2,7 @@ import pytest
 from conftest import SF, rows
 
 from feedwright.plans import CHECKS, run_checks
-from feedwright.sources import ENTITIES, Sources, ddl
+from feedwright.sources import ENTITIES, Sources, ddl, even_splits
 from feedwright.workload.standins import standin_sources
 
 
@@ -46,3 +46,40 @@ def test_runner_writes_reports_and_counts(spark, tmp_path):
 
 def test_every_check_says_what_it_does():
     assert all(c.about for c in CHECKS.values())
+
+
+def parts_of(df, column, parts):
+    return [df.filter(p).count() for p in even_splits(df.select(column), column, parts)]
+
+
+def test_even_splits_of_a_skewed_column(spark):
+    # Nine tenths of the rows lie in a hundredth of the range; equal steps would put them into one part.
+    df = spark.range(20_000).selectExpr("case when id % 10 < 9 then id % 1000 else id * 5 end as k", "id")
+    counts = parts_of(df, "k", 8)
+    assert sum(counts) == 20_000 and len(counts) == 8
+    assert max(counts) < 1.2 * 20_000 / 8
+    step = 100_000 // 8
+    assert df.filter(f"k < {step}").count() > 0.8 * 20_000
+
+
+def test_every_row_is_in_one_part(spark, frame):
+    from datetime import date, datetime
+    from decimal import Decimal
+
+    hot = spark.range(3000).selectExpr("case when id % 3 = 0 then 7 when id % 100 = 1 then null else id end as k")
+    counts = parts_of(hot, "k", 10)
+    assert sum(counts) == 3000 and min(counts) > 0
+    whole = [r[0] for r in hot.collect()]
+    for i in range(0, 3000, 250):
+        one = hot.filter("k is null" if whole[i] is None else f"k = {whole[i]}")
+        assert sum(c > 0 for c in [one.filter(p).count() for p in even_splits(hot, "k", 10)]) == 1
+    for values in ([date(2020, 1, d) for d in range(1, 29)], [datetime(2020, 1, d, 5, 6) for d in range(1, 29)], [Decimal(f"{d}.50") for d in range(28)]):
+        df = spark.createDataFrame([(v,) for v in values], ["k"])
+        counts = parts_of(df, "k", 4)
+        assert sum(counts) == 28 and max(counts) <= 8
+    assert even_splits(hot.filter("false"), "k", 4) == even_splits(hot, "k", 1) == ["1 = 1"]
+    assert parts_of(spark.range(10).selectExpr("1 as k"), "k", 4) == [0, 10]
+    with pytest.raises(TypeError):
+        even_splits(frame("k string", ("a",)), "k", 3)
+    with pytest.raises(ValueError):
+        even_splits(hot, "k", 0)
