@@ -7,8 +7,10 @@ within its share, and what any block finds is verified on the whole vectors.
 
 The range join of a block lays a grid over its first coordinates. Every vector stands in its home cell and is also sent
 to the neighbouring cells (in one direction) that it can reach. Cells are divided into parts of at most about ``TILE``
-vectors and each pair of parts is one group, so a group is bounded whatever the data; inside it distances are matrix
-products. The number of cells is bounded by the geometry, so their counts may be sent to every task.
+vectors, fewer if they are long, and each pair of parts is one group, so a group is bounded whatever the data; inside it
+distances are matrix products. Parts of one cell meet once, in one order. The number of cells is bounded by the geometry,
+so their counts may be sent to every task. In many dimensions the grid separates little, and the groups of a crowded
+cell compare nearly all of its pairs by a block's few coordinates.
 
 Groups return for each vector how many others it is linked with, and a spanning forest of the links, never the pairs.
 """
@@ -29,8 +31,10 @@ from feedwright.llm.components import components, saved, with_summary
 BLOCKS = 4
 #: Coordinates of a block that the grid covers.
 GRID = 2
-TILE = 8192
-_ROWS = 512
+TILE = 32_768
+#: Numbers in the vectors of one part.
+_NUMBERS = 1 << 21
+_ROWS, _COLUMNS = 512, 2048
 
 
 class Space:
@@ -85,20 +89,31 @@ def _by_dim(batch: pa.RecordBatch, kind: np.dtype) -> Iterator[tuple[int, np.nda
         yield dim, rows, _vectors(batch.column("vec").take(pa.array(rows)), kind).reshape(-1, dim)
 
 
-def _links(space: Space, block: int, raw: np.ndarray, h: np.ndarray, p: np.ndarray, ids, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked pairs, as row numbers out of ``h`` (homes) and ``p`` (probes), whose first close block is this one. ``ids``
-    has the id of each row and whether a probe is of the same cell, where each pair is taken once."""
-    number, inside = ids
-    turned, size = space.rotated(raw), np.sqrt((raw * raw).sum(axis=1))
-    own = turned[:, space.blocks[block]].astype(np.float32)
-    square = (own * own).sum(axis=1)
+def _near(own: np.ndarray, h: np.ndarray, p: np.ndarray | None, most: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a row of ``h`` and one of ``p`` - or of two rows of ``h``, each once - at a squared distance of at most
+    about ``most``, tile by tile. The product of the widened rows is the distance itself."""
+    square, one = (own * own).sum(axis=1, dtype=np.float32)[:, None], np.ones((len(own), 1), np.float32)
+    left, right = np.hstack([own, square, one]), np.hstack([-2 * own, one, square])
+    others = h if p is None else p
     for at in range(0, len(h), _ROWS):
         rows = h[at : at + _ROWS]
-        near = square[rows][:, None] + square[p][None, :] - 2 * (own[rows] @ own[p].T) <= space.budgets[block] + 1e-4
-        near &= ~inside[p][None, :] | (number[p][None, :] < number[rows][:, None])
-        i, j = np.nonzero(near)
+        # Among themselves, rows meet those in front of them only.
+        for start in range(0, min(len(others), at + _ROWS) if p is None else len(others), _COLUMNS):
+            columns = others[start : start + _COLUMNS]
+            i, j = np.nonzero(left[rows] @ right[columns].T <= most)
+            if p is None:
+                earlier = start + j < at + i
+                i, j = i[earlier], j[earlier]
+            if len(i):
+                yield rows[i], columns[j]
+
+
+def _links(space: Space, block: int, raw: np.ndarray, h: np.ndarray, p: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs, as row numbers out of ``h`` and ``p`` (or two of ``h``), whose first close block is this one."""
+    turned, size = space.rotated(raw), np.sqrt((raw * raw).sum(axis=1))
+    for i, j in _near(turned[:, space.blocks[block]].astype(np.float32), h, p, space.budgets[block] + 1e-4):
         for k in range(0, len(i), 50_000):
-            a, b = rows[i[k : k + 50_000]], p[j[k : k + 50_000]]
+            a, b = i[k : k + 50_000], j[k : k + 50_000]
             linked = np.einsum("ij,ij->i", raw[a], raw[b]) / (size[a] * size[b]) >= threshold
             a, b = a[linked], b[linked]
             apart = np.square(turned[a] - turned[b])
@@ -168,16 +183,16 @@ def near_duplicates(
                 x = space.rotated(raw)
                 for b in range(len(space.blocks)):
                     home, sent = space.cells(x, b)
-                    for probe, cells in ((False, [home]), (True, [home, *(c for _, c in sent)])):
+                    for probe, cells in ((False, [home]), (True, [c for _, c in sent])):
                         keys, n = np.unique(_cell(b, np.concatenate(cells)), return_counts=True)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([dim] * len(keys), pa.int64()), pa.array(keys), pa.array([probe] * len(keys)), pa.array(n, pa.int64())],
+                            [pa.array([dim] * len(keys), pa.int64()), pa.array(keys), pa.array([probe] * len(keys), pa.bool_()), pa.array(n, pa.int64())],
                             names=["dim", "cell", "probe", "n"],
                         )
 
     counts = classes.select("vec").mapInArrow(count, "dim long, cell long, probe boolean, n long").groupBy("dim", "cell", "probe").agg(F.sum("n").alias("n"))
     # Unit vectors span a fixed range, so there is a fixed number of cells for each dimension.
-    parts = {(r["dim"], r["cell"], r["probe"]): -(-r["n"] // tile) for r in counts.collect()}
+    parts = {(r["dim"], r["cell"], r["probe"]): -(-r["n"] // min(tile, max(1, _NUMBERS // r["dim"]))) for r in counts.collect()}
     shared = vectors.sparkSession.sparkContext.broadcast(parts)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,35 +202,47 @@ def near_duplicates(
                 space = Space(dim, exact)
                 x = space.rotated(raw)
                 salt = batch.column("id").take(pa.array(rows)).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+
+                def sent_to(block: int, cell: int, mine: np.ndarray, probe: bool, i: np.ndarray, j: np.ndarray, inside: bool) -> pa.RecordBatch:
+                    table = batch.select(["id", "n", "vec"]).take(pa.array(rows[mine]))
+                    numbers = [pa.array([v] * len(mine), pa.int64()) for v in (dim, block, cell)]
+                    flags = [pa.array([v] * len(mine)) for v in (inside, probe)]
+                    return pa.RecordBatch.from_arrays([*numbers, flags[0], pa.array(i), pa.array(j), flags[1], *table.columns], names=_DEALT)
+
                 for b in range(len(space.blocks)):
                     home, sent = space.cells(x, b)
-                    everyone = np.arange(len(rows))
-                    for probe, inside, who, cells in [(False, True, everyone, home), (True, True, everyone, home), *((True, False, w, c) for w, c in sent)]:
+                    for probe, who, cells in [(False, np.arange(len(rows)), home), *((True, w, c) for w, c in sent)]:
                         cell = _cell(b, cells)
                         for c in np.unique(cell).tolist():
                             n_home, n_probe = parts.get((dim, c, False), 0), parts.get((dim, c, True), 0)
-                            if not n_home or not n_probe:
+                            if not n_home:
                                 continue
                             mine = who[cell == c]
                             part = (salt[mine] % np.uint64(n_probe if probe else n_home)).astype(np.int64)
-                            table = batch.select(["id", "n", "vec"]).take(pa.array(rows[mine]))
+                            # Homes meet the probes of other cells, every part with every part,
                             for other in range(n_home if probe else n_probe):
                                 i, j = (np.full(len(mine), other), part) if probe else (part, np.full(len(mine), other))
-                                flags = [pa.array([v] * len(mine)) for v in (probe, inside)]
-                                numbers = [pa.array([v] * len(mine), pa.int64()) for v in (dim, b, c)]
-                                yield pa.RecordBatch.from_arrays([*numbers, pa.array(i), pa.array(j), *flags, *table.columns], names=_DEALT)
+                                yield sent_to(b, c, mine, probe, i, j, False)
+                            # and each other: part i as homes meets the parts before it as probes, and itself.
+                            for other in () if probe else range(n_home):
+                                low, high = np.minimum(part, other), np.maximum(part, other)
+                                for ahead in (False, True):
+                                    take = (part < other) if ahead else (part >= other)
+                                    if take.any():
+                                        yield sent_to(b, c, mine[take], ahead, high[take], low[take], True)
 
-    dealt = classes.select("id", "n", "vec").mapInArrow(deal, "dim long, block long, cell long, i long, j long, probe boolean, inside boolean, id long, n long, vec binary")
+    dealt = classes.select("id", "n", "vec").mapInArrow(deal, _DEALT_SCHEMA)
 
     def compare(table: pa.Table) -> pa.Table:
         dim, block = table.column("dim")[0].as_py(), table.column("block")[0].as_py()
         space = Space(dim, exact)
-        probe, inside, ids, n = (table.column(c).to_numpy() for c in ("probe", "inside", "id", "n"))
+        probe, ids, n = (table.column(c).to_numpy() for c in ("probe", "id", "n"))
+        itself = table.column("inside")[0].as_py() and table.column("i")[0].as_py() == table.column("j")[0].as_py()
         raw = _vectors(table.column("vec"), kind).reshape(-1, dim)
-        h, p = np.flatnonzero(~probe), np.flatnonzero(probe)
+        h, p = np.flatnonzero(~probe), None if itself else np.flatnonzero(probe)
         linked = np.zeros(len(ids), dtype=np.int64)
         forest = Forest(len(ids))
-        for a, b in _links(space, block, raw, h, p, (ids, inside), exact):
+        for a, b in _links(space, block, raw, h, p, exact):
             np.add.at(linked, a, n[b])
             np.add.at(linked, b, n[a])
             forest.join(a, b)
@@ -223,7 +250,7 @@ def near_duplicates(
         roots = forest.roots(some)
         return pa.table([pa.array(ids[some]), pa.array(linked[some]), pa.array(ids[roots])], names=["id", "linked", "root"])
 
-    found = saved(dealt.groupBy("dim", "block", "cell", "i", "j").applyInArrow(compare, "id long, linked long, root long"))
+    found = saved(dealt.groupBy("dim", "block", "cell", "inside", "i", "j").applyInArrow(compare, "id long, linked long, root long"))
     linked = found.groupBy("id").agg(F.sum("linked").alias("linked")).withColumnRenamed("id", "_l")
     joined = components(found, "id", "root")
     rep = classes.select("digest", "id", "n")
@@ -239,4 +266,5 @@ def near_duplicates(
     )
 
 
-_DEALT = ["dim", "block", "cell", "i", "j", "probe", "inside", "id", "n", "vec"]
+_DEALT = ["dim", "block", "cell", "inside", "i", "j", "probe", "id", "n", "vec"]
+_DEALT_SCHEMA = "dim long, block long, cell long, inside boolean, i long, j long, probe boolean, id long, n long, vec binary"

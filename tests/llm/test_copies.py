@@ -242,3 +242,17 @@ def test_vectors(spark, tile):
         got = sorted((tuple(x) for x in embeddings.near_duplicates(frame, 0.9, tile=tile).collect()), key=str)
         assert got == alike(rows, 0.9)
     assert embeddings.near_duplicates(frame.where("false"), 0.9).count() == 0
+
+
+def test_near_pairs_are_met_once(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(embeddings, "_ROWS", 7)
+    monkeypatch.setattr(embeddings, "_COLUMNS", 3)
+    own = np.random.default_rng(1).standard_normal((40, 3)).astype(np.float32)
+    gap = np.square(own[:, None] - own[None]).sum(axis=2)
+    h, p = np.arange(0, 25), np.arange(20, 40)
+    for rows, columns in ((h, None), (h, p), (h[:0], p), (h[:0], None)):
+        got = sorted((int(a), int(b)) for i, j in embeddings._near(own, rows, columns, 1.5) for a, b in zip(i, j))
+        expected = [(a, b) for a in rows for b in (rows if columns is None else columns) if gap[a, b] <= 1.5 and (columns is not None or b < a)]
+        assert got == sorted(expected)
