@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 
-from feedwright.llm.text import per_document
+from feedwright.llm.text import drawn, per_document
 
 UNKNOWN = "und"
 ORDERS = (5, 4, 3, 2, 1)
@@ -52,20 +52,13 @@ def fit(
     seed_col: str = "doc_id",
 ) -> list[tuple[str, int, str, int]]:
     """Rows (language, order, gram, count) of the model; order 0 are whole words. Rows without text or language, and
-    those outside ``train``, are not learned from. The sample is drawn by a hash of ``seed_col``."""
+    those outside ``train``, are not learned from. The sample is ``per_lang`` documents of each language, those with the
+    least hashes of ``seed_col`` and text."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = (rows if train is None else rows.where(train)).select(
         F.col(seed_col).alias("_seed"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     )
-    sizes = rows.groupBy("lang").count()
-    # As many rows as there are languages.
-    share = {r["lang"]: min(1.0, per_lang / r["count"]) for r in sizes.collect()}
-    if not share:
-        return []
-    drawn = F.pmod(F.xxhash64(F.col("_seed").cast("string")), F.lit(1_000_000))
-    keep = F.lit(False)
-    for lang, part in sorted(share.items()):
-        keep = keep | ((F.col("lang") == lang) & (drawn < int(part * 1_000_000)))
+    sample = drawn(rows, per_lang, (F.col("_seed").cast("string"), F.col("text")), "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +84,7 @@ def fit(
     def summed(counts: DataFrame) -> DataFrame:
         return counts.groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
 
-    kept = top(summed(rows.where(keep).select("lang", "text").mapInArrow(count, _COUNTS)), top_words)
+    kept = top(summed(sample.select("lang", "text").mapInArrow(count, _COUNTS)), top_words)
     spelt = top(summed(kept.select("lang", "gram", "n").mapInArrow(divide, _COUNTS)), top_grams)
     return [(r["lang"], r["order"], r["gram"], r["n"]) for r in kept.unionByName(spelt).collect()]
 

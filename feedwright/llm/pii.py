@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from feedwright.llm.text import per_document
+from feedwright.llm.text import drawn, per_document
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 96
@@ -367,9 +367,9 @@ def labelled_windows(contexts: list[str], found: list[list[Span]], seed: int = 3
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Tagger:
-    """A tagger trained on windows of about ``sample`` documents, drawn by a hash of the id."""
-    share = int(min(1.0, sample / max(1, docs.count())) * 1_000_000)
-    drawn = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < share)
+    """A tagger trained on windows of ``sample`` documents, those of the least hashes of id and text."""
+    texts = docs.select(F.col(id_col).cast("string").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    few = drawn(texts, sample, (F.col("_id"), F.col("text")))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -384,7 +384,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [(), ()], (pa.string(), _ARROW_SPANS))], names=["text", "spans"])
 
     rows = (
-        drawn.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+        few.select("text")
         .mapInArrow(windows, "text string, spans array<struct<kind:string,start:long,end:long>>")
         .collect()
     )  # at most PER_DOCUMENT windows of each of the sampled documents

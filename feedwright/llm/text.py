@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
@@ -35,6 +35,26 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def drawn(rows: DataFrame, n: int, content: Sequence[Column], by: str | None = None) -> DataFrame:
+    """A sample of exact size: of the rows - of each value of ``by`` - those with the ``n`` least hashes of ``content``, or
+    all if there are fewer. The same rows in every run, whatever the number of rows; equal content counts once, so
+    neither null nor repeated ids let the sample grow. The bounds, one hash per value of ``by``, reach the driver."""
+    group = [by] if by else []
+    hashed = rows.withColumn("_hash", F.xxhash64(*content))
+    every = hashed.select(*group, "_hash").distinct()
+    if by:
+        # Spark keeps the n least of each value per task before it exchanges them.
+        place = F.row_number().over(Window.partitionBy(by).orderBy("_hash"))
+        least = every.withColumn("_place", place).where(F.col("_place") <= n)
+    else:
+        least = every.orderBy("_hash").limit(n)
+    keep = F.lit(False)
+    for bound in least.groupBy(*group).agg(F.max("_hash").alias("_last")).collect():
+        inside = F.col("_hash") <= F.lit(bound["_last"])
+        keep = keep | (inside & (F.col(by) == F.lit(bound[by])) if by else inside)
+    return hashed.where(keep).dropDuplicates([*group, "_hash"]).drop("_hash")
+
+
 def per_document(
     docs: DataFrame,
     fields: Sequence[StructField],

@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from feedwright.llm.text import per_document, words
+from feedwright.llm.components import saved
+from feedwright.llm.text import drawn, per_document, words
 
 PREFIXES = (4, 5, 6)
 BLOCK = 64
@@ -203,24 +204,26 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
 ) -> Model:
-    """Fit on a bounded sample: about ``toxic_docs`` and ``other_docs`` labelled documents, drawn by a hash of the id,
-    none of more than ``longest`` characters. A document labelled more than once is toxic if any label says so; rows
+    """Fit on a bounded sample: ``toxic_docs`` and ``other_docs`` labelled ids, those of the least hashes, and at most as
+    many documents of theirs, none of more than ``longest`` characters. A document labelled more than once is toxic if any label says so; rows
     without id or label are left out."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     known = (known if train_on is None else known.where(train_on)).groupBy(F.col(id_col).alias("_id")).agg(
         F.max(F.when(F.col(label_col) > 0, 1).otherwise(0)).alias("_toxic")
     )
-    sizes = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
-    drawn = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1_000_000))
-    part = {k: int(min(1.0, n / max(1, sizes.get(k, 0))) * 1_000_000) for k, n in ((1, toxic_docs), (0, other_docs))}
-    sample = known.where(drawn < F.when(F.col("_toxic") == 1, part[1]).otherwise(part[0]))
+    most = {1: toxic_docs, 0: other_docs}
+    picked = [drawn(known.where(F.col("_toxic") == k), n, (F.col("_id").cast("string"),)) for k, n in most.items()]
     # Bounded by toxic_docs + other_docs ids.
-    rows = (
+    found = (
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
         .where(F.length("_text") <= longest)
-        .join(F.broadcast(sample), "_id")
-        .select("_text", "_toxic").toPandas()
-    )
+        .join(F.broadcast(picked[0].unionByName(picked[1])), "_id")
+        .select("_text", "_toxic")
+    )
+    # An id may have any number of rows.
+    rows = saved(found)
+    kept = [drawn(rows.where(F.col("_toxic") == k), n, (F.col("_text"),)) for k, n in most.items()]
+    rows = kept[0].unionByName(kept[1]).toPandas()
     rows = rows.sort_values(["_toxic", "_text"], kind="stable")
     return train([words(t.encode()) for t in rows["_text"]], [int(v) for v in rows["_toxic"]])
 

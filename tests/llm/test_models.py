@@ -173,3 +173,35 @@ def test_windows_are_read_as_one_text():
     text = text[: pii.HALF - 6] + "10.220.130.140" + text[pii.HALF + 8 :]
     places = np.array([0, 1, 3]) * pii.HALF
     assert pii.read_tags(text, places, tags) == [("ip", pii.HALF - 6, pii.HALF + 8)]
+
+
+def test_samples_have_an_exact_size(spark):
+    """A share of far less than a millionth would be needed for a table as large as the ratio here; size is by rank."""
+    from feedwright.llm.text import drawn
+
+    rows = spark.range(50_000).select("id", (F.col("id") % 3).cast("string").alias("kind"), F.concat(F.lit("text "), "id").alias("text"))
+    sample = drawn(rows, 1, (F.col("id"),), "kind")
+    assert sample.groupBy("kind").count().where("count = 1").count() == 3
+    assert drawn(rows, 10, (F.col("id"),)).count() == 10
+    # The same rows, however the table is laid out.
+    assert sorted(drawn(rows.repartition(7), 10, (F.col("id"),)).collect()) == sorted(drawn(rows, 10, (F.col("id"),)).collect())
+    assert drawn(rows.where("false"), 10, (F.col("id"),), "kind").count() == 0
+    assert drawn(rows.limit(4), 10, (F.col("id"),)).count() == 4
+    copies = rows.select(F.lit(None).cast("long").alias("id"), "kind", F.lit("same").alias("text"))
+    assert drawn(copies, 10, (F.col("id"), F.col("text")), "kind").count() == 3
+
+
+def test_fits_with_null_and_repeated_ids(spark):
+    n = 10_000
+    docs = spark.range(n).select(
+        F.when(F.col("id") % 2 == 0, None).otherwise(7).alias("doc_id"), F.concat_ws(" ", F.lit("some words"), F.col("id") % 40).alias("text"), F.lit("en").alias("lang")
+    )
+    counts = {(lang, order): 0 for lang, order in [("en", 0)]}
+    for lang, order, _, count in language.fit(docs, per_lang=20):
+        if order == 0:
+            counts[lang, order] += count
+    # 20 documents of two words, and of the number that is no word.
+    assert counts == {("en", 0): 40}
+    labels = spark.createDataFrame([(7, 1), (7, 0), (8, 0)], "doc_id long, toxic int")
+    assert toxicity.fit(docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(8))), labels, toxic_docs=5, other_docs=5) is not None
+    assert pii.fit(docs, sample=3) is not None
