@@ -21,10 +21,9 @@ def _money(x: str) -> str:
 
 
 def _pick(x: str, values: list[str | None]) -> str:
-    """One of the values by ``x`` modulo their number, cut from a fixed-width text; blank means null."""
-    width = max(len(v or "") for v in values)
-    text = "".join((v or "").ljust(width) for v in values)
-    return f"nullif(trim(substring('{text}', cast({x} % {len(values)} as int) * {width} + 1, {width})), '')"
+    """One of the values by ``x`` modulo their number; some may be null."""
+    cases = " ".join(f"when {i} then '{v}'" for i, v in enumerate(values) if v is not None)
+    return f"case {x} % {len(values)} {cases} else null end"
 
 
 def _kit(k: str) -> str:
@@ -32,7 +31,7 @@ def _kit(k: str) -> str:
 
 
 def _kit_marked(k: str) -> str:
-    return f"{_kit(k)} || substring('    -FBA(b) .OLD            ', cast({k} % 7 as int) * 4 + 1, 4)"
+    return f"{_kit(k)} || case {k} % 7 when 1 then '-FBA' when 2 then '(b) ' when 3 then '.OLD' else '    ' end"
 
 
 def _order(k: str) -> str:
@@ -43,8 +42,8 @@ def _channel_order(k: str) -> str:
     return f"case when {k} % 3 = 0 then 'ebay-' else 'Shopify-' end || cast({k} as string)"
 
 
-_STORE_CODES = "12478DJm"
-_STORE = f"substring('{_STORE_CODES}', cast(l_suppkey % 8 as int) + 1, 1)"
+_STORE_CODES = ["1", "2", "4", "7", "8", "D", "J", "m"]
+_STORE = _pick("l_suppkey", _STORE_CODES)
 _WAREHOUSES = ["HHH", "HTOOL", "LHAK", "LHAD", "HHMF"]
 _PRICE = "(900 + (p % 1000) / 10.0)"
 _GID = "'gid://shopify/ProductVariant/' || "
@@ -173,8 +172,8 @@ from {orders} where o_orderpriority <> '5-LOW'
 """
 _SQL["item_store"] = f"""
 select case when p % 40 = 7 then 'ZZ' when p % 10 = 5 then 'K' else '' end || cast(p as string)
-    || substring('            (A)         -fba    ', st * 4 + 1, 4) as item_number,
-  case when p % 4 = 1 then lower(substring('{_STORE_CODES}', st + 1, 1)) || ' ' else substring('{_STORE_CODES}', st + 1, 1) end as store,
+    || case st when 3 then '(A) ' when 6 then '-fba' else '    ' end as item_number,
+  case when p % 4 = 1 then lower({_pick('st', _STORE_CODES)}) || ' ' else {_pick('st', _STORE_CODES)} end as store,
   {_pick('ln', ['C', 'o', 'N', 'Y', None])} as web_flag,
   case when first_line = 1 and st in (0, 4) then 0 else {_PRICE} end as retail_price,
   case when low_discount < 0.03 then {_PRICE} * 0.9 when low_discount < 0.05 then 0 else null end as promotion_price,
