@@ -205,3 +205,69 @@ def test_fits_with_null_and_repeated_ids(spark):
     labels = spark.createDataFrame([(7, 1), (7, 0), (8, 0)], "doc_id long, toxic int")
     assert toxicity.fit(docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(8))), labels, toxic_docs=5, other_docs=5) is not None
     assert pii.fit(docs, sample=3) is not None
+
+
+def test_words_and_letters_against_a_plain_scorer():
+    """Every word by its own log frequency, an unseen one by the mean of its longest known n-grams."""
+    rng = random.Random(9)
+    rows = [(lang, 0, "".join(rng.choice("abc") for _ in range(rng.randint(1, 4))), rng.randint(1, 9)) for lang in ("x", "y", "z") for _ in range(12)]
+    rows = list({r[:3]: r for r in rows}.values())
+    spelt = {}
+    for lang, _, word, n in rows:
+        for order in language.ORDERS:
+            for gram in language.grams(word, order):
+                spelt[lang, order, gram] = spelt.get((lang, order, gram), 0) + n
+    rows += [(*k, n) for k, n in spelt.items() if k[2] != "^a"]
+
+    def level(order, lang, gram):
+        known = {r[2] for r in rows if r[1] == order}
+        counts = {r[2]: r[3] for r in rows if r[1] == order and r[0] == lang}
+        return np.log((counts.get(gram, 0) + 0.5) / (sum(counts.values()) + 0.5 * len(known))) if gram in known else None
+
+    def word_score(lang, word):
+        own = level(0, lang, word)
+        if own is not None:
+            return own
+        for order in language.ORDERS:
+            found = [s for s in (level(order, lang, g) for g in language.grams(word, order)) if s is not None]
+            if found:
+                return float(np.mean(found))
+        return 0.0
+
+    model = language.Model(rows)
+    for _ in range(60):
+        words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 5))]
+        scores = {lang: np.mean([word_score(lang, w) for w in words]) for lang in ("x", "y", "z")}
+        lang, certainty = model.judge(" ".join(words))
+        best = max(scores.values())
+        assert scores[lang] == pytest.approx(best)
+        weights = {k: np.exp((s - best) * min(len(words), 30)) for k, s in scores.items()}
+        assert certainty == pytest.approx(weights[lang] / sum(weights.values()))
+
+
+def test_best_tags_against_all_taggings():
+    tagger = pii.Tagger()
+    rng = np.random.default_rng(4)
+    tagger.p["moves"] = rng.normal(size=tagger.p["moves"].shape).astype(np.float32)
+    x = rng.integers(0, 5, (6, 4))
+    e, best = tagger.emissions(x), tagger.best(x)
+
+    def total(row, tags):
+        return sum(e[t, row, k] for t, k in enumerate(tags)) + sum(tagger.p["moves"][a, b] for a, b in zip(tags, tags[1:]))
+
+    for row in range(len(x)):
+        highest = max(total(row, tags) for tags in itertools.product(range(tagger.TAGS), repeat=x.shape[1]))
+        assert total(row, best[row].tolist()) == pytest.approx(highest, abs=1e-4)
+
+
+def test_score_of_a_document_from_its_marginals():
+    """Sum, rate and largest of the marginals, weighed as the fit says, computed word by word."""
+    model = toxicity.Model({}, 0.0, np.zeros((2, 2)), (np.array([0.5, -0.25, 2.0, 0.1]), np.array([0.2, 1.0, 0.3]), np.array([1.0, 2.0, 0.5])))
+    marginals, lengths = np.array([0.1, 0.9, 0.4, 0.2]), [2, 0, 2]
+    at, expected = 0, []
+    for n in lengths:
+        own, at = marginals[at : at + n].tolist(), at + n
+        figures = [np.log(1 + sum(own)), np.log(1 + 200 * sum(own) / n), max(own)] if n else [0.0, 0.0, 0.0]
+        z = sum(w * (f - c) / s for w, f, c, s in zip([0.5, -0.25, 2.0], figures, [0.2, 1.0, 0.3], [1.0, 2.0, 0.5])) + 0.1
+        expected.append(1 / (1 + np.exp(-z)))
+    assert model.scores(marginals, lengths).tolist() == pytest.approx(expected)
