@@ -178,8 +178,12 @@ class Chunk:
         keys, which, repeated = self.anchors()
         bucket = (keys % np.uint64(buckets)).astype(np.int64)
         frequent = np.zeros(len(keys), dtype=bool)
+        # The places of each bucket's keys, in their order.
+        order = np.argsort(bucket, kind="stable")
+        present, first = np.unique(bucket[order], return_index=True)
+        places = dict(zip(present.tolist(), np.split(order, first[1:])))
         for b, (again, often) in answers.items():
-            own = np.flatnonzero(bucket == b)
+            own = places[b]
             repeated[own] |= _bits(again, len(own))
             frequent[own] = _bits(often, len(own))
         gc.disable()  # many small objects and no cycles
@@ -250,11 +254,13 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
         bucket = keys % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         present, first = np.unique(bucket[order], return_index=True)
-        parts = [p.tobytes() for p in np.split(keys[order], first[1:])] if len(keys) else []
+        # Beside the bucket, 32 bits tell anchors apart: should two of them agree, their stretches are looked at in vain.
+        short = (keys[order] >> np.uint64(32)).astype(np.uint32)
+        parts = [p.tobytes() for p in np.split(short, first[1:])] if len(keys) else []
         return _batch([present.astype(np.int64), [table.column("chunk")[0].as_py()] * len(parts), parts], _ANCHORS)
 
     def repeated(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
+        parts = [np.frombuffer(k, np.uint32) for k in table.column("keys").to_pylist()]
         _, which, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
         n = np.split(n[which], np.cumsum([len(p) for p in parts])[:-1])
         again, often = [_packed(c > 1) for c in n], [_packed(c >= frequent) for c in n]
@@ -330,21 +336,25 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
             return _batch([[]] * len(_REMOVED), _REMOVED)
         chunk = Chunk(texts, length)
         smaller = answers(told, 1)
-        starts: list[int] = []
+        begins: list[int] = []
+        ends: list[int] = []
         numbers = chunk.numbers.tolist()
         for b, own in chunk.pieces(answers(told, 0), buckets).items():
             n = [len(p) - length + 1 for p in own]
             flags = _bits(smaller[b][0], sum(n))
             at = 0
             for count, (least, _, *places) in zip(n, own.values()):
-                hit = np.flatnonzero(flags[at : at + count]).tolist()
+                step = np.diff(flags[at : at + count].astype(np.int8), prepend=0, append=0)
+                runs = list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist())) if step.any() else ()
                 at += count
                 for start, doc in zip(places[::2], places[1::2]):
-                    starts += range(start, start + count) if numbers[doc] > least else [start + h for h in hit]
+                    # Neighbouring windows cover one run of bytes.
+                    for low, high in ((0, count),) if numbers[doc] > least else runs:
+                        begins.append(start + low)
+                        ends.append(start + high - 1 + length)
         edge = np.zeros(len(chunk.data) + 1, dtype=np.int32)
-        at = np.array(starts, dtype=np.int64)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + length, -1)
+        np.add.at(edge, np.array(begins, dtype=np.int64), 1)
+        np.add.at(edge, np.array(ends, dtype=np.int64), -1)
         step = np.diff((np.cumsum(edge) > 0).astype(np.int8), prepend=0)
         # Runs of neighbouring texts may touch: they are cut at the ends of the texts.
         ups, downs = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
