@@ -235,7 +235,9 @@ c as (
     list_prepend(4294967295, flatten(list_transform(string_split(conv_id::varchar, ''), lambda x: [ord(x)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
     lambda crc, x: xor(xor(crc, x) >> 1, 3988292384 * (xor(crc, x) & 1)))) % 6 as h
   from (select distinct conv_id from t)),
-m as (select c.conv_id, opener, h, least(h, count(k)) as lead from c left join t on t.conv_id = opener group by all),
+m as (
+  select conv_id, opener, h, least(h, found) as lead
+  from (select c.conv_id, opener, h, count(k) as found from c left join t on t.conv_id = opener group by c.conv_id, opener, h)),
 r as (
   select m.conv_id, k + 1 as depth, role, text from m join t on t.conv_id = opener and k < h
   union all
