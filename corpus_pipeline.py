@@ -6,20 +6,22 @@ further columns are dropped at the first stage. Null texts have no language and
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField
 
 from feedwright.llm import decontaminate, language, minhash, pii
 from feedwright.llm.bpe import Codec, apply_codec
-from feedwright.llm.components import saved
+from feedwright.llm.components import checkpoint_folder, saved
 from feedwright.llm.queries import CODEC_FIELDS, RANKS, codec_digests
 from feedwright.llm.text import read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Documents whose language is less certain than this are rejected, unless they are too short to be certain about.
+#: How certain the language of a text of ``language.FULL`` words or more must be; of one with fewer, in proportion, as
+#: one or two words of the right language cannot make it certain either.
 SURE = 0.5
-SHORT = 200
 #: Ids that may be sent to every task (eight bytes each); more are joined by shuffle.
 SEND = 1_000_000
 
@@ -33,7 +35,8 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; those without letters or of doubtful language go."""
     judged = language.identify(docs, language.fit(docs), also=COLUMNS[1:])
-    sure = (F.col("score") >= SURE) | (F.length("text") < SHORT)
+    # The words are counted only where the score alone does not decide.
+    sure = (F.col("score") >= SURE) | (F.col("score") >= SURE / language.FULL * F.size(F.split("text", r"\s+")))
     return judged.where((F.col("lang_pred") != language.UNKNOWN) & sure).select(*COLUMNS)
 
 
@@ -86,8 +89,15 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def rewritten(docs: DataFrame) -> DataFrame:
+    """The rows as Parquet in a folder of their own within the session's checkpoint folder, read again."""
+    path = f"{checkpoint_folder(docs.sparkSession)}/stage-{uuid4().hex}"
+    docs.write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(*COLUMNS)
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if k == 0 else saved(docs), sf_dir)
+        docs = stage(spark, docs if k == 0 else rewritten(docs), sf_dir)
     return docs

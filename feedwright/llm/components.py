@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set from ``spark.checkpoint.dir`` where it is not yet. Without that setting a
+    local session gets a temporary folder; on a cluster it is an error, as executors share no temporary folder."""
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    if not known.isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+        known = context._jsc.sc().getCheckpointDir()
+    return known.get()
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows written to the checkpoint folder and read from there: later steps neither repeat the work nor depend on
-    the executors that did it. The folder is the session's; a temporary one is set only where there is none."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    the executors that did it."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -28,6 +28,8 @@ UNKNOWN = "und"
 ORDERS = (5, 4, 3, 2, 1)
 #: Words that a task keeps with their scores beside the model's own; beyond it the store starts anew.
 CACHE = 200_000
+#: Words whose evidence adds up; the certainty of a longer text is that of so many words like its own.
+FULL = 30
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -151,7 +153,7 @@ class Model:
         return self._best(self._scores[rows].mean(axis=0) if rows else np.zeros(len(self.langs)), len(found))
 
     def _best(self, mean: np.ndarray, n: int) -> tuple[str, float]:
-        weight = np.exp((mean - mean.max()) * min(max(n, 1), 30))
+        weight = np.exp((mean - mean.max()) * min(max(n, 1), FULL))
         best = int(np.argmax(mean))
         return self.langs[best], float(min(1.0, weight[best] / math.fsum(weight)))
 
@@ -164,9 +166,11 @@ def identify(
     shared = docs.sparkSession.sparkContext.broadcast({"rows": rows})
 
     def setup():
-        # A Python worker keeps the value of a broadcast, and with it the model, from task to task.
-        model = shared.value.setdefault("model", None) or Model(shared.value["rows"])
-        shared.value["model"] = model
+        # A Python worker keeps the value of a broadcast from task to task: the rows until the first one, then the model.
+        known = shared.value
+        if "model" not in known:
+            known["model"] = Model(known.pop("rows"))
+        model = known["model"]
         return lambda text: model.judge(text.decode("utf-8", "replace"))
 
     fields = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]

@@ -94,3 +94,25 @@ def test_odd_rows_pass_the_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.count() == 0
+
+
+def test_stages_hand_on_parquet_and_one_rule_rejects(spark, tmp_path):
+    plain = {"en": "these are some plain words that stand here for a while", "de": "das sind einige Worte und hier stehen noch mehr davon"}
+    rows = [(n, plain[lang], lang, "s", 1) for n, lang in enumerate(["en", "de"] * 10)]
+    rows += [(50, "1234 5678", None, "s", 1), (51, "these are plain words", None, "s", 1), (52, "das sind Worte", None, "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = corpus_pipeline.rewritten(corpus_pipeline.known_language(spark, docs, str(tmp_path)))
+    assert all(f.endswith(".parquet") for f in kept.inputFiles())
+    assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - {50}
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace as Of
+
+    from feedwright.llm.components import checkpoint_folder
+
+    none = Of(isDefined=lambda: False)
+    context = Of(_jsc=Of(sc=lambda: Of(getCheckpointDir=lambda: none)), master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_folder(Of(sparkContext=context, conf=Of(get=lambda *_: None)))
