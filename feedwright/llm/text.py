@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
@@ -21,6 +21,18 @@ _FOLD = bytes.maketrans(SEPARATORS + _UPPER, b" " * len(SEPARATORS) + _UPPER.low
 SLICE = 512
 
 
+#: Bytes of the batches in which tasks hand rows to Python, unless the session says otherwise.
+BATCH = 8 << 20
+_BATCH_OPTION = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets tasks hand rows to Python in batches of ``BATCH`` bytes: a batch is held on both sides, and more than once.
+    A single longer row is a batch of its own."""
+    if spark.conf.get(_BATCH_OPTION, None) is None:
+        spark.conf.set(_BATCH_OPTION, str(BATCH))
+
+
 def words(text: bytes) -> list[bytes]:
     """Words of a UTF-8 text, A-Z in lower case."""
     return text.translate(_FOLD).split()
@@ -39,6 +51,7 @@ def drawn(rows: DataFrame, n: int, content: Sequence[Column], by: str | None = N
     """A sample of exact size: of the rows - of each value of ``by`` - those with the ``n`` least hashes of ``content``, or
     all if there are fewer. The same rows in every run, whatever the number of rows; equal content counts once, so
     neither null nor repeated ids let the sample grow. The bounds, one hash per value of ``by``, reach the driver."""
+    small_batches(rows.sparkSession)
     group = [by] if by else []
     hashed = rows.withColumn("_hash", F.xxhash64(*content))
     every = hashed.select(*group, "_hash").distinct()
@@ -71,6 +84,7 @@ def per_document(
     a list of results. Rows are handled one by one, so repeated ids, null ids and further columns
     need no care, and a lost executor costs only its own tasks.
     """
+    small_batches(docs.sparkSession)
     keep = [id_col, *also]
     schema = StructType([*(docs.schema[c] for c in keep), *fields])
     types = [f.type for f in to_arrow_schema(schema)]
@@ -87,5 +101,6 @@ def per_document(
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(i).cast(types[i]) for i in range(len(keep))), *columns], names=schema.names
                 )
+        pa.default_memory_pool().release_unused()
 
     return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
