@@ -23,7 +23,6 @@ bytes, so that the bucket of a frequent anchor does not grow with the corpus.
 
 from __future__ import annotations
 
-import gc
 import zlib
 from dataclasses import dataclass
 
@@ -149,6 +148,26 @@ def _suffix_order(symbols: np.ndarray, length: int) -> np.ndarray:
         done *= 2
 
 
+@dataclass
+class Pieces:
+    """Distinct pieces, ordered by bucket: bytes, bucket, smallest document of the chunk, 32 bits of the anchor, number of
+    bytes; and their occurrences: first window, document, piece."""
+
+    texts: list[bytes]
+    bucket: np.ndarray
+    least: np.ndarray
+    mark: np.ndarray
+    size: np.ndarray
+    start: np.ndarray
+    doc: np.ndarray
+    piece: np.ndarray
+
+    def by_bucket(self) -> list[tuple[int, int, int]]:
+        """Bucket, its first piece and the first of the next."""
+        present, first = np.unique(self.bucket, return_index=True)
+        return list(zip(present.tolist(), first.tolist(), [*first[1:].tolist(), len(self.bucket)]))
+
+
 class Chunk:
     """The texts of a chunk in a fixed order, with their stretches."""
 
@@ -172,9 +191,8 @@ class Chunk:
         np.maximum.at(high, which, number)
         return keys, which, low < high
 
-    def pieces(self, answers: dict[int, tuple[bytes, bytes]], buckets: int) -> dict[int, dict[bytes, list]]:
-        """By bucket the distinct pieces of repeated anchors: their smallest document, 32 bits of the anchor, and their
-        occurrences (first window, document)."""
+    def pieces(self, answers: dict[int, tuple[bytes, bytes]], buckets: int) -> Pieces:
+        """The distinct pieces of repeated anchors, by bucket, and their occurrences."""
         keys, which, repeated = self.anchors()
         bucket = (keys % np.uint64(buckets)).astype(np.int64)
         frequent = np.zeros(len(keys), dtype=bool)
@@ -186,26 +204,66 @@ class Chunk:
             own = places[b]
             repeated[own] |= _bits(again, len(own))
             frequent[own] = _bits(often, len(own))
-        gc.disable()  # many small objects and no cycles
-        out: dict[int, dict[bytes, list]] = {}
-        data, length = self.data, self.length
         chosen = np.flatnonzero(repeated[which])
-        mark = (keys >> np.uint64(32)).astype(np.uint32)
-        columns = (bucket[which[chosen]], frequent[which[chosen]], mark[which[chosen]], self.found.start[chosen], self.found.count[chosen], self.found.doc[chosen])
-        numbers = self.numbers.tolist()
-        for b, often, anchor, start, count, doc in zip(*(c.tolist() for c in columns)):
-            spread = [(start + k, 1) for k in range(count)] if often else [(start, count)]
-            for s, n in spread:
-                piece = data[s : s + n + length - 1]
-                place = out.setdefault(zlib.crc32(piece) % buckets if often else b, {})
-                known = place.get(piece)
-                if known is None:
-                    place[piece] = [numbers[doc], anchor, s, doc]
-                else:
-                    if numbers[doc] < known[0]:
-                        known[0] = numbers[doc]
-                    known += (s, doc)
-        return out
+        often = frequent[which[chosen]]
+        windows = self.found.count[chosen]
+        # Stretches of frequent anchors are cut into their windows.
+        cuts = np.where(often, windows, 1)
+        stretch = np.repeat(chosen, cuts)
+        start = self.found.start[stretch] + _ramp(cuts)
+        end = start + np.repeat(np.where(often, 1, windows), cuts) + self.length - 1
+        data, known = self.data, {}
+        # Equal pieces have one anchor, so they are of one bucket and number, whatever stretch they come from.
+        number = np.array([known.setdefault(data[s:e], len(known)) for s, e in zip(start.tolist(), end.tolist())], dtype=np.int64)
+        texts = list(known)
+        _, first = np.unique(number, return_index=True)
+        own = which[stretch[first]]
+        target = bucket[own]
+        for k in np.flatnonzero(frequent[own]).tolist():
+            target[k] = zlib.crc32(texts[k]) % buckets
+        order = np.argsort(target, kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        piece, doc = rank[number], self.found.doc[stretch]
+        least = np.full(len(order), _NONE)
+        np.minimum.at(least, piece, self.numbers[doc])
+        mark = (keys[own[order]] >> np.uint64(32)).astype(np.uint32)
+        return Pieces([texts[k] for k in order.tolist()], target[order], least, mark, (end - start)[first[order]], start, doc, piece)
+
+    def removed(self, own: Pieces, smaller: dict[int, tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the removed runs of bytes begin and end, in order. ``smaller`` has by bucket, for each window of its
+        pieces, whether it also starts in a smaller document of another chunk or piece."""
+        windows = own.size - self.length + 1
+        ends = np.cumsum(windows)
+        begins = ends - windows
+        parts = own.by_bucket()
+        flags = np.concatenate([np.zeros(0, bool), *(_bits(smaller[b][0], int(ends[hi - 1] - begins[lo])) for b, lo, hi in parts)])
+        # Runs of windows that are cut at the ends of the pieces.
+        up, down = flags.copy(), flags.copy()
+        up[1:] &= ~flags[:-1]
+        up[begins] = flags[begins]
+        down[:-1] &= ~flags[1:]
+        down[ends - 1] = flags[ends - 1]
+        ups, downs = np.flatnonzero(up), np.flatnonzero(down)
+        low = np.searchsorted(ups, begins)
+        runs = np.searchsorted(ups, ends) - low
+        # An occurrence goes whole if its piece lies in a smaller document of the chunk, else by the runs of the piece.
+        whole = self.numbers[own.doc] > own.least[own.piece]
+        start, piece = own.start[~whole], own.piece[~whole]
+        n = runs[piece]
+        run = np.repeat(low[piece], n) + _ramp(n)
+        shift = np.repeat(start - begins[piece], n)
+        edge = np.zeros(len(self.data) + 1, dtype=np.int32)
+        # Neighbouring windows cover one run of bytes.
+        np.add.at(edge, np.concatenate([own.start[whole], shift + ups[run]]), 1)
+        np.add.at(edge, np.concatenate([own.start[whole] + own.size[own.piece[whole]], shift + downs[run] + self.length]), -1)
+        step = np.diff((np.cumsum(edge) > 0).astype(np.int8), prepend=0)
+        return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def _ramp(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n, one after the other."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def _bits(packed: bytes, n: int) -> np.ndarray:
@@ -274,42 +332,34 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
         if not texts.num_rows:
             return _batch([[]] * len(_PIECES), _PIECES)
         number = texts.column("chunk")[0].as_py()
-        found = Chunk(texts, length).pieces(answers(told, 0), buckets)
+        own = Chunk(texts, length).pieces(answers(told, 0), buckets)
         rows = [
             (
-                b, number, b"".join(own), np.array([len(p) for p in own], np.int32).tobytes(),
-                np.array([v[0] for v in own.values()], np.int64).tobytes(), np.array([v[1] for v in own.values()], np.uint32).tobytes(),
+                b, number, b"".join(own.texts[lo:hi]), own.size[lo:hi].astype(np.int32).tobytes(),
+                own.least[lo:hi].tobytes(), own.mark[lo:hi].tobytes(),
             )
-            for b, own in found.items()
+            for b, lo, hi in own.by_bucket()
         ]
         return _batch([list(c) for c in zip(*rows)] if rows else [[]] * len(_PIECES), _PIECES)
 
     def expand(table: pa.Table) -> pa.Table:
         known: dict[bytes, int] = {}
-        least: list[int] = []
-        anchor: list[int] = []
         parts = []
-        for text, sizes, ids, marks in zip(*(table.column(c).to_pylist() for c in ("text", "sizes", "ids", "marks"))):
+        ids_of, marks_of = ([np.frombuffer(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("ids", np.int64), ("marks", np.uint32)))
+        for text, sizes, ids in zip(table.column("text").to_pylist(), table.column("sizes").to_pylist(), ids_of):
             ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
-            ids, marks = np.frombuffer(ids, np.int64), np.frombuffer(marks, np.uint32)
-            which = []
-            for begin, end, i, mark in zip([0, *ends[:-1]], ends, ids.tolist(), marks.tolist()):
-                piece = text[begin:end]
-                k = known.setdefault(piece, len(least))
-                if k == len(least):
-                    least.append(i)
-                    anchor.append(mark)
-                elif i < least[k]:
-                    least[k] = i
-                which.append(k)
+            which = [known.setdefault(text[begin:end], len(known)) for begin, end in zip([0, *ends[:-1]], ends)]
             parts.append((np.array(which), ids))
         texts = list(known)
-        sizes, least_of = np.array([len(t) for t in texts]), np.array(least, dtype=np.int64)
+        sizes, least_of, anchor = np.array([len(t) for t in texts]), np.full(len(texts), _NONE), np.zeros(len(texts), np.uint32)
+        every = np.concatenate([which for which, _ in parts])
+        np.minimum.at(least_of, every, np.concatenate(ids_of))
+        anchor[every] = np.concatenate(marks_of)
         first = np.cumsum(sizes - length + 1) - (sizes - length + 1)
         # The smallest document of every window. A piece that is the only one of its anchor, copies aside, shares no
         # window with another; the others are expanded together.
         smallest = np.repeat(least_of, sizes - length + 1)
-        _, group, members = np.unique(np.array(anchor), return_inverse=True, return_counts=True)
+        _, group, members = np.unique(anchor, return_inverse=True, return_counts=True)
         several = np.flatnonzero(members[group] > 1)
         if len(several):
             order, begins = undivided([texts[k] for k in several.tolist()], length)
@@ -335,29 +385,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
         if not texts.num_rows:
             return _batch([[]] * len(_REMOVED), _REMOVED)
         chunk = Chunk(texts, length)
-        smaller = answers(told, 1)
-        begins: list[int] = []
-        ends: list[int] = []
-        numbers = chunk.numbers.tolist()
-        for b, own in chunk.pieces(answers(told, 0), buckets).items():
-            n = [len(p) - length + 1 for p in own]
-            flags = _bits(smaller[b][0], sum(n))
-            at = 0
-            for count, (least, _, *places) in zip(n, own.values()):
-                step = np.diff(flags[at : at + count].astype(np.int8), prepend=0, append=0)
-                runs = list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist())) if step.any() else ()
-                at += count
-                for start, doc in zip(places[::2], places[1::2]):
-                    # Neighbouring windows cover one run of bytes.
-                    for low, high in ((0, count),) if numbers[doc] > least else runs:
-                        begins.append(start + low)
-                        ends.append(start + high - 1 + length)
-        edge = np.zeros(len(chunk.data) + 1, dtype=np.int32)
-        np.add.at(edge, np.array(begins, dtype=np.int64), 1)
-        np.add.at(edge, np.array(ends, dtype=np.int64), -1)
-        step = np.diff((np.cumsum(edge) > 0).astype(np.int8), prepend=0)
+        ups, downs = chunk.removed(chunk.pieces(answers(told, 0), buckets), answers(told, 1))
         # Runs of neighbouring texts may touch: they are cut at the ends of the texts.
-        ups, downs = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         rows = []
         for i, text, end in zip(chunk.ids, chunk.texts, chunk.ends.tolist()):
             begin = end - len(text)

@@ -2,9 +2,12 @@
 
 import hashlib
 import random
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from feedwright.llm import chunks, embeddings, minhash, suffixes
 from feedwright.llm.components import components
@@ -129,6 +132,33 @@ def test_repeats_of_an_empty_table(frame):
     assert removed(suffixes.dedup(frame("doc_id long, text string", (1, None)))) == [(1, 0, 0, 0, hashlib.sha256(b"").hexdigest())]
 
 
+def test_marking_repeats_calls_little_for_each_piece(frame, monkeypatch):
+    steps = []
+    plain = PandasCogroupedOps.applyInArrow
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda self, f, schema: steps.append(f) or plain(self, f, schema))
+    suffixes.dedup(frame("doc_id long, text string", (1, "a")), 50)
+    r = random.Random(3)
+    texts = pa.table({"_id": range(4), "_text": ["".join(r.choices("abcdefghij ", k=20_000)) for _ in range(4)], "chunk": [0] * 4})
+    # All anchors lie in another chunk too, and some of the windows in a smaller document there.
+    told = pa.table({"chunk": [0, 0], "bucket": [0, 0], "kind": [0, 1], "x": [b"\xff" * 20_000, r.randbytes(20_000)], "y": [bytes(20_000), b""]})
+    pieces, remove = steps
+    sent = pieces(texts, told.slice(0, 1))
+    n = sum(len(x) // 4 for x in sent.column("sizes").to_pylist())
+    assert n > 5_000
+    calls = [0]
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        found = remove(texts, told)
+    finally:
+        sys.setprofile(None)
+    assert found.num_rows == 4 and sum(map(len, found.column("spans").to_pylist())) > 0
+    assert calls[0] < 5 * n
+
+
 def test_interval_expansion_divides_where_strings_differ():
     texts = [b"banana bandana", b"ananas", b"banana", b"aaaaaaaaaa"]
     order, divided = suffixes.undivided(texts, 3)
