@@ -92,6 +92,23 @@ def test_stages_are_written_once_and_dropped(spark, tmp_path):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith(f"stage_{s._run}")]
 
 
+def test_a_stage_begins_after_those_it_needs(spark, tmp_path):
+    begun = []
+
+    class Counted(StagedSources):
+        def _write(self, wanted):
+            begun.append(wanted.name)
+            return super()._write(wanted)
+
+    s = Counted(standin_sources(spark, SF), spark, str(tmp_path / "stages"), 2)
+    try:
+        s.shared("shop_stock", STAGES["shop_stock"].build)
+        assert sorted(begun) == sorted(stage_order(["shop_stock"]))
+        assert all(begun.index(need) < begun.index(n) for n in begun for need in STAGES[n].needs)
+    finally:
+        s.drop()
+
+
 def test_runner_drops_its_stages(spark, tmp_path):
     run_checks(standin_sources(spark, SF), str(tmp_path / "out"), ["code_listing"], stage_path=str(tmp_path / "stages"))
     assert not [t for t in spark.catalog.listTables() if t.name.endswith("_code_listing")]
