@@ -13,12 +13,17 @@ equal windows lie in stretches with equal anchors. The steps, all by bounded gro
 2. A bucket answers which anchors occur in more than one chunk. All others need no further look.
 3. A chunk sends the distinct stretches of repeated anchors, each with its smallest document, to the buckets.
 4. A bucket expands the intervals over its stretches and answers which windows also start in a smaller document. Equal
-   stretches are one; one whose anchor has no other stretch has nothing to share and is left out of the transform.
+   stretches are one; one whose anchor has no other stretch has nothing to share and is left out of the transforms, which
+   take whole anchors.
 5. A chunk marks these windows and gives the removed runs of its documents.
 
+Every chunk sends to every bucket, so a bucket is as large as a task can hold, and what has to fit into the cache is a
+transform, not a bucket.
+
 An anchor that occurs in a third of all documents adds one entry for each chunk and one stretch for each distinct
-surrounding in it. If it occurs in many chunks, its stretches are cut into single windows that are dealt by their own
-bytes, so that the bucket of a frequent anchor does not grow with the corpus.
+surrounding in it. If these are many, its stretches are cut into single windows that are dealt by their own bytes, so that
+the bucket of a frequent anchor does not grow with the corpus. An anchor that is in every chunk, but always with the same
+surrounding, is not cut: its windows would be many times its stretches.
 """
 
 from __future__ import annotations
@@ -36,28 +41,41 @@ from feedwright.llm import segments
 LENGTH = 50
 #: Long enough that few anchors recur by chance however large the corpus; a multiple of 8.
 ANCHOR = 32
-#: Bytes of text in a chunk and for each bucket. A bucket's transform should fit into the processor's cache.
+#: Bytes of text in a chunk and for each bucket.
 CHUNK = 8_000_000
-BUCKET = 1_000_000
-#: From so many chunks on an anchor's windows are dealt one by one.
-FREQUENT = 256
+BUCKET = 16_000_000
+#: Symbols of a transform, which should fit into the processor's cache; an anchor's stretches are not divided.
+TRANSFORM = 64_000
+#: From so many stretches on, each counted in every chunk that has it, an anchor's windows are dealt one by one.
+FREQUENT = 16_384
 #: Places that are worked on at once (the place is kept in 20 bits).
 _STEP = 1 << 15
 _PLACE = np.uint64((1 << 20) - 1)
 _NONE = np.iinfo(np.int64).max
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def anchor_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the ``ANCHOR`` bytes from each place on."""
-    two = data[:-1].astype(np.uint64) | data[1:].astype(np.uint64) << np.uint64(8)
-    four = two[:-2] | two[2:] << np.uint64(16)
-    eight = four[:-4] | four[4:] << np.uint64(32)
-    n = len(data) - ANCHOR + 1
-    out = np.zeros(n, dtype=np.uint64)
-    for at in range(0, ANCHOR, 8):
-        out ^= eight[at : at + n]
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(32)
+    out = np.ndarray(len(data) - 7, np.uint64, np.ascontiguousarray(data), strides=(1,)).copy()
+    width = 8
+    while width < ANCHOR:  # of twice as many bytes from those of two neighbours
+        pair = out[:-width] * _ODD
+        pair += out[width:]
+        out = pair ^ pair >> np.uint64(32)
+        width *= 2
+    out *= _ODD
+    return out
+
+
+def _hashes_at(data: bytes, places: np.ndarray) -> np.ndarray:
+    """Hash of the ``ANCHOR`` bytes from each of the places on."""
+    out = np.zeros(len(places), dtype=np.uint64)
+    if len(places):
+        parts = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), ANCHOR)[places].view(np.uint64)
+        for k in range(parts.shape[1]):
+            out = (out ^ parts[:, k]) * _ODD
+            out ^= out >> np.uint64(32)
     return out
 
 
@@ -76,30 +94,35 @@ def stretches(data: np.ndarray, ends: np.ndarray, usable: np.ndarray, length: in
     found: list[tuple[np.ndarray, ...]] = []
     width = length - ANCHOR + 1
     sizes = np.diff(ends, prepend=0)
-    # Last window of the text that each place belongs to. Windows of different texts are never neighbours.
-    last = np.repeat(np.where(usable, ends - length, -1), sizes).astype(np.int32)
-    owner = np.repeat(np.arange(len(ends), dtype=np.int32), sizes)
+    # Windows that lie in no text or in one that is not usable: the last of each text, which would reach into the next.
+    n = np.where(usable, np.minimum(sizes, length - 1), sizes)
+    outside = np.zeros(len(data), dtype=bool)
+    outside[np.repeat(ends - n, n) + _ramp(n)] = True
     for at in range(0, len(data) - length + 1, _STEP):
         stop = min(at + _STEP, len(data) - length + 1)  # windows at <= start < stop
         hashes = anchor_hashes(data[at : stop + length - 1])
-        place = np.arange(len(hashes), dtype=np.uint64)
-        least = (hashes & ~_PLACE) | place
+        least = hashes & ~_PLACE
+        least |= np.arange(len(hashes), dtype=np.uint64)
         done = 1
         while 2 * done <= width:
             least = np.minimum(least[:-done], least[done:])
             done *= 2
         if done < width:
             least = np.minimum(least[: len(least) - (width - done)], least[width - done :])
-        starts = np.flatnonzero(last[at:stop] >= np.arange(at, stop, dtype=np.int32))
-        if not len(starts):
-            continue
-        least = (least[starts] & _PLACE).astype(np.int64)
-        new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-        first = starts[new] + at
-        found.append((hashes[least[new]], first, np.diff(np.concatenate([new, [len(starts)]])), owner[first]))
+        out = outside[at:stop]
+        new = np.empty(len(least), dtype=bool)
+        new[0] = True
+        np.not_equal(least[1:], least[:-1], out=new[1:])
+        new[1:] |= out[1:] != out[:-1]
+        first = np.flatnonzero(new)
+        count = np.diff(first, append=len(least))
+        inside = ~out[first]
+        first = first[inside]
+        found.append((hashes[(least[first] & _PLACE).astype(np.int64)], first + at, count[inside]))
     if not found:
         return Stretches(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
-    return Stretches(*(np.concatenate(c) for c in zip(*found)))
+    key, start, count = (np.concatenate(c) for c in zip(*found))
+    return Stretches(key, start, count, np.repeat(np.arange(len(ends)), np.diff(np.searchsorted(start, ends), prepend=0)))
 
 
 def undivided(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,18 +136,27 @@ def undivided(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     order = _suffix_order(symbols, length)
     # The transform, and for each place in the order that of the suffix one symbol shorter.
     transform = symbols[order - 1]
-    onward = np.argsort(transform, kind="stable").astype(np.int32)
+    onward = np.argsort(transform, kind="stable")
     first = transform[onward]
     divided = np.concatenate([[True], first[1:] != first[:-1]])
-    pending = np.flatnonzero(~divided)
-    here, before = onward[pending], onward[pending - 1]
+    # A pair of neighbours is divided once there is a new division between its places one symbol on: at the second of them,
+    # or, where they are no neighbours there, anywhere after the first.
+    inverse = np.empty(len(order), dtype=np.int64)
+    inverse[onward] = np.arange(len(order))
+    new = np.flatnonzero(divided)
+    far = np.flatnonzero(~divided & (np.diff(onward, prepend=0) != 1))
     for _ in range(length - 1):
-        if not len(pending):
+        if not len(new):
             break
+        near = inverse[new]
+        near = near[~divided[near]]
         interval = np.cumsum(divided, dtype=np.int32)
-        same = interval[here] == interval[before]
-        divided[pending[~same]] = True
-        pending, here, before = pending[same], here[same], before[same]
+        hit = far[interval[onward[far]] != interval[onward[far - 1]]]
+        divided[near] = True
+        hit = hit[~divided[hit]]
+        divided[hit] = True
+        new = np.concatenate([near, hit])
+        far = far[~divided[far]]
     return order, divided
 
 
@@ -150,8 +182,8 @@ def _suffix_order(symbols: np.ndarray, length: int) -> np.ndarray:
 
 @dataclass
 class Pieces:
-    """Distinct pieces, ordered by bucket: bytes, bucket, smallest document of the chunk, 32 bits of the anchor, number of
-    bytes; and their occurrences: first window, document, piece."""
+    """Distinct pieces, ordered by bucket: bytes, bucket, smallest document of the chunk, 32 bits of the anchor (of a
+    single window of a frequent one, of itself), number of bytes; and their occurrences: first window, document, piece."""
 
     texts: list[bytes]
     bucket: np.ndarray
@@ -191,6 +223,16 @@ class Chunk:
         np.maximum.at(high, which, number)
         return keys, which, low < high
 
+    def different(self, which: np.ndarray, n: int) -> np.ndarray:
+        """How many different stretches each of the ``n`` anchors has, told apart by hashes of both ends; two count as two."""
+        counts = np.bincount(which, minlength=n)
+        often = np.flatnonzero(counts[which] > 2)
+        start, count = self.found.start[often], self.found.count[often]
+        ends = [_hashes_at(self.data, start), _hashes_at(self.data, start + count + self.length - 1 - ANCHOR)]
+        alike = (ends[0] * _ODD ^ ends[1]) * _ODD ^ which[often].astype(np.uint64) << np.uint64(8) ^ count.astype(np.uint64)
+        _, first = np.unique(alike, return_index=True)
+        return np.where(counts > 2, np.bincount(which[often[first]], minlength=n), counts)
+
     def pieces(self, answers: dict[int, tuple[bytes, bytes]], buckets: int) -> Pieces:
         """The distinct pieces of repeated anchors, by bucket, and their occurrences."""
         keys, which, repeated = self.anchors()
@@ -212,23 +254,25 @@ class Chunk:
         stretch = np.repeat(chosen, cuts)
         start = self.found.start[stretch] + _ramp(cuts)
         end = start + np.repeat(np.where(often, 1, windows), cuts) + self.length - 1
-        data, known = self.data, {}
+        data = self.data
         # Equal pieces have one anchor, so they are of one bucket and number, whatever stretch they come from.
-        number = np.array([known.setdefault(data[s:e], len(known)) for s, e in zip(start.tolist(), end.tolist())], dtype=np.int64)
-        texts = list(known)
-        _, first = np.unique(number, return_index=True)
+        texts, number = _numbered([data[s:e] for s, e in zip(start.tolist(), end.tolist())])
+        # Numbers are given in the order of the first occurrences.
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1))
         own = which[stretch[first]]
         target = bucket[own]
+        mark = (keys[own] >> np.uint64(32)).astype(np.uint32)
+        # A single window shares nothing with another one.
         for k in np.flatnonzero(frequent[own]).tolist():
-            target[k] = zlib.crc32(texts[k]) % buckets
+            mark[k] = own_hash = zlib.crc32(texts[k])
+            target[k] = own_hash % buckets
         order = np.argsort(target, kind="stable")
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
         piece, doc = rank[number], self.found.doc[stretch]
         least = np.full(len(order), _NONE)
         np.minimum.at(least, piece, self.numbers[doc])
-        mark = (keys[own[order]] >> np.uint64(32)).astype(np.uint32)
-        return Pieces([texts[k] for k in order.tolist()], target[order], least, mark, (end - start)[first[order]], start, doc, piece)
+        return Pieces([texts[k] for k in order.tolist()], target[order], least, mark[order], (end - start)[first[order]], start, doc, piece)
 
     def removed(self, own: Pieces, smaller: dict[int, tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Where the removed runs of bytes begin and end, in order. ``smaller`` has by bucket, for each window of its
@@ -253,12 +297,20 @@ class Chunk:
         n = runs[piece]
         run = np.repeat(low[piece], n) + _ramp(n)
         shift = np.repeat(start - begins[piece], n)
-        edge = np.zeros(len(self.data) + 1, dtype=np.int32)
         # Neighbouring windows cover one run of bytes.
-        np.add.at(edge, np.concatenate([own.start[whole], shift + ups[run]]), 1)
-        np.add.at(edge, np.concatenate([own.start[whole] + own.size[own.piece[whole]], shift + downs[run] + self.length]), -1)
-        step = np.diff((np.cumsum(edge) > 0).astype(np.int8), prepend=0)
-        return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        begin = np.concatenate([own.start[whole], shift + ups[run]])
+        order = np.argsort(begin)
+        begin = begin[order]
+        end = np.concatenate([own.start[whole] + own.size[own.piece[whole]], shift + downs[run] + self.length])
+        end = np.maximum.accumulate(end[order])
+        cut = np.flatnonzero(begin[1:] > end[:-1])
+        return begin[np.concatenate([[0], cut + 1])[: len(begin)]], end[np.concatenate([cut, [len(end) - 1]])[: len(end)]]
+
+
+def _numbered(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The different texts in the order of their first occurrence, and which of them each text is."""
+    known = {t: k for k, t in enumerate(dict.fromkeys(texts))}
+    return list(known), np.fromiter(map(known.__getitem__, texts), np.int64, len(texts))
 
 
 def _ramp(n: np.ndarray) -> np.ndarray:
@@ -266,6 +318,16 @@ def _ramp(n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
+def _slabs(sizes: np.ndarray, group: np.ndarray, most: int) -> list[slice]:
+    """Runs of whole groups, which stand one after the other; the last group of a run begins below ``most``."""
+    if not len(sizes):
+        return []
+    begins = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+    run = (np.cumsum(sizes) - sizes)[begins] // most
+    cuts = begins[np.flatnonzero(np.diff(run, prepend=-1))].tolist()
+    return [slice(lo, hi) for lo, hi in zip(cuts, [*cuts[1:], len(sizes)])]
+
+
 def _bits(packed: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool)
 
@@ -278,7 +340,7 @@ def _batch(columns: list, schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-_ANCHORS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary())])
+_ANCHORS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("several", pa.binary())])
 _REPEATED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int32()), ("x", pa.binary()), ("y", pa.binary())])
 _PIECES = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("text", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("marks", pa.binary())])
 _REMOVED = pa.schema(
@@ -303,26 +365,36 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     total = own.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     chunks, buckets = max(1, -(-total // CHUNK)), max(1, -(-total // BUCKET))
-    frequent = FREQUENT
+    frequent, transform = FREQUENT, TRANSFORM
     dealt = own.withColumn("chunk", F.pmod(F.xxhash64("_id", "_text"), F.lit(chunks)).cast("long"))
 
     def anchors(table: pa.Table) -> pa.Table:
         chunk = Chunk(table, length)
-        keys, _, _ = chunk.anchors()
+        keys, which, _ = chunk.anchors()
         bucket = keys % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         present, first = np.unique(bucket[order], return_index=True)
         # Beside the bucket, 32 bits tell anchors apart: should two of them agree, their stretches are looked at in vain.
         short = (keys[order] >> np.uint64(32)).astype(np.uint32)
         parts = [p.tobytes() for p in np.split(short, first[1:])] if len(keys) else []
-        return _batch([present.astype(np.int64), [table.column("chunk")[0].as_py()] * len(parts), parts], _ANCHORS)
+        # Anchors with several stretches in the chunk: place in the message, number of stretches.
+        n = chunk.different(which, len(keys))[order]
+        place = np.flatnonzero(n > 1)
+        cuts = np.searchsorted(place, first)
+        pairs = np.stack([place - np.repeat(first, np.diff(cuts, append=len(place))), n[place]], axis=1).astype(np.uint32)
+        several = [p.tobytes() for p in np.split(pairs, cuts[1:])] if len(keys) else []
+        return _batch([present.astype(np.int64), [table.column("chunk")[0].as_py()] * len(parts), parts, several], _ANCHORS)
 
     def repeated(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(k, np.uint32) for k in table.column("keys").to_pylist()]
+        ends = np.cumsum([len(p) for p in parts])
         _, which, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        n = np.split(n[which], np.cumsum([len(p) for p in parts])[:-1])
-        again, often = [_packed(c > 1) for c in n], [_packed(c >= frequent) for c in n]
-        return _batch([table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), [0] * len(n), again, often], _REPEATED)
+        more = [np.frombuffer(x, np.uint32).reshape(-1, 2).astype(np.int64) for x in table.column("several").to_pylist()]
+        place = np.concatenate([x[:, 0] + end - len(p) for x, end, p in zip(more, ends.tolist(), parts)])
+        total = n.copy()
+        np.add.at(total, which[place], np.concatenate([x[:, 1] for x in more]) - 1)
+        again, often = ([_packed(p) for p in np.split(flags[which], ends[:-1])] for flags in (n > 1, total >= frequent))
+        return _batch([table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), [0] * len(parts), again, often], _REPEATED)
 
     def answers(table: pa.Table, kind: int) -> dict[int, tuple[bytes, bytes]]:
         columns = (table.column(c).to_pylist() for c in ("kind", "bucket", "x", "y"))
@@ -343,37 +415,36 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
         return _batch([list(c) for c in zip(*rows)] if rows else [[]] * len(_PIECES), _PIECES)
 
     def expand(table: pa.Table) -> pa.Table:
-        known: dict[bytes, int] = {}
-        parts = []
+        every: list[bytes] = []
         ids_of, marks_of = ([np.frombuffer(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("ids", np.int64), ("marks", np.uint32)))
-        for text, sizes, ids in zip(table.column("text").to_pylist(), table.column("sizes").to_pylist(), ids_of):
+        for text, sizes in zip(table.column("text").to_pylist(), table.column("sizes").to_pylist()):
             ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
-            which = [known.setdefault(text[begin:end], len(known)) for begin, end in zip([0, *ends[:-1]], ends)]
-            parts.append((np.array(which), ids))
-        texts = list(known)
+            every += [text[begin:end] for begin, end in zip([0, *ends[:-1]], ends)]
+        texts, number = _numbered(every)
         sizes, least_of, anchor = np.array([len(t) for t in texts]), np.full(len(texts), _NONE), np.zeros(len(texts), np.uint32)
-        every = np.concatenate([which for which, _ in parts])
-        np.minimum.at(least_of, every, np.concatenate(ids_of))
-        anchor[every] = np.concatenate(marks_of)
+        np.minimum.at(least_of, number, np.concatenate(ids_of))
+        anchor[number] = np.concatenate(marks_of)
         first = np.cumsum(sizes - length + 1) - (sizes - length + 1)
         # The smallest document of every window. A piece that is the only one of its anchor, copies aside, shares no
-        # window with another; the others are expanded together.
+        # window with another; the others are expanded, those of an anchor together.
         smallest = np.repeat(least_of, sizes - length + 1)
         _, group, members = np.unique(anchor, return_inverse=True, return_counts=True)
         several = np.flatnonzero(members[group] > 1)
-        if len(several):
-            order, begins = undivided([texts[k] for k in several.tolist()], length)
-            n = sizes[several]
-            piece = np.repeat(np.arange(len(several)), n + 1)
-            place = np.arange(len(piece)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
+        several = several[np.argsort(group[several], kind="stable")]
+        for part in _slabs(sizes[several] + 1, group[several], transform):
+            some = several[part]
+            order, begins = undivided([texts[k] for k in some.tolist()], length)
+            n = sizes[some]
+            piece = np.repeat(np.arange(len(some)), n + 1)
+            place = _ramp(n + 1)
             window = place <= n[piece] - length
-            owner = np.where(window, least_of[several][piece], _NONE)[order]
+            owner = np.where(window, least_of[some][piece], _NONE)[order]
             by_class = np.minimum.reduceat(owner, np.flatnonzero(begins))
             by_place = np.empty(len(order), dtype=np.int64)
             by_place[order] = by_class[np.cumsum(begins) - 1]
-            smallest[(first[several][piece] + place)[window]] = by_place[window]
+            smallest[(first[some][piece] + place)[window]] = by_place[window]
         told = []
-        for which, ids in parts:
+        for which, ids in zip(np.split(number, np.cumsum([len(ids) for ids in ids_of])[:-1]), ids_of):
             n = sizes[which] - length + 1
             at = np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             told.append(_packed(smallest[at] < np.repeat(ids, n)))

@@ -7,6 +7,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from feedwright.llm import chunks, embeddings, minhash, suffixes
@@ -132,6 +133,66 @@ def test_repeats_of_an_empty_table(frame):
     assert removed(suffixes.dedup(frame("doc_id long, text string", (1, None)))) == [(1, 0, 0, 0, hashlib.sha256(b"").hexdigest())]
 
 
+def steps_of(frame, monkeypatch, text="a"):
+    """The grouped steps of the operator, planned for a text of the given size."""
+    steps = {}
+    for kind in (GroupedData, PandasCogroupedOps):
+        plain = kind.applyInArrow
+        monkeypatch.setattr(kind, "applyInArrow", lambda self, f, schema, plain=plain: steps.update({f.__name__: f}) or plain(self, f, schema))
+    suffixes.dedup(frame("doc_id long, text string", (1, text)), 50)
+    return steps
+
+
+def of_chunk(number, *docs):
+    return pa.table({"_id": [i for i, _ in docs], "_text": [t for _, t in docs], "chunk": [number] * len(docs)})
+
+
+def test_a_chunk_sends_no_more_messages_than_there_are_chunks(frame, monkeypatch):
+    for name in ("CHUNK", "BUCKET"):
+        monkeypatch.setattr(suffixes, name, getattr(suffixes, name) // 2_000)
+    r = random.Random(5)
+    text = "".join(r.choices("abcdefgh ", k=10 * suffixes.CHUNK))
+    assert 0 < steps_of(frame, monkeypatch, text)["anchors"](of_chunk(0, (1, text))).num_rows <= 10
+
+
+def test_anchors_of_one_surrounding_are_not_cut(frame, monkeypatch):
+    steps = steps_of(frame, monkeypatch)
+    r = random.Random(6)
+    word = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    passage = word(200)
+    # In 300 chunks, three times in each.
+    sent = pa.concat_tables([steps["anchors"](of_chunk(k, *((3 * k + j, passage) for j in range(3)))) for k in range(300)])
+    told = steps["repeated"](sent)
+    assert told.num_rows == 300
+    assert all(any(x) and not any(y) for x, y in zip(told.column("x").to_pylist(), told.column("y").to_pylist()))
+    # A phrase with ever other text around it: three different stretches in each of 60 chunks.
+    monkeypatch.setattr(suffixes, "FREQUENT", 61)  # more than there are chunks
+    steps = steps_of(frame, monkeypatch)
+    tables = [of_chunk(k, *((3 * k + j, word(60) + passage[:52] + word(60)) for j in range(3))) for k in range(60)]
+    told = steps["repeated"](pa.concat_tables([steps["anchors"](t) for t in tables]))
+    assert any(map(any, told.column("y").to_pylist()))
+
+
+def test_repeats_over_small_transforms(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "TRANSFORM", 150)
+    r = random.Random(9)
+    word = lambda n: "".join(r.choices("ab ", k=n))
+    phrases = [word(45) for _ in range(6)]
+    docs = [(i, "".join(word(r.randint(0, 12)) + r.choice(phrases) for _ in range(6))) for i in range(40)]
+    found = suffixes.dedup(spark.createDataFrame(docs, "doc_id long, text string"), 50)
+    assert removed(found) == repeated([(i, t.encode()) for i, t in docs], 50)
+
+
+def test_slabs_hold_whole_groups():
+    from feedwright.llm.suffixes import _slabs
+
+    sizes, group = [5, 5, 30, 5, 5, 5], [2, 2, 4, 4, 7, 8]
+    assert _slabs(np.array(sizes), np.array(group), 12) == [slice(0, 4), slice(4, 5), slice(5, 6)]
+    assert _slabs(np.array(sizes), np.array(group), 99) == [slice(0, 6)]
+    assert _slabs(np.array(sizes), np.array(group), 10) == [slice(0, 2), slice(2, 4), slice(4, 5), slice(5, 6)]
+    assert _slabs(np.array([], int), np.array([], int), 10) == []
+
+
 def test_marking_repeats_calls_little_for_each_piece(frame, monkeypatch):
     steps = []
     plain = PandasCogroupedOps.applyInArrow
