@@ -26,10 +26,10 @@ def items(s: Sources) -> DataFrame:
     return s["item_store"].withColumn("sku", fn.normalize_sku("item_number")).withColumn("item_sku", F.trim("item_number"))
 
 
-@stage("stock_items")
+@stage("stock_items", needs=("items",))
 def stock_items(s: Sources) -> DataFrame:
     """Item-store rows, one per store, by their own sku."""
-    return s["item_store"].withColumn("sku", F.trim("item_number"))
+    return items(s).withColumn("sku", F.col("item_sku")).drop("item_sku")
 
 
 @stage("catalog")

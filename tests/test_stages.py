@@ -1,10 +1,12 @@
 """Frames that checks share: written once, joined without a new exchange, and the same reports."""
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 from functools import cache
 
 import pytest
 from conftest import SF, rows
+from pyspark.sql import functions as F
 
 from feedwright.plans import CHECKS, run_checks
 from feedwright.plans.stages import STAGES, StagedSources, stage, stage_order
@@ -60,6 +62,46 @@ def test_product_checks_read_item_rows_once(stored, staged):
     assert [n for n, p in plans.items() if "_stock_items" in p] == []
 
 
+def test_stock_items_are_built_from_the_item_stage(stored, staged):
+    plan = executed(STAGES["stock_items"].build(staged))
+    assert stored[1] not in plan and "_items" in plan
+    assert rows(STAGES["stock_items"].build(staged)) == rows(stored[0]["item_store"].withColumn("sku", F.trim("item_number")))
+
+
+def test_stored_entities_are_derived_once(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    s, plain = standin_sources(spark, SF, stored=("item_store",)), standin_sources(spark, SF)
+    try:
+        with ThreadPoolExecutor(4) as pool:
+            frames = list(pool.map(s.__getitem__, ["item_store", "product_warehouse", "product_location", "hk_item_store"]))
+        written = {t.name for t in spark.catalog.listTables()} - before
+        assert len(written) == 1
+        for frame in frames:
+            plan = executed(frame)
+            assert "lineitem.parquet" not in plan and next(iter(written)) in plan
+        assert rows(frames[1]) == rows(plain["product_warehouse"]) and rows(frames[0]) == rows(plain["item_store"])
+    finally:
+        for name in {t.name for t in spark.catalog.listTables()} - before:
+            spark.sql(f"drop table {name}")
+
+
+def test_staged_reports_derive_item_rows_and_kits_once(spark, monkeypatch):
+    from feedwright.workload import check_queries
+
+    asked = []
+    monkeypatch.setattr(check_queries, "standin_sources", lambda *a, **b: asked.append(set(b.get("stored", ()))) or standin_sources(*a, **b))
+    monkeypatch.setattr(check_queries, "STAGED", ["onboarding_candidates"])
+    before = {t.name for t in spark.catalog.listTables()}
+    try:
+        check_queries.staged_reports(spark, SF)
+        written = {t.name for t in spark.catalog.listTables()} - before
+        assert asked == [{"item_store", "kitting"}]
+        assert sorted(n.split("_", 2)[2] for n in written if n.startswith("input_")) == ["item_store", "kitting"]
+    finally:
+        for name in {t.name for t in spark.catalog.listTables()} - before:
+            spark.sql(f"drop table {name}")
+
+
 def test_stages_join_without_an_exchange(spark, staged):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
